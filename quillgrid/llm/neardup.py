@@ -34,6 +34,7 @@ SHARED = Fraction(1, 2)
 COUNT_STEP = 16
 #: Cells of the table of n-gram counts that orders columns by rarity. Fixed: it never grows with the data.
 RARITY_CELLS = 1 << 20
+CHUNK = 1 << 12
 #: 64-bit parts of the bitmap of a text's words.
 BITMAP = 4
 
@@ -85,13 +86,34 @@ def cell_of(sig: np.ndarray) -> np.ndarray:
 
 
 def counts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cell, n) of all n-grams of a partition."""
+    """(chunk, n): the counts of all n-grams of a partition, CHUNK cells a row."""
     total = np.zeros(RARITY_CELLS, np.int64)
     for b in batches:
         if b.num_rows:
             total += np.bincount(cell_of(ngrams_of(b)[1]), minlength=RARITY_CELLS)
-    cell = np.flatnonzero(total)
-    yield pa.record_batch([pa.array(cell.astype(np.int32)), pa.array(total[cell])], names=["cell", "n"])
+    rows = total.reshape(-1, CHUNK)
+    full = np.flatnonzero(rows.any(axis=1))
+    offsets = pa.array(np.arange(len(full) + 1, dtype=np.int32) * CHUNK)
+    yield pa.record_batch([pa.array(full.astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(rows[full].ravel()))], names=["chunk", "n"])
+
+
+def sum_of(key: tuple, table: pa.Table) -> pa.Table:
+    """The counts of one chunk over all partitions."""
+    total = np.zeros(CHUNK, np.int64)
+    for c in table.column("n").chunks:
+        if len(c):
+            total += c.flatten().to_numpy().reshape(-1, CHUNK).sum(axis=0)
+    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([total.tolist()], pa.list_(pa.int64()))})
+
+
+def rarity_of(distinct: DataFrame) -> np.ndarray:
+    """Counts of the cells over all texts; RARITY_CELLS numbers, however many texts there are."""
+    schema = "chunk int, n array<bigint>"
+    sums = distinct.select("seq").mapInArrow(counts_of, schema).groupBy("chunk").applyInArrow(sum_of, schema).toArrow()
+    counts = np.zeros((RARITY_CELLS // CHUNK, CHUNK), np.float32)
+    for chunk, n in zip(sums.column("chunk").to_pylist(), sums.column("n")):
+        counts[chunk] = n.values.to_numpy()
+    return counts.ravel()
 
 
 def postings_of(batch: pa.RecordBatch, rarity: np.ndarray) -> pa.RecordBatch:
@@ -119,12 +141,9 @@ def postings_of(batch: pa.RecordBatch, rarity: np.ndarray) -> pa.RecordBatch:
 
 
 def similar_texts(distinct: DataFrame, t: Fraction) -> DataFrame:
-    """(a, b), a < b: pairs of distinct texts (fp, seq, words, size) whose word sets have |a & b| >= t |a | b|."""
+    """(a, b), a < b: pairs of distinct texts (fp, seq) whose word sets have |a & b| >= t |a | b|."""
     spark = distinct.sparkSession
-    cells = distinct.select("seq").mapInArrow(counts_of, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(RARITY_CELLS, np.float32)
-    counts[cells["cell"].to_numpy(dtype=np.int64)] = cells["n"].to_numpy(dtype=np.float32)
-    rarity = spark.sparkContext.broadcast(counts)
+    rarity = spark.sparkContext.broadcast(rarity_of(distinct))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -132,7 +151,8 @@ def similar_texts(distinct: DataFrame, t: Fraction) -> DataFrame:
                 yield postings_of(b, rarity.value)
 
     bits = ", ".join(f"b{k} bigint" for k in range(BITMAP))
-    rows = distinct.mapInArrow(kept, f"col bigint, fp bigint, size int, least int, {bits}")
+    sized = distinct.select("fp", "seq", F.array_distinct("seq").alias("words")).withColumn("size", F.size("words"))
+    rows = sized.mapInArrow(kept, f"col bigint, fp bigint, size int, least int, {bits}")
     x, y = rows.alias("x"), rows.alias("y")
     num, den = t.numerator, t.denominator
     apart = sum((F.bit_count(F.col(f"x.b{k}").bitwiseXOR(F.col(f"y.b{k}"))) for k in range(BITMAP)), F.lit(0))
@@ -144,8 +164,8 @@ def similar_texts(distinct: DataFrame, t: Fraction) -> DataFrame:
     )
     product = x.join(y, (F.col("x.col") == F.col("y.col")) & reach).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"), F.least("x.least", "y.least").alias("least"))
     pairs = product.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("least").alias("least")).where("n >= least").select("a", "b")
-    a = distinct.select(F.col("fp").alias("a"), F.col("words").alias("wa"))
-    b = distinct.select(F.col("fp").alias("b"), F.col("words").alias("wb"))
+    a = distinct.select(F.col("fp").alias("a"), F.array_distinct("seq").alias("wa"))
+    b = distinct.select(F.col("fp").alias("b"), F.array_distinct("seq").alias("wb"))
     both = pairs.join(a, "a").join(b, "b").withColumn("n", F.size(F.array_intersect("wa", "wb")))
     return both.where(F.col("n") * den >= (F.size("wa") + F.size("wb") - F.col("n")) * num).select("a", "b")
 
@@ -163,8 +183,8 @@ def near_duplicates(
     """
     rows = stored(word_rows(df, key, texts, counted, min_words))
     members = rows.select("id", "fp").distinct()
-    distinct = rows.select("fp", "seq").dropDuplicates(["fp"]).withColumn("words", F.array_distinct("seq")).withColumn("size", F.size("words"))
-    return members, stored(similar_texts(stored(distinct), threshold))
+    distinct = stored(rows.select("fp", "seq").dropDuplicates(["fp"]))
+    return members, stored(similar_texts(distinct, threshold))
 
 
 def version_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
