@@ -6,11 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from . import messages, packs, rows, scores, tables
 
-
-def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    raise NotImplementedError
+MODULES = [tables, rows, messages, scores, packs]
+flagship = tables.flagship
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
