@@ -117,7 +117,8 @@ def rarity_of(distinct: DataFrame) -> np.ndarray:
 
 
 def postings_of(batch: pa.RecordBatch, rarity: np.ndarray) -> pa.RecordBatch:
-    """The kept n-grams of a batch: (col, fp, size, least, b0 ...)."""
+    """The kept n-grams of a batch: (col, fp, meta, b0 ...); meta is the number of words and,
+    in its lower half, of n-grams a pair must have in common."""
     row, sig = ngrams_of(batch)
     count = np.bincount(row, minlength=batch.num_rows)
     least = 1 + count // COUNT_STEP
@@ -127,7 +128,7 @@ def postings_of(batch: pa.RecordBatch, rarity: np.ndarray) -> pa.RecordBatch:
     rank = np.arange(len(row)) - (np.cumsum(count) - count)[row]
     kept = rank < keep[row]
     row, sig = row[kept], sig[kept]
-    columns = [pa.array(sig.view(np.int64)), batch.column("fp").take(pa.array(row)), pa.array(np.asarray(batch.column("size"))[row]), pa.array(least[row].astype(np.int32))]
+    columns = [pa.array(sig.view(np.int64)), batch.column("fp").take(pa.array(row)), pa.array((np.asarray(batch.column("size")).astype(np.int64) << 32 | least)[row])]
     lists = batch.column("words")
     word = mix(lists.flatten().to_numpy().view(np.uint64))
     doc = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
@@ -137,7 +138,7 @@ def postings_of(batch: pa.RecordBatch, rarity: np.ndarray) -> pa.RecordBatch:
         bits = np.zeros(batch.num_rows, np.uint64)
         np.bitwise_or.at(bits, doc[mine], np.uint64(1) << (bit[mine] % 64).astype(np.uint64))
         columns.append(pa.array(bits.view(np.int64)[row]))
-    return pa.record_batch(columns, names=["col", "fp", "size", "least", *[f"b{k}" for k in range(BITMAP)]])
+    return pa.record_batch(columns, names=["col", "fp", "meta", *[f"b{k}" for k in range(BITMAP)]])
 
 
 def similar_texts(distinct: DataFrame, t: Fraction) -> DataFrame:
@@ -152,17 +153,13 @@ def similar_texts(distinct: DataFrame, t: Fraction) -> DataFrame:
 
     bits = ", ".join(f"b{k} bigint" for k in range(BITMAP))
     sized = distinct.select("fp", "seq", F.array_distinct("seq").alias("words")).withColumn("size", F.size("words"))
-    rows = sized.mapInArrow(kept, f"col bigint, fp bigint, size int, least int, {bits}")
+    rows = sized.mapInArrow(kept, f"col bigint, fp bigint, meta bigint, {bits}")
     x, y = rows.alias("x"), rows.alias("y")
     num, den = t.numerator, t.denominator
     apart = sum((F.bit_count(F.col(f"x.b{k}").bitwiseXOR(F.col(f"y.b{k}"))) for k in range(BITMAP)), F.lit(0))
-    reach = (
-        (F.col("x.fp") < F.col("y.fp"))
-        & (F.col("x.size") * den >= F.col("y.size") * num)
-        & (F.col("y.size") * den >= F.col("x.size") * num)
-        & (apart * (den + num) <= (F.col("x.size") + F.col("y.size")) * (den - num))
-    )
-    product = x.join(y, (F.col("x.col") == F.col("y.col")) & reach).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"), F.least("x.least", "y.least").alias("least"))
+    sx, sy = F.shiftright("x.meta", 32), F.shiftright("y.meta", 32)
+    reach = (F.col("x.fp") < F.col("y.fp")) & (sx * den >= sy * num) & (sy * den >= sx * num) & (apart * (den + num) <= (sx + sy) * (den - num))
+    product = x.join(y, (F.col("x.col") == F.col("y.col")) & reach).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"), F.least(F.col("x.meta").bitwiseAND(0xFFFFFFFF), F.col("y.meta").bitwiseAND(0xFFFFFFFF)).alias("least"))
     pairs = product.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("least").alias("least")).where("n >= least").select("a", "b")
     a = distinct.select(F.col("fp").alias("a"), F.array_distinct("seq").alias("wa"))
     b = distinct.select(F.col("fp").alias("b"), F.array_distinct("seq").alias("wb"))
