@@ -65,8 +65,8 @@ def interleaved(df: DataFrame, source: str, key: str, weights: dict[str, float],
     w = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
     rn = F.row_number().over(Window.partitionBy(source).orderBy(draw(key, seed), key))
     placed = df.where(F.col(source).isin(list(weights))).withColumn("position", rn / F.element_at(w, F.col(source)))
-    ends = placed.groupBy(source).agg(F.max("position").alias("e")).agg(F.min("e").alias("__e"))
-    return placed.join(F.broadcast(ends), F.col("position") <= F.col("__e")).drop("__e")  # one row
+    end = placed.groupBy(source).agg(F.max("position").alias("e")).agg(F.min("e")).first()[0]  # one number
+    return placed.where(F.col("position") <= F.lit(end))
 
 
 def first_rows(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -79,8 +79,8 @@ def refill(df: DataFrame, key: str, valid: str, seed: int = 0) -> DataFrame:
     """(key, used): a valid row uses itself, the i-th invalid one the i-th valid one of the drawn order, round robin."""
     ok = row_numbers(df.where(valid).select(key, draw(key, seed).alias("__d")), ["__d", key]).select(F.col(key).alias("used"), (F.col("rn") - 1).alias("__i"))
     bad = row_numbers(df.where(f"not ({valid})").select(key, draw(key, seed + 1).alias("__d")), ["__d", key]).select(key, F.col("rn").alias("__r"))
-    n = F.broadcast(ok.agg(F.count("*").alias("__n")))  # one row
-    filled = bad.join(n, F.col("__n") > 0).withColumn("__i", F.pmod(F.col("__r") - 1, "__n")).join(ok, "__i").select(key, "used")
+    n = df.where(valid).count()
+    filled = bad.withColumn("__i", F.pmod(F.col("__r") - 1, F.lit(max(n, 1)))).join(ok, "__i").select(key, "used")
     return df.where(valid).select(key, F.col(key).alias("used")).unionByName(filled)
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import stored
+
 
 def mean_metric(df: DataFrame, value: str, nan_value: float = 0.0) -> DataFrame:
     """Mean of the values; `nan_value` for none."""
@@ -63,7 +65,7 @@ def average_rank(value: str) -> Column:
 def distributed_rank(df: DataFrame, value: str) -> DataFrame:
     """`df` with `rank` (ties averaged) without a global window: counts of distinct values are
     summed by range partition first."""
-    counts = df.groupBy(value).agg(F.count("*").alias("__n")).repartitionByRange(value).withColumn("__p", F.spark_partition_id())
+    counts = stored(df.groupBy(value).agg(F.count("*").alias("__n")).repartitionByRange(value).withColumn("__p", F.spark_partition_id()))
     totals = counts.groupBy("__p").agg(F.sum("__n").alias("__t"))
     before = totals.withColumn("__b", F.coalesce(F.sum("__t").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each partition
     inner = F.coalesce(F.sum("__n").over(Window.partitionBy("__p").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

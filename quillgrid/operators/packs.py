@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 
 def best_fit(lengths: list[int], capacity: int) -> list[int]:
     """Bin of each length, longest first into the fullest bin that takes it; longer ones lie alone."""
@@ -58,22 +60,20 @@ def repeated(df: DataFrame, n: int, passes: int = 1) -> DataFrame:
 
 
 def batches(df: DataFrame, order: list[str], size: int, drop_last: bool = False) -> DataFrame:
-    """`df` with `batch`: consecutive rows in order. Row numbers come from range partitions, not from one task."""
-    numbered = row_numbers(df, order)
-    out = numbered.withColumn("batch", F.floor((F.col("rn") - 1) / size))
-    if drop_last:
-        full = numbered.agg((F.floor(F.count("*") / size)).alias("__full"))
-        out = out.join(F.broadcast(full), F.col("batch") < F.col("__full")).drop("__full")  # one row
-    return out
+    """`df` with `rn` and `batch`: consecutive rows in order. Row numbers come from range partitions, not from one task."""
+    out = row_numbers(df, order).withColumn("batch", F.floor((F.col("rn") - 1) / size))
+    return out.where(F.col("batch") < df.count() // size) if drop_last else out
 
 
 def row_numbers(df: DataFrame, order: list[str]) -> DataFrame:
-    """`df` with `rn` from 1 in order: rows are numbered within range partitions, whose counts are then summed."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    """`df` with `rn` from 1 in order: rows are numbered within range partitions, whose counts are
+    then summed. The numbered partitions are stored, so that both reads see the same ones."""
+    ranged = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()))
     part = F.shiftright("__id", 33)
     counts = ranged.groupBy(part.alias("__p")).agg(F.count("*").alias("__n"), F.min("__id").alias("__first"))
     before = counts.withColumn("__b", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each partition
-    return ranged.withColumn("__p", part).join(F.broadcast(before.select("__p", "__b", "__first")), "__p").withColumn("rn", F.col("__b") + F.col("__id") - F.col("__first") + 1).drop("__p", "__b", "__first", "__id")
+    numbered = ranged.withColumn("__p", part).join(F.broadcast(before.select("__p", "__b", "__first")), "__p")  # as many rows as partitions
+    return numbered.withColumn("rn", F.col("__b") + F.col("__id") - F.col("__first") + 1).drop("__p", "__b", "__first", "__id")
 
 
 def minibatch(rn: Column, n: Column, parts: int) -> Column:

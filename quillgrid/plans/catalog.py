@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import messages, packs, rows, scores, tables
+from . import messages, packs, rows, rules, scores, tables
 
-MODULES = [tables, rows, messages, scores, packs]
+MODULES = [tables, rows, rules, messages, scores, packs]
 flagship = tables.flagship
 
 
