@@ -34,7 +34,7 @@ SHARED = Fraction(1, 2)
 COUNT_STEP = 16
 #: Cells of the table of n-gram counts that orders columns by rarity. Fixed: it never grows with the data.
 RARITY_CELLS = 1 << 20
-CHUNK = 1 << 12
+CHUNK_BITS = 12
 #: 64-bit parts of the bitmap of a text's words.
 BITMAP = 4
 
@@ -86,34 +86,27 @@ def cell_of(sig: np.ndarray) -> np.ndarray:
 
 
 def counts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(chunk, n): the counts of all n-grams of a partition, CHUNK cells a row."""
+    """(cell, n) of all n-grams of a partition."""
     total = np.zeros(RARITY_CELLS, np.int64)
     for b in batches:
         if b.num_rows:
             total += np.bincount(cell_of(ngrams_of(b)[1]), minlength=RARITY_CELLS)
-    rows = total.reshape(-1, CHUNK)
-    full = np.flatnonzero(rows.any(axis=1))
-    offsets = pa.array(np.arange(len(full) + 1, dtype=np.int32) * CHUNK)
-    yield pa.record_batch([pa.array(full.astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(rows[full].ravel()))], names=["chunk", "n"])
-
-
-def sum_of(key: tuple, table: pa.Table) -> pa.Table:
-    """The counts of one chunk over all partitions."""
-    total = np.zeros(CHUNK, np.int64)
-    for c in table.column("n").chunks:
-        if len(c):
-            total += c.flatten().to_numpy().reshape(-1, CHUNK).sum(axis=0)
-    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([total.tolist()], pa.list_(pa.int64()))})
+    cell = np.flatnonzero(total)
+    yield pa.record_batch([pa.array(cell.astype(np.int32)), pa.array(total[cell])], names=["cell", "n"])
 
 
 def rarity_of(distinct: DataFrame) -> np.ndarray:
-    """Counts of the cells over all texts; RARITY_CELLS numbers, however many texts there are."""
-    schema = "chunk int, n array<bigint>"
-    sums = distinct.select("seq").mapInArrow(counts_of, schema).groupBy("chunk").applyInArrow(sum_of, schema).toArrow()
-    counts = np.zeros((RARITY_CELLS // CHUNK, CHUNK), np.float32)
-    for chunk, n in zip(sums.column("chunk").to_pylist(), sums.column("n")):
-        counts[chunk] = n.values.to_numpy()
-    return counts.ravel()
+    """Counts of the cells over all texts; RARITY_CELLS numbers, however many texts there are.
+
+    They are summed by cell and come to the driver as 2^CHUNK_BITS cells a row.
+    """
+    sums = distinct.select("seq").mapInArrow(counts_of, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    rows = sums.groupBy(F.shiftright("cell", CHUNK_BITS).alias("chunk")).agg(F.collect_list("cell").alias("cell"), F.collect_list("n").alias("n"))
+    got = rows.select("cell", "n").toArrow()
+    counts = np.zeros(RARITY_CELLS, np.float32)
+    for cells, n in zip(got.column("cell").chunks, got.column("n").chunks):
+        counts[cells.flatten().to_numpy()] = n.flatten().to_numpy()
+    return counts
 
 
 def postings_of(batch: pa.RecordBatch, rarity: np.ndarray) -> pa.RecordBatch:
@@ -178,8 +171,8 @@ def near_duplicates(
     empty and blank texts), take no part. Keys that come again with the same words count
     once. An empty table gives two empty results; other columns of `df` are ignored.
     """
-    rows = stored(word_rows(df, key, texts, counted, min_words))
-    members = rows.select("id", "fp").distinct()
+    rows = word_rows(df, key, texts, counted, min_words)
+    members = stored(rows.select("id", "fp").distinct())
     distinct = stored(rows.select("fp", "seq").dropDuplicates(["fp"]))
     return members, stored(similar_texts(distinct, threshold))
 
