@@ -14,12 +14,23 @@ from .messages import split_at
 
 CALLS = "array<struct<name:string,arguments:string>>"
 #: Keyword weights of the named scales; a pair weighs a keyword and what follows it.
+_PLAIN = {"Thought:": [1.0, 1.0], "Final Answer:": [1.0, 1.0], "Observation:": [2.0, 0.0]}
+_REACT = {"Action:": [2.0, 2.0], "Action Input:": [2.0, 2.0], **_PLAIN}
+_FLAN = ["Name:", "Action:", "ACTION:", "Tool:", "Command", "Arguments:", "action input", "ACTION_INPUT:", "Action Input:"]
+_EMPTY_THINK = {
+    r"<think>\s*</think>\s*": [0.0],
+    r"<seed:think><seed:cot_budget_reflect>The current thinking budget is 0, so I will directly start answering the question.</seed:cot_budget_reflect>\n\n</seed:think>\s*": [0.0],
+}
 SCALES = {
-    "react": {"Action:": [2.0, 2.0], "Action Input:": [2.0, 2.0], "Thought:": [1.0, 1.0], "Final Answer:": [1.0, 1.0], "Observation:": [2.0, 0.0]},
-    "ignore_empty_think": {r"<think>\s*</think>\s*": [0.0]},
+    "react": _REACT,
+    "alpha_umi": _REACT,  # its sixth entry has three numbers and is inert, as written
+    "agentflan": {**dict.fromkeys(_FLAN, [1.0, 3.0]), **_PLAIN},
+    "ignore_empty_think": _EMPTY_THINK,
     "hermes": {r"<tool_call>.+?</tool_call>": [2.0]},
-    "qwen": {"✿FUNCTION✿:": [2.0, 2.0], "✿ARGS✿:": [2.0, 2.0], "✿RETURN✿:": [1.0, 1.0], "✿RESULT✿:": [1.0, 1.0]},
+    "qwen": {"✿FUNCTION✿:": [2.0, 2.0], "✿ARGS✿:": [2.0, 2.0], "✿RETURN✿:": [1.0, 1.0], "✿RESULT✿:": [2.0, 0.0]},
 }
+#: A reply to a query with one of these weighs so much as a whole.
+QUERY_SCALES = {"agentflan": {"What is the tool you want to use": 3.0, "What are the required parameter names": 3.0, "What is the value of": 3.0, "What are the required parameter names for this tool": 3.0}}
 
 
 def react_calls(text: Column) -> Column:
@@ -56,6 +67,22 @@ def coder_call(text: Column) -> Column:
     return F.struct(F.regexp_extract(text, r"<function=([^>]+)>", 1).alias("name"), F.map_from_entries(F.transform(blocks, entry)).alias("arguments"))
 
 
+def calls_as_messages(calls: Column) -> Column:
+    """A JSON list of calls as one tool_call message each; broken JSON gives null."""
+    parsed = F.from_json(calls, "array<string>")
+    return F.transform(parsed, lambda c: F.struct(F.lit("tool_call").alias("role"), c.alias("content")))
+
+
+def wrapped_tool(tool: Column) -> Column:
+    """A tool definition under `function`; one that has it already stays."""
+    there = F.get_json_object(tool, "$.function").isNotNull()
+    return F.when(there, tool).otherwise(F.concat(F.lit('{"type":"function","function":'), tool, F.lit("}")))
+
+
+def unwrapped_tool(tool: Column) -> Column:
+    return F.coalesce(F.get_json_object(tool, "$.function"), tool)
+
+
 def bracket_calls(text: Column, begin: str = "[TOOL_CALLS]") -> Column:
     """A JSON list of calls after a marker."""
     body = F.substring_index(text, begin, -1)
@@ -91,6 +118,14 @@ def keyword_scales(text: Column, scale: str) -> Column:
     return F.filter(both, lambda p: p["text"] != "")
 
 
+def reply_scales(reply: Column, query: Column, scale: str) -> Column:
+    """keyword_scales of a reply, cut short where the query holds a keyword of the scale."""
+    out = keyword_scales(reply, scale)
+    for word, weight in QUERY_SCALES.get(scale, {}).items():
+        out = F.when(F.contains(query, F.lit(word)), F.array(F.struct(reply.alias("text"), F.lit(weight).alias("scale")))).otherwise(out)
+    return out
+
+
 def context_scales(messages: Column, kind: str = "default") -> Column:
     """Loss weight of each message: 'default' assistants, 'last_round' the last assistant, 'all' every one."""
     n = F.size(messages)

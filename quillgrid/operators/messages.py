@@ -185,3 +185,61 @@ def capped_size(width: Column, height: Column, most: int) -> Column:
     """(width, height) of an image scaled down to at most `most` pixels, ratio kept."""
     ratio = F.sqrt(F.least(F.lit(1.0), F.lit(float(most)) / (width * height)))
     return F.struct(F.floor(width * ratio).cast("int").alias("width"), F.floor(height * ratio).cast("int").alias("height"))
+
+
+def lower_bound(values: Column, least: Column) -> Column:
+    """First 0-based place of a sorted array whose value is at least `least`; the size if none."""
+    return F.size(F.filter(values, lambda x: x < least))
+
+
+def upper_bound(values: Column, most: Column) -> Column:
+    """Places whose value is at most `most`."""
+    return F.size(F.filter(values, lambda x: x <= most))
+
+
+def padded(items: Column, size: Column, value, left: bool = False) -> Column:
+    """Filled with `value` up to `size`."""
+    fill = F.array_repeat(F.lit(value), F.greatest(size - F.size(items), F.lit(0)))
+    return F.concat(fill, items) if left else F.concat(items, fill)
+
+
+def closest_ratio(width: Column, height: Column, ratios: list[tuple[int, int]], size: int) -> Column:
+    """The (w, h) of a list nearest to an image's ratio; on ties the later one if the image is large enough."""
+    table = F.array(*[F.struct(F.lit(a).alias("w"), F.lit(b).alias("h")) for a, b in ratios])
+    ratio = width / height
+    off = lambda r: F.abs(ratio - r["w"] / r["h"])
+
+    def step(best: Column, r: Column) -> Column:
+        large = width * height > 0.5 * size * size * r["w"] * r["h"]
+        return F.when((off(r) < off(best)) | ((off(r) == off(best)) & large), r).otherwise(best)
+
+    return F.aggregate(F.slice(table, 2, max(len(ratios) - 1, 1)), F.get(table, F.lit(0)), step)
+
+
+def fingerprint(columns: dict[str, Column]) -> Column:
+    """MD5 of the row as JSON with its keys in order; null fields are left out."""
+    return F.md5(F.to_json(F.struct(*[columns[k].alias(k) for k in sorted(columns)])))
+
+
+def printable(value: Column, most: int = 1000) -> Column:
+    """Long strings by their first 50 characters."""
+    return F.when(F.char_length(value) >= most, F.concat(F.lit("<<<base64:"), F.left(value, F.lit(50)), F.lit("..>>>"))).otherwise(value)
+
+
+def with_think_prefix(messages: Column, prefix: str, last_round_only: bool) -> Column:
+    """Replies without <think> get the prefix; with last_round_only earlier replies lose their reasoning."""
+    n = F.size(messages)
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+
+    def one(m: Column, i: Column) -> Column:
+        c = F.when(m["content"].startswith("<think>") | m["content"].startswith(prefix), m["content"]).otherwise(F.concat(F.lit(prefix), m["content"]))
+        if last_round_only:
+            c = F.when(i < n - 1, strip(without_reasoning(c))).otherwise(c)
+        return F.struct(m["role"].alias("role"), F.when((m["role"] == "assistant") & m["content"].isNotNull(), c).otherwise(m["content"]).alias("content"))
+
+    return F.transform(messages, one)
+
+
+def media_bytes(value: Column) -> Column:
+    """Bytes of a base64 data URL or plain base64; null for anything else."""
+    return F.try_to_binary(F.substring_index(value, ",", -1), F.lit("base64"))

@@ -198,3 +198,37 @@ def rouge_bleu(pred: pd.Series, truth: pd.Series) -> pd.DataFrame:
 def median_of(values: pd.Series) -> float:
     """A grouped metric with its own state, as a pattern for others."""
     return float(values.median()) if len(values) else 0.0
+
+
+def usage_stats(df: DataFrame, key: str, order: str, seconds: float) -> DataFrame:
+    """Last usage of each id, summed, and rates over a time."""
+    last = df.groupBy(key).agg(F.max_by(F.struct("prompt_tokens", "completion_tokens"), order).alias("u"))
+    s = last.agg(F.sum("u.prompt_tokens").alias("prompt_tokens"), F.sum("u.completion_tokens").alias("completion_tokens"), F.count("*").alias("samples"))
+    return s.withColumns({"samples_per_s": F.col("samples") / seconds, "tokens_per_s": F.col("completion_tokens") / seconds})
+
+
+def margin_metrics(df: DataFrame, group: list[str], anchor: str, kind: str, embedding: str) -> DataFrame:
+    """One row (margin, mean_pos, mean_neg) of groups with an anchor (kind 0), a positive (1) and negatives (2).
+
+    Similarities are dot products within a group; the margin is the positive's less the best negative's.
+    """
+    a = df.where(F.col(kind) == 0).select(*group, F.col(embedding).alias("__a"))
+    sims = df.where(F.col(kind) > 0).join(a, group).select(*group, kind, dot(F.col("__a"), F.col(embedding)).alias("s"))
+    per = sims.groupBy(*group).agg(F.max(F.when(F.col(kind) == 1, F.col("s"))).alias("p"), F.max(F.when(F.col(kind) == 2, F.col("s"))).alias("n"), F.sum(F.when(F.col(kind) == 2, F.col("s"))).alias("t"), F.count_if(F.col(kind) == 2).alias("k"))
+    return per.agg(F.avg(F.col("p") - F.col("n")).alias("margin"), F.avg("p").alias("mean_pos"), (F.sum("t") / F.sum("k")).alias("mean_neg"))
+
+
+def best_flags(df: DataFrame, group: list[str], value: str, lowest: bool = True, tolerance: float = 1e-9) -> DataFrame:
+    """`df` with `is_best` within each group."""
+    best = df.groupBy(*group).agg((F.min if lowest else F.max)(value).alias("__best"))
+    return df.join(best, group).withColumn("is_best", F.abs(F.col(value) - F.col("__best")) <= tolerance).drop("__best")
+
+
+def status_counts(df: DataFrame, group: list[str], status: str, kinds: list[str]) -> DataFrame:
+    return df.groupBy(*group).agg(*[F.count_if(F.col(status) == k).alias(k) for k in kinds])
+
+
+def reduced_loss(losses: Column, mask: Column) -> Column:
+    """Mean of a row's unmasked token losses; 0 without any."""
+    kept = F.filter(F.arrays_zip(losses.alias("l"), mask.alias("m")), lambda x: x["m"] > 0)
+    return F.when(F.size(kept) > 0, F.aggregate(kept, F.lit(0.0), lambda s, x: s + x["l"]) / F.size(kept)).otherwise(0.0)

@@ -112,3 +112,40 @@ def without_mark(text: Column) -> Column:
 def parts_text(parts: Column) -> Column:
     """Content parts of (type, text) as one text, other types as <image>."""
     return F.array_join(F.transform(parts, lambda p: F.when(p["type"] == "text", p["text"]).otherwise("<image>")), "")
+
+
+def moved_path(path: Column, moves: dict[str, str]) -> Column:
+    """A path with the first prefix that it holds replaced."""
+    out = path
+    for old, new in reversed(list(moves.items())):
+        out = F.when(path.contains(old), F.replace(path, F.lit(old), F.lit(new))).otherwise(out)
+    return out
+
+
+def countdown_prompt(numbers: Column, target: Column) -> Column:
+    return F.concat(F.lit("Using the numbers ["), F.array_join(numbers.cast("array<string>"), ", "), F.lit("], create an equation that equals "), target.cast("string"), F.lit("."))
+
+
+def folded_history(system: Column, history: Column) -> Column:
+    """History pairs as lines under the system text."""
+    lines = F.transform(history, lambda h: F.concat_ws("\n", F.get(h, F.lit(0)), F.get(h, F.lit(1))))
+    return F.concat_ws("\n", F.nullif(system, F.lit("")), F.array_join(lines, "\n"))
+
+
+def chosen_option(options: Column, answer: Column) -> Column:
+    """The option at a 0-based answer; null beyond the options."""
+    return F.get(options, answer)
+
+
+def first_named(*values: Column) -> Column:
+    """The first value that is neither null nor 'None'."""
+    return F.coalesce(*[F.nullif(v, F.lit("None")) for v in values])
+
+
+def listed(value: Column) -> Column:
+    """A scalar as a list of one; null stays null."""
+    return F.when(value.isNotNull(), F.array(value))
+
+
+def tail_after(text: Column, marker: str) -> Column:
+    return F.when(text.contains(marker), F.substring_index(text, marker, -1)).otherwise(text)

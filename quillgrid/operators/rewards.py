@@ -105,6 +105,40 @@ def multiset_jaccard(a: Column, b: Column) -> Column:
     return F.when(total == 0, 1.0).otherwise(fold(F.least) / total)
 
 
+def last_action(text: Column) -> tuple[Column, Column]:
+    """(action, input) of the last 'Action:' and 'Action Input:'; 'none' and '{}' without them."""
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    after = F.substring_index(text, "Action:", -1)
+    action = F.when(text.contains("Action:"), strip(F.substring_index(after, "Action Input:", 1))).otherwise("none")
+    given = F.when(text.contains("Action Input:"), strip(F.substring_index(text, "Action Input:", -1))).otherwise("{}")
+    return action, given
+
+
+def tool_reward(pred: Column, truth: Column) -> Column:
+    """1.0 if the last action is the true one and its JSON input has the same keys and values.
+
+    Half points for equal keys can't reach 1, and the score bands of inputs that aren't JSON
+    lie above any score, so both give 0, as written.
+    """
+    clean = F.regexp_replace(pred, r"<\|endoftext\|>|<\|im_end\|>", "")
+    clean = F.when(clean.endswith("Observation:"), F.substring_index(clean, "Observation:", 1)).otherwise(clean)
+    (pa, pi), (ta, ti) = last_action(clean), last_action(truth)
+    p, t = F.from_json(pi, "map<string,string>"), F.from_json(ti, "map<string,string>")
+    same = (F.size(p) == F.size(t)) & F.forall(F.map_keys(t), lambda k: F.coalesce(F.try_element_at(p, k) == F.try_element_at(t, k), F.lit(False)))
+    return _flag((pa == ta) & p.isNotNull() & t.isNotNull() & same)
+
+
+def bands_by_step(value: Column, step: Column, at: int, before: tuple[float, float], after: tuple[float, float]) -> Column:
+    """A 0-1 score stretched to a range that changes after a step."""
+    span = lambda r: r[0] + value * (r[1] - r[0])
+    return F.when(step > at, span(after)).otherwise(span(before))
+
+
+def clean_latex(text: Column) -> Column:
+    """Math delimiters off, ends stripped."""
+    return F.regexp_replace(F.regexp_replace(text, r"\\[()\[\]]|\$", ""), r"^\s+|\s+$", "")
+
+
 # ---- Arrow functions ----------------------------------------------------------------------
 _NUMBER = re.compile(r"\d+(?:\.\d+)?|[()+\-*/]")
 

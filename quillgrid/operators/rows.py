@@ -143,3 +143,19 @@ def chosen_and_rejected(messages: Column, rejected: Column) -> Column:
     users = F.filter(F.transform(messages, lambda m, i: F.when(m["role"].isin("user", "tool"), i + 1)), lambda i: i.isNotNull())
     upto = F.coalesce(F.array_max(users), F.lit(0))
     return F.concat(F.slice(messages, F.lit(1), upto), F.array(_message("assistant", rejected)))
+
+
+def checked(df: DataFrame, rules: dict[str, Column], strict: bool = False) -> DataFrame:
+    """`df` with `reason`: the first rule a row breaks, or null. strict: such a row ends the query.
+
+    Rows to drop are those with a reason; they stay countable until they are filtered.
+    """
+    reason = F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()])
+    if strict:
+        reason = F.when(reason.isNotNull(), F.raise_error(reason)).otherwise(F.lit(None).cast("string"))
+    return df.withColumn("reason", reason)
+
+
+def class_label(label: Column) -> Column:
+    """A label as a whole number; null where it isn't one."""
+    return label.try_cast("int")
