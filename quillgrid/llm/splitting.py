@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -135,6 +136,28 @@ def best_cuts(grade: np.ndarray, limit: int, overlap: int) -> list[tuple[int, in
     return out[::-1]
 
 
+#: A single space within words: a pre-token begins there in the text and in every piece of it.
+_SAFE = re.compile(r"(?<=\S) (?=\S)")
+
+
+def own_count(encode, piece: str, at: np.ndarray, a: int, b: int) -> int:
+    """Tokens of a piece on its own: only what precedes its first and follows its last single
+    space can differ from the text's tokens a to b, and is encoded again."""
+    head = _SAFE.search(piece)
+    if head is None:
+        return len(encode(piece))
+    first = head.start()
+    last = piece.rfind(" ")
+    while not (piece[last - 1 : last] and not piece[last - 1].isspace() and piece[last + 1 : last + 2] and not piece[last + 1].isspace()):
+        last = piece.rfind(" ", 0, last)
+    front, tail = piece[:first], piece[last:]
+    begin, end = at[a] + len(front.encode("utf-8")), at[b] - len(tail.encode("utf-8"))
+    i, j = np.searchsorted(at, (begin, end))
+    if at[i] != begin or at[j] != end:
+        return len(encode(piece))
+    return len(encode(front)) + int(j - i) + len(encode(tail))
+
+
 def split_text(text: str, limits: list[tuple[str, int, int]], tokenizer: str, folder: str) -> Iterator[tuple]:
     """(limit_name, piece_no, n_pieces, start_char, end_char, overlap_chars, n_tokens, piece) for every limit the text exceeds."""
     encode, sizes = encoding(tokenizer, folder)
@@ -159,7 +182,7 @@ def split_text(text: str, limits: list[tuple[str, int, int]], tokenizer: str, fo
             if pieces is None:
                 raise ValueError(f"{name}: {limit} tokens are too few for a character")
             texts = [data[at[a] : at[b]].decode("utf-8") for a, b in pieces]
-            counts = [len(encode(t)) for t in texts]
+            counts = [own_count(encode, t, at, a, b) for (a, b), t in zip(pieces, texts)]
             if max(counts) <= limit:
                 break
             room -= max(counts) - limit
