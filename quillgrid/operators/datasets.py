@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .packs import row_numbers
+from .packs import group_row_numbers, row_numbers
 
 
 def draw(key: str, seed: int = 0) -> Column:
@@ -63,8 +63,8 @@ def interleaved(df: DataFrame, source: str, key: str, weights: dict[str, float],
     has this order in the mean.
     """
     w = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
-    rn = F.row_number().over(Window.partitionBy(source).orderBy(draw(key, seed), key))
-    placed = df.where(F.col(source).isin(list(weights))).withColumn("position", rn / F.element_at(w, F.col(source)))
+    drawn = df.where(F.col(source).isin(list(weights))).withColumn("__d", draw(key, seed))
+    placed = group_row_numbers(drawn, [source], ["__d", key]).withColumn("position", F.col("rn") / F.element_at(w, F.col(source))).drop("__d", "rn")
     end = placed.groupBy(source).agg(F.max("position").alias("e")).agg(F.min("e")).first()[0]  # one number
     return placed.where(F.col("position") <= F.lit(end))
 

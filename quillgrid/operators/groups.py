@@ -8,6 +8,8 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .packs import row_numbers
+
 
 def weighted_reward(rewards: dict[str, float]) -> Column:
     """Sum of weight * reward; null and NaN count as 0, also where all are missing."""
@@ -45,17 +47,18 @@ def reward_metrics(df: DataFrame, group: str, reward: str) -> DataFrame:
 
 
 def prompt_ids(df: DataFrame, prompt: str, order: str) -> DataFrame:
-    """(prompt, prompt_id): dense ids from 0 in the order of first occurrence."""
-    first = df.groupBy(prompt).agg(F.min(order).alias("first"))
-    return first.select(prompt, (F.dense_rank().over(Window.orderBy("first")) - 1).alias("prompt_id"))
+    """(prompt, prompt_id): dense ids from 0 in the order of first occurrence (of a unique order value)."""
+    first = df.groupBy(prompt).agg(F.min(order).alias("__min"))
+    return row_numbers(first, ["__min"]).select(prompt, (F.col("rn") - 1).alias("prompt_id"))
 
 
 def best_of_n(df: DataFrame, group: str, score: str, order: str, k: int = 1) -> DataFrame:
-    """(group, rank, worst): the k best of each group by score, later rows first on ties, and its worst row's order value."""
-    w = Window.partitionBy(group)
-    ranked = df.withColumn("rank", F.row_number().over(w.orderBy(F.desc_nulls_last(score), F.desc(order)))).withColumn("__last", F.row_number().over(w.orderBy(F.asc_nulls_first(score), F.asc(order))))
-    worst = ranked.where("__last = 1").select(F.col(group).alias("__g"), F.col(order).alias("worst"))
-    return ranked.where(F.col("rank") <= k).join(worst, F.col(group).eqNullSafe(F.col("__g"))).drop("__g", "__last")
+    """`df` with `rank` and `worst`: the k best of each group by score, later rows first on ties,
+    and its worst row's order value. Ranks up to k are limited before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc_nulls_last(score), F.desc(order)))
+    best = df.withColumn("rank", rank).where(F.col("rank") <= k)
+    worst = df.groupBy(F.col(group).alias("__g")).agg(F.min(F.struct(score, order)).alias("__w"))
+    return best.join(worst, F.col(group).eqNullSafe(F.col("__g"))).withColumn("worst", F.col(f"__w.{order}")).drop("__g", "__w")
 
 
 def tail_rejected(text: Column, tag: str) -> Column:

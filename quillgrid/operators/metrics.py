@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import stored
+from .packs import running_sum
 
 
 def mean_metric(df: DataFrame, value: str, nan_value: float = 0.0) -> DataFrame:
@@ -56,12 +57,6 @@ def paired_rows(df: DataFrame, index: str, embedding: str, label: str) -> DataFr
     return even.join(df.where(F.col(index) % 2 == 1).select(k.alias("pair"), F.col(embedding).alias("b")), "pair")
 
 
-def average_rank(value: str) -> Column:
-    """Rank with the mean of ties. One global window: for report-sized inputs; sharded ranks come from `distributed_rank`."""
-    w = Window.orderBy(value)
-    return F.rank().over(w) + (F.count("*").over(Window.partitionBy(value)) - 1) / 2.0
-
-
 def distributed_rank(df: DataFrame, value: str) -> DataFrame:
     """`df` with `rank` (ties averaged) without a global window: counts of distinct values are
     summed by range partition first."""
@@ -73,10 +68,9 @@ def distributed_rank(df: DataFrame, value: str) -> DataFrame:
     return df.join(ranks, value)
 
 
-def reranker_groups(df: DataFrame, order: str, label: str, shard: list[str] | None = None) -> DataFrame:
-    """`df` with `group`: a group begins at each positive label, within a shard."""
-    w = Window.partitionBy(*(shard or [F.lit(0)])).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("group", F.sum(F.col(label).cast("bigint")).over(w))
+def reranker_groups(df: DataFrame, order: str, label: str, shard: list[str]) -> DataFrame:
+    """`df` with `group`: a group begins at each positive label, within a shard. Hot shards are split."""
+    return running_sum(df, shard, [order], F.coalesce(F.col(label), F.lit(0)).cast("bigint"), "group")
 
 
 def mrr_ndcg(df: DataFrame, group: list[str], score: str, label: str, order: str) -> DataFrame:

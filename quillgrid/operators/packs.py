@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,6 +79,29 @@ def row_numbers(df: DataFrame, order: list[str]) -> DataFrame:
     return numbered.withColumn("rn", F.col("__b") + F.col("__id") - F.col("__first") + 1).drop("__p", "__b", "__first", "__id")
 
 
+def group_row_numbers(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """`df` with `rn` from 1 within each group. A hot group lies in many range partitions, so no task sorts all of it."""
+    rn = row_numbers(df, [*group, *order])
+    first = rn.groupBy(*group).agg(F.min("rn").alias("__first"))
+    same = reduce(and_, [F.col(f"__l.{g}").eqNullSafe(F.col(f"__r.{g}")) for g in group])
+    return rn.alias("__l").join(first.alias("__r"), same).select("__l.*", (F.col("rn") - F.col("__first") + 1).alias("__k")).drop("rn").withColumnRenamed("__k", "rn")
+
+
+def running_sum(df: DataFrame, group: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """`df` with the running sum of a value within each group, in order.
+
+    Rows are range-partitioned by group and order, so a hot group is spread over many
+    partitions; each is summed on its own and the sums of those before are added.
+    """
+    ranged = df.withColumn("__v", value).repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
+    ranged = stored(ranged.withColumn("__p", F.spark_partition_id()))
+    totals = ranged.groupBy(*group, "__p").agg(F.sum("__v").alias("__t"))
+    before = totals.withColumn("__b", F.coalesce(F.sum("__t").over(Window.partitionBy(*group).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # at most a row for each partition
+    inner = ranged.withColumn("__s", F.sum("__v").over(Window.partitionBy(*group, "__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    same = reduce(and_, [F.col(f"__l.{g}").eqNullSafe(F.col(f"__r.{g}")) for g in [*group, "__p"]])
+    return inner.alias("__l").join(before.alias("__r"), same).select("__l.*", (F.col("__s") + F.col("__b")).alias(name)).drop("__v", "__p", "__s")
+
+
 def minibatch(rn: Column, n: Column, parts: int) -> Column:
     """0-based part of row rn of n; the first parts take the remainder, as ntile does."""
     base, more = F.floor(n / parts), n % parts

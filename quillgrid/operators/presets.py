@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .packs import running_sum
+
 #: Fixed values.
 INPUT_PREFIX, ANSWER_PREFIX = "输入：", "Answer: "
 
@@ -73,9 +75,8 @@ def existing(df: DataFrame, path: str, files: DataFrame) -> DataFrame:
 
 
 def sessions(df: DataFrame, user: list[str], order: list[str], starts: Column) -> DataFrame:
-    """`df` with `session`: a row that starts one begins the next number within its user."""
-    w = Window.partitionBy(*user).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("session", F.sum(starts.cast("bigint")).over(w))
+    """`df` with `session`: a row that starts one begins the next number within its user. Hot users are split."""
+    return running_sum(df, user, order, F.coalesce(starts, F.lit(False)).cast("bigint"), "session")
 
 
 def overlapping(spans: Column) -> Column:

@@ -262,10 +262,10 @@ def j02_key_join(spark: SparkSession, d: str) -> DataFrame:
     return o.join(li, "o_orderkey").groupBy("c_custkey").agg(F.round(F.avg("l_quantity"), 6).alias("m"))
 
 
-@BOOK.query("SELECT event_type, median(value)::DOUBLE AS median FROM events GROUP BY 1")
+@BOOK.query("SELECT l_orderkey, median(l_quantity)::DOUBLE AS median FROM lineitem GROUP BY 1")
 def x08_own_metric(spark: SparkSession, d: str) -> DataFrame:
-    """The Arrow metric state of each event type; a bounded group in each partition of the type would be merged for large ones."""
-    return table(spark, d, "events").groupBy("event_type").agg(F.expr("median(value)").alias("median"))
+    """A metric with its own state, over the few lines of an order."""
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.expr("median(l_quantity)").alias("median"))
 
 
 @BOOK.query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM (SELECT l_returnflag, l_linestatus FROM lineitem INTERSECT ALL SELECT o_orderstatus, o_orderstatus FROM orders) GROUP BY 1, 2")

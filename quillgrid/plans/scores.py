@@ -152,11 +152,13 @@ def g11_tree_pairs(spark: SparkSession, d: str) -> DataFrame:
     return groups.tree_pairs(n, 10)
 
 
-@BOOK.query(f"SELECT prompt_id, string_agg(request_id, ',' ORDER BY idx, request_id) AS steps FROM {REWARDS} WHERE prompt_id IN (SELECT prompt_id FROM {REWARDS} WHERE r_format = 0) GROUP BY 1")
+@BOOK.query("SELECT l_orderkey, string_agg(l_partkey, ',' ORDER BY l_linenumber, l_partkey) AS steps FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') GROUP BY 1")
 def g12_trajectories(spark: SparkSession, d: str) -> DataFrame:
-    r = _rewards(spark, d)
-    t = groups.trajectories(r.select("prompt_id", "idx", "request_id"), r.where("r_format = 0"), "prompt_id", "idx")
-    return t.select("prompt_id", F.array_join(F.transform("steps", lambda s: s["request_id"]), ",").alias("steps"))
+    """The steps of a request, here the few lines of an order."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    wanted = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
+    t = groups.trajectories(li, wanted, "l_orderkey", "l_linenumber")
+    return t.select("l_orderkey", F.array_join(F.transform("steps", lambda s: s["l_partkey"].cast("string")), ",").alias("steps"))
 
 
 @BOOK.query("SELECT avg((label = vec_id % 10)::INT)::DOUBLE AS accuracy FROM embeddings")
@@ -209,13 +211,11 @@ def m05_channel(spark: SparkSession, d: str) -> DataFrame:
 
 
 @BOOK.query("""
-WITH e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
-s AS (SELECT a.user_id, a.k, sum(0.1 * b.value * power(0.9, a.k - b.k)) / (1 - power(0.9, a.k)) AS v FROM e a JOIN e b ON a.user_id = b.user_id AND b.k <= a.k GROUP BY 1, 2, a.k)
-SELECT user_id, k, round(v, 5)::DOUBLE AS smoothed FROM s""")
+SELECT vec_id, k, round(list_sum(list_transform(range(1, k + 1), lambda j: 0.1 * embedding[j]::DOUBLE * power(0.9, k - j))) / (1 - power(0.9, k)), 5)::DOUBLE AS smoothed FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS k FROM embeddings)""")
 def m07_smoothing(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"]).alias("v"))
-    s = e.select("user_id", F.posexplode(metrics.smoothed(F.col("v"))).alias("k", "s"))
-    return s.select("user_id", (F.col("k") + 1).cast("bigint").alias("k"), F.round("s", 5).alias("smoothed"))
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    s = e.select("vec_id", F.posexplode(metrics.smoothed(F.col("v"))).alias("k", "s"))
+    return s.select("vec_id", (F.col("k") + 1).cast("bigint").alias("k"), F.round("s", 5).alias("smoothed"))
 
 
 @BOOK.query("""
