@@ -33,10 +33,12 @@ SHARED = Fraction(1, 2)
 #: One more common n-gram is asked of a pair for every so many n-grams of the smaller text.
 COUNT_STEP = 16
 #: Cells of the table of n-gram counts that orders columns by rarity. Fixed: it never grows with the data.
-RARITY_CELLS = 1 << 20
+RARITY_CELLS = 1 << 19
 CHUNK_BITS = 12
+#: Up to so many candidate pairs the ids in them are broadcast: 8 MB of ids at most.
+FEW_PAIRS = 500_000
 #: 64-bit parts of the bitmap of a text's words.
-BITMAP = 4
+BITMAP = 3
 
 
 def words_of(text: Column) -> Column:
@@ -154,8 +156,12 @@ def similar_texts(distinct: DataFrame, t: Fraction) -> DataFrame:
     reach = (F.col("x.fp") < F.col("y.fp")) & (sx * den >= sy * num) & (sy * den >= sx * num) & (apart * (den + num) <= (sx + sy) * (den - num))
     product = x.join(y, (F.col("x.col") == F.col("y.col")) & reach).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"), F.least(F.col("x.meta").bitwiseAND(0xFFFFFFFF), F.col("y.meta").bitwiseAND(0xFFFFFFFF)).alias("least"))
     pairs = product.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("least").alias("least")).where("n >= least").select("a", "b")
-    a = distinct.select(F.col("fp").alias("a"), F.array_distinct("seq").alias("wa"))
-    b = distinct.select(F.col("fp").alias("b"), F.array_distinct("seq").alias("wb"))
+    pairs = stored(pairs)
+    # Only texts in a candidate pair are moved. Their ids are broadcast if they are few, else joined by hash.
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    asked = distinct.join(F.broadcast(ids) if pairs.count() <= FEW_PAIRS else ids, "fp", "left_semi")
+    a = asked.select(F.col("fp").alias("a"), F.array_distinct("seq").alias("wa"))
+    b = asked.select(F.col("fp").alias("b"), F.array_distinct("seq").alias("wb"))
     both = pairs.join(a, "a").join(b, "b").withColumn("n", F.size(F.array_intersect("wa", "wb")))
     return both.where(F.col("n") * den >= (F.size("wa") + F.size("wb") - F.col("n")) * num).select("a", "b")
 
