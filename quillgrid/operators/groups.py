@@ -129,3 +129,8 @@ def path_rewards(nodes: DataFrame) -> DataFrame:
 def uct(value: Column, visits: Column, parent_visits: Column, c: float = 1.4) -> Column:
     """Upper confidence bound of a tree node; unvisited nodes come first."""
     return F.when(visits == 0, F.lit(float("inf"))).otherwise(value + c * F.sqrt(F.ln(parent_visits) / visits))
+
+
+def turn_totals(df: DataFrame, key: str, turn: str, reward: str) -> DataFrame:
+    """(key, n_turns, total_reward, last_reward) of recorded trajectories; null rewards count as none."""
+    return df.groupBy(key).agg(F.count("*").alias("n_turns"), F.coalesce(F.sum(reward), F.lit(0.0)).alias("total_reward"), F.max_by(reward, turn).alias("last_reward"))

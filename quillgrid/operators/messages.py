@@ -243,3 +243,25 @@ def with_think_prefix(messages: Column, prefix: str, last_round_only: bool) -> C
 def media_bytes(value: Column) -> Column:
     """Bytes of a base64 data URL or plain base64; null for anything else."""
     return F.try_to_binary(F.substring_index(value, ",", -1), F.lit("base64"))
+
+
+def with_dynamic_end(ids: Column, labels: Column, end: list[int]) -> Column:
+    """Labels with the end tokens supervised that open a masked gap between two supervised stretches."""
+    k = len(end)
+    mark = F.array(*map(F.lit, end))
+    opens = lambda p: (p > 0) & (F.get(labels, p - 1) >= 0) & F.forall(F.slice(labels, p + 1, k), lambda x: x == -100)
+    inner = lambda p: F.exists(F.slice(labels, p + k + 1, F.size(labels)), lambda x: x >= 0)
+    places = F.filter(find_all(ids, mark), lambda p: opens(p) & inner(p))
+    return F.transform(labels, lambda x, i: F.when(F.exists(places, lambda p: (p <= i) & (i < p + k)), F.get(ids, i)).otherwise(x))
+
+
+def split_media(parts: Column) -> tuple[Column, Column]:
+    """Content parts of (type, text, url) as (text with a tag for each medium, the urls); x_url counts as x."""
+    kind = lambda p: F.regexp_replace(p["type"], "_url$", "")
+    text = F.array_join(F.transform(parts, lambda p: F.when(p["type"] == "text", F.coalesce(p["text"], F.lit(""))).otherwise(F.concat(F.lit("<"), kind(p), F.lit(">")))), "")
+    return text, F.transform(F.filter(parts, lambda p: p["type"] != "text"), lambda p: p["url"])
+
+
+def task_row(parts: dict[str, Column], fields: list[str]) -> list[Column]:
+    """Encoded rows of a task side by side: name_field for each part, as in preference or pair training."""
+    return [part[f].alias(f"{name}_{f}") for name, part in parts.items() for f in fields]

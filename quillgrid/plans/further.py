@@ -159,4 +159,32 @@ def r15_last_turn(spark: SparkSession, d: str) -> DataFrame:
     return r.join(last, "prompt_id").select("request_id", "score")
 
 
+@BOOK.query("SELECT n_nationkey, '-100,1,' || CASE WHEN n_regionkey = 0 THEN '9' ELSE '-100' END || ',-100,2' AS labels FROM nation")
+def a20_dynamic_end(spark: SparkSession, d: str) -> DataFrame:
+    """The end token 9 after a supervised stretch is supervised where it is there (region 0)."""
+    ids = F.array(F.lit(5), F.lit(1), F.when(F.col("n_regionkey") == 0, 9).otherwise(8), F.lit(7), F.lit(2))
+    labels = messages.with_dynamic_end(ids, F.array(*map(F.lit, [-100, 1, -100, -100, 2])), [9])
+    return table(spark, d, "nation").select("n_nationkey", F.array_join(labels.cast("array<string>"), ",").alias("labels"))
+
+
+@BOOK.query("SELECT n_nationkey, n_name || '<image>' || n_regionkey AS text, n_name || '.png' AS urls FROM nation")
+def row24_split_media(spark: SparkSession, d: str) -> DataFrame:
+    part = lambda kind, t, u: F.struct(F.lit(kind).alias("type"), t.cast("string").alias("text"), u.cast("string").alias("url"))
+    text, urls = messages.split_media(F.array(part("text", F.col("n_name"), F.lit(None)), part("image_url", F.lit(None), F.concat("n_name", F.lit(".png"))), part("text", F.col("n_regionkey"), F.lit(None))))
+    return table(spark, d, "nation").select("n_nationkey", text.alias("text"), F.array_join(urls, "|").alias("urls"))
+
+
+@BOOK.query("SELECT n_nationkey, n_name AS chosen_text, n_regionkey AS chosen_length, 'x' AS rejected_text, 1 AS rejected_length FROM nation")
+def a23_task_row(spark: SparkSession, d: str) -> DataFrame:
+    one = lambda t, n: F.struct(t.alias("text"), n.alias("length"))
+    cols = messages.task_row({"chosen": one(F.col("n_name"), F.col("n_regionkey")), "rejected": one(F.lit("x"), F.lit(1))}, ["text", "length"])
+    return table(spark, d, "nation").select("n_nationkey", *cols)
+
+
+@BOOK.query("SELECT l_orderkey, count(*) AS n_turns, round(sum(l_quantity), 4)::DOUBLE AS total_reward, arg_max(l_quantity, l_linenumber) AS last_reward FROM lineitem GROUP BY 1")
+def w09_turn_totals(spark: SparkSession, d: str) -> DataFrame:
+    t = groups.turn_totals(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber", "l_quantity")
+    return t.withColumn("total_reward", F.round("total_reward", 4))
+
+
 QUERIES, ORACLE = BOOK.queries, BOOK.oracle
