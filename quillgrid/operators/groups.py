@@ -132,5 +132,6 @@ def uct(value: Column, visits: Column, parent_visits: Column, c: float = 1.4) ->
 
 
 def turn_totals(df: DataFrame, key: str, turn: str, reward: str) -> DataFrame:
-    """(key, n_turns, total_reward, last_reward) of recorded trajectories; null rewards count as none."""
-    return df.groupBy(key).agg(F.count("*").alias("n_turns"), F.coalesce(F.sum(reward), F.lit(0.0)).alias("total_reward"), F.max_by(reward, turn).alias("last_reward"))
+    """(key, n_turns, total_reward, last_reward) of recorded trajectories; null rewards count as
+    none, and of several rows of the last turn the largest counts."""
+    return df.groupBy(key).agg(F.count("*").alias("n_turns"), F.coalesce(F.sum(reward), F.lit(0.0)).alias("total_reward"), F.max_by(reward, F.struct(turn, reward)).alias("last_reward"))

@@ -181,7 +181,7 @@ def a23_task_row(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select("n_nationkey", *cols)
 
 
-@BOOK.query("SELECT l_orderkey, count(*) AS n_turns, round(sum(l_quantity), 4)::DOUBLE AS total_reward, arg_max(l_quantity, l_linenumber) AS last_reward FROM lineitem GROUP BY 1")
+@BOOK.query("SELECT l_orderkey, count(*) AS n_turns, round(sum(l_quantity), 4)::DOUBLE AS total_reward, arg_max(l_quantity, l_linenumber * 1000 + l_quantity) AS last_reward FROM lineitem GROUP BY 1")
 def w09_turn_totals(spark: SparkSession, d: str) -> DataFrame:
     t = groups.turn_totals(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber", "l_quantity")
     return t.withColumn("total_reward", F.round("total_reward", 4))
