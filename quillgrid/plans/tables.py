@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import markup, tables
-from ..session import table
+from ..session import scan, table
 from .base import Book, once
 
 BOOK = Book()
@@ -91,16 +91,18 @@ def t06_flagship(spark: SparkSession, d: str) -> DataFrame:
 @BOOK.query()
 def t07_examples_html(spark: SparkSession, d: str) -> DataFrame:
     """Every value as HTML, and whether that is the record's own HTML in normal form."""
-    e = once(spark, d, "examples_output", "record_id", ["otsl", "html"])
+    e = scan(spark, d, "examples_output", ["record_id", "otsl", "html"])
     made = tables.otsl_to_html("otsl")
-    return e.select("record_id", made.alias("html"), markup.normal_table_udf("otsl").eqNullSafe(markup.normal_table_udf("html")).alias("same"))
+    out = e.select("record_id", made.alias("html"), markup.normal_table_udf("otsl").eqNullSafe(markup.normal_table_udf("html")).alias("same"))
+    return out.dropDuplicates(["record_id"])
 
 
 @BOOK.query()
 def t08_teds(spark: SparkSession, d: str) -> DataFrame:
     """Similarity of each value's table with the record's own HTML, with and without content."""
-    e = once(spark, d, "examples_output", "record_id", ["otsl", "html"]).select("record_id", markup.normal_table_udf("otsl").alias("p"), markup.normal_table_udf("html").alias("t"))
-    return e.select("record_id", F.round(markup.teds_udf()("p", "t"), 9).alias("teds"), F.round(markup.teds_udf(True)("p", "t"), 9).alias("teds_structure"))
+    e = scan(spark, d, "examples_output", ["record_id", "otsl", "html"]).select("record_id", markup.normal_table_udf("otsl").alias("p"), markup.normal_table_udf("html").alias("t"))
+    out = e.select("record_id", F.round(markup.teds_udf()("p", "t"), 9).alias("teds"), F.round(markup.teds_udf(True)("p", "t"), 9).alias("teds_structure"))
+    return out.dropDuplicates(["record_id"])
 
 
 @BOOK.query("SELECT r_regionkey AS region_id, 1.0::DOUBLE AS teds FROM region")
@@ -137,8 +139,8 @@ def t12_completion_gate(spark: SparkSession, d: str) -> DataFrame:
 
 @BOOK.query()
 def t13_normal_html(spark: SparkSession, d: str) -> DataFrame:
-    e = once(spark, d, "examples_output", "record_id", ["html"])
-    return e.select("record_id", markup.normalize_html_udf("html").alias("html"), F.size(markup.cell_tokens("html")).alias("n_cell_tokens"))
+    e = scan(spark, d, "examples_output", ["record_id", "html"])
+    return e.select("record_id", markup.normalize_html_udf("html").alias("html"), F.size(markup.cell_tokens("html")).alias("n_cell_tokens")).dropDuplicates(["record_id"])
 
 
 QUERIES, ORACLE = BOOK.queries, BOOK.oracle

@@ -84,3 +84,11 @@ def ship(spark: SparkSession) -> None:
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def scan(spark: SparkSession, folder: str, name: str, columns: list[str]) -> DataFrame:
+    """Columns of a table for work that is heavy on each row. Where the files give tasks for less
+    than half of the cores (few or unsplittable files), rows are dealt out to all; else nothing moves."""
+    df = table(spark, folder, name).select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
