@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import stored, table
+from ..session import scan, stored, table
 from .encode import encode_corpus, with_token_counts
 from .mixing import mixture
 from .neardup import near_duplicates, version_groups, version_pairs
@@ -19,17 +19,17 @@ from .truncation import truncated, truncation_rates
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return truncated(table(spark, d, "examples_output")).where("cut").select(F.col("id").alias("record_id"), "field")
+    return truncated(scan(spark, d, "examples_output", ["record_id", "otsl", "html", "source"])).where("cut").select(F.col("id").alias("record_id"), "field")
 
 
 def p1_rates(spark: SparkSession, d: str) -> DataFrame:
-    return truncation_rates(truncated(table(spark, d, "examples_output")))
+    return truncation_rates(truncated(scan(spark, d, "examples_output", ["record_id", "otsl", "html", "source"])))
 
 
 def _items(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Messages of chatml and outputs of alpaca: (row_id, part, n_tokens), each key once."""
-    messages = table(spark, d, "chatml").select("row_id", F.posexplode("messages").alias("part", "m")).select("row_id", "part", F.col("m.content").alias("text"))
-    outputs = table(spark, d, "alpaca").select("row_id", F.lit(0).alias("part"), F.col("output").alias("text"))
+    messages = scan(spark, d, "chatml", ["row_id", "messages"]).select("row_id", F.posexplode("messages").alias("part", "m")).select("row_id", "part", F.col("m.content").alias("text"))
+    outputs = scan(spark, d, "alpaca", ["row_id", "output"]).select("row_id", F.lit(0).alias("part"), F.col("output").alias("text"))
     return tuple(stored(with_token_counts(t.where("text <> ''"), "text", ["row_id", "part"]).dropDuplicates(["row_id", "part"])) for t in (messages, outputs))
 
 
@@ -61,7 +61,7 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return near_duplicates(table(spark, d, "alpaca"), "row_id", ["instruction", "output"], counted="output", min_words=60)
+    return near_duplicates(scan(spark, d, "alpaca", ["row_id", "instruction", "output"]), "row_id", ["instruction", "output"], counted="output", min_words=60)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -73,27 +73,27 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return repetition(table(spark, d, "examples_output"), only_found=True).select(F.col("id").alias("record_id"))
+    return repetition(scan(spark, d, "examples_output", ["record_id", "otsl"]), only_found=True).select(F.col("id").alias("record_id"))
 
 
 def p4_shares(spark: SparkSession, d: str) -> DataFrame:
-    r = repetition(table(spark, d, "examples_output"))
+    r = repetition(scan(spark, d, "examples_output", ["record_id", "otsl"]))
     return r.select(F.col("id").alias("record_id"), "n_words", F.round("share", 9).alias("share"), F.round("probability", 6).alias("probability"), "likely", "broken")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    alpaca = defective_pairs(table(spark, d, "alpaca"), "row_id", "instruction", "output")
-    multi = defective_pairs(table(spark, d, "multi_modal_2"), "row_id", "query", "response")
+    alpaca = defective_pairs(scan(spark, d, "alpaca", ["row_id", "instruction", "output"]), "row_id", "instruction", "output")
+    multi = defective_pairs(scan(spark, d, "multi_modal_2", ["row_id", "query", "response"]), "row_id", "query", "response")
     named = lambda t, n: t.select(F.lit(n).alias("table_name"), F.col("id").alias("row_id"), "defect")
     return named(alpaca, "alpaca").unionByName(named(multi, "multi_modal_2"))
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
-    return encode_corpus(table(spark, d, "documents"), "doc_id", "text")
+    return encode_corpus(scan(spark, d, "documents", ["doc_id", "text"]), "doc_id", "text")
 
 
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs = with_token_counts(table(spark, d, "documents"), "text", ["doc_id", "source"])
+    docs = with_token_counts(scan(spark, d, "documents", ["doc_id", "source", "text"]), "text", ["doc_id", "source"])
     return mixture(docs, table(spark, d, "mix_targets"))
 
 
@@ -107,7 +107,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     limits = [(r["limit_name"], r["max_tokens"], r["overlap_tokens"] or 0) for r in table(spark, d, "size_limits").where("limit_name like 'split%'").orderBy("limit_name").collect()]  # a fixed list
-    return split_oversized(table(spark, d, "documents"), "doc_id", "text", limits)
+    return split_oversized(scan(spark, d, "documents", ["doc_id", "text"]), "doc_id", "text", limits)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
