@@ -1,14 +1,15 @@
-"""Near-duplicate records by a blocked sparse product of documents and n-grams.
-
-The incidence matrix has a row for each distinct text and a column for each n-gram of
-three consecutive words. Two texts whose word sets are at least the threshold alike differ
-in few words, and each changed word alters at most three n-grams, so versions keep far more
-than half of them (`SHARED`). Hence each row keeps only its rarest n-grams, one part beyond
-that bound (a prefix filter: no pair that shares half of the larger row's n-grams can be
-missed); the product of the kept columns is formed block by block as a join on the column;
-pairs out of reach by their sizes or by the bits of their word sets are discarded as they
-arise, overlap counts are accumulated, pairs below the size-derived count are discarded, and
-the rest are compared over their whole word sets.
+"""Near-duplicate records by a blocked sparse product of distinct word sets.
+
+The incidence matrix has a row for each distinct set of words and a column for each chain of
+words in it, in one order of all words, the rarest first. Two sets that are at least the
+threshold alike have a least number of words in common, so the first k of these lie in the
+first words of both sets, up to a length that the size gives (a prefix filter of k words):
+no such pair can be missed, whatever the order of words in the texts. A set's columns are the
+words of its prefix; a column that many sets have is replaced by the columns of that word and
+each later word of the prefix, and those that are still hot by chains of `DEPTH` words. The
+product is formed block by block as a join on the column; pairs out of reach by their sizes,
+by what is left after the chain, or by the bits of their sets are discarded as they arise,
+and the rest are compared over their whole word sets.
 """
 
 from __future__ import annotations
@@ -26,15 +27,16 @@ from .components import components
 
 #: A word is a maximal run of letters or digits.
 WORD = r"[\p{L}\p{N}]+"
-#: Words of an n-gram.
-N = 3
-#: Share of the larger text's n-grams that versions have in common at least.
-SHARED = Fraction(1, 2)
-#: One more common n-gram is asked of a pair for every so many n-grams of the smaller text.
-COUNT_STEP = 16
-#: Cells of the table of n-gram counts that orders columns by rarity. Fixed: it never grows with the data.
-RARITY_CELLS = 1 << 19
+#: Longest chain of words that makes a column.
+DEPTH = 3
+#: A chain that more sets have than this, and twice the mean of its table, is hot and is lengthened.
+HOT = 192
+#: Cells of the tables of counts by word and by chain. Fixed: they never grow with the data, and a
+#: cell that several share can only make a chain longer, never lose a pair.
+CELLS = 1 << 19
 CHUNK_BITS = 12
+#: Sets whose chains are formed at a time.
+SLICE = 1000
 #: Up to so many candidate pairs the ids in them are broadcast: 8 MB of ids at most.
 FEW_PAIRS = 500_000
 #: 64-bit parts of the bitmap of a text's words.
@@ -46,14 +48,14 @@ def words_of(text: Column) -> Column:
 
 
 def word_rows(df: DataFrame, key: str, texts: list[str], counted: str | None, min_words: int) -> DataFrame:
-    """(id, fp, seq): the hashed words of the texts taken together, in order, and the hash of that list."""
+    """(id, fp, words): the hashed distinct words of the texts taken together, sorted, and the hash of that list."""
     joined = F.concat_ws(" ", *[F.coalesce(F.col(t), F.lit("")) for t in texts])
     out = df.select(F.col(key).alias("id"), joined.alias("t"), (F.col(counted) if counted else joined).alias("c"))
     if min_words > 1:
         # A text of fewer characters than this can't hold so many words: the costly count is skipped.
         out = out.where((F.length("c") >= 2 * min_words - 1) & (F.size(words_of(F.col("c"))) >= min_words))
-    out = out.select("id", F.transform(words_of(F.col("t")), lambda w: F.xxhash64(w)).alias("seq")).where(F.size("seq") > 0)
-    return out.select("id", F.xxhash64("seq").alias("fp"), "seq")
+    out = out.select("id", F.array_sort(F.array_distinct(F.transform(words_of(F.col("t")), lambda w: F.xxhash64(w)))).alias("words")).where(F.size("words") > 0)
+    return out.select("id", F.xxhash64("words").alias("fp"), "words")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -62,106 +64,155 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def ngrams_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of the distinct n-grams of a batch, sorted; a text of fewer words is one n-gram."""
-    lists = batch.column("seq")
-    word = mix(lists.flatten().to_numpy().view(np.uint64))
-    size = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-    row = np.repeat(np.arange(len(size)), size)
-    left = np.cumsum(size)[row] - np.arange(len(row))  # words from here to the end of the row
-    sig = word.copy()
-    for k in range(1, N):
-        more = np.zeros(len(word), np.uint64)
-        more[:-k] = word[k:]
-        sig = np.where(left > k, mix(sig * np.uint64(3) + more), sig)
-    first = np.concatenate([[True], row[1:] != row[:-1]])
-    whole = (left >= N) | (first & (size[row] < N))
-    row, sig = row[whole], sig[whole]
-    order = np.lexsort((sig, row))
-    row, sig = row[order], sig[order]
-    new = np.concatenate([[True], (row[1:] != row[:-1]) | (sig[1:] != sig[:-1])])
-    return row[new], sig[new]
-
-
 def cell_of(sig: np.ndarray) -> np.ndarray:
-    return (sig & np.uint64(RARITY_CELLS - 1)).astype(np.int64)
+    return (sig & np.uint64(CELLS - 1)).astype(np.int64)
 
 
-def counts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cell, n) of all n-grams of a partition."""
-    total = np.zeros(RARITY_CELLS, np.int64)
-    for b in batches:
-        if b.num_rows:
-            total += np.bincount(cell_of(ngrams_of(b)[1]), minlength=RARITY_CELLS)
-    cell = np.flatnonzero(total)
-    yield pa.record_batch([pa.array(cell.astype(np.int32)), pa.array(total[cell])], names=["cell", "n"])
+def lists_of(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a column of lists one after another, and the size of each list."""
+    lists = batch.column(name)
+    return lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.diff(lists.offsets.to_numpy()).astype(np.int64)
 
 
-def rarity_of(distinct: DataFrame) -> np.ndarray:
-    """Counts of the cells over all texts; RARITY_CELLS numbers, however many texts there are.
+def cell_counts(df: DataFrame, keys_of) -> np.ndarray:
+    """Counts by cell of the keys that `keys_of` gives for each batch; CELLS numbers, however many keys.
 
     They are summed by cell and come to the driver as 2^CHUNK_BITS cells a row.
     """
-    sums = distinct.select("seq").mapInArrow(counts_of, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for b in batches:
+            for part in slices(b):
+                total += np.bincount(cell_of(keys_of(part)), minlength=CELLS)
+        cell = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(cell.astype(np.int32)), pa.array(total[cell])], names=["cell", "n"])
+
+    sums = df.mapInArrow(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
     rows = sums.groupBy(F.shiftright("cell", CHUNK_BITS).alias("chunk")).agg(F.collect_list("cell").alias("cell"), F.collect_list("n").alias("n"))
     got = rows.select("cell", "n").toArrow()
-    counts = np.zeros(RARITY_CELLS, np.float32)
+    counts = np.zeros(CELLS, np.float32)
     for cells, n in zip(got.column("cell").chunks, got.column("n").chunks):
         counts[cells.flatten().to_numpy()] = n.flatten().to_numpy()
     return counts
 
 
-def postings_of(batch: pa.RecordBatch, rarity: np.ndarray) -> pa.RecordBatch:
-    """The kept n-grams of a batch: (col, fp, meta, b0 ...); meta is the number of words and,
-    in its lower half, of n-grams a pair must have in common."""
-    row, sig = ngrams_of(batch)
-    count = np.bincount(row, minlength=batch.num_rows)
-    least = 1 + count // COUNT_STEP
-    keep = count - np.ceil(count * float(SHARED)).astype(np.int64) + least
-    order = np.lexsort((sig, rarity[cell_of(sig)], row))  # rarest first; equal rarity by the n-gram itself
-    row, sig = row[order], sig[order]
-    rank = np.arange(len(row)) - (np.cumsum(count) - count)[row]
-    kept = rank < keep[row]
-    row, sig = row[kept], sig[kept]
-    columns = [pa.array(sig.view(np.int64)), batch.column("fp").take(pa.array(row)), pa.array((np.asarray(batch.column("size")).astype(np.int64) << 32 | least)[row])]
-    lists = batch.column("words")
-    word = mix(lists.flatten().to_numpy().view(np.uint64))
-    doc = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for k in range(0, batch.num_rows, SLICE):
+        yield batch.slice(k, SLICE)
+
+
+def prefixes_of(batch: pa.RecordBatch, rarity: np.ndarray, t: Fraction) -> pa.RecordBatch:
+    """(fp, size, prefix, b0 ...): the rarest words of each set, as many as chains may need, and the bits of all its words."""
+    word, size = lists_of(batch, "words")
+    word = mix(word)
+    row = np.repeat(np.arange(len(size)), size)
     bit = (word % np.uint64(64 * BITMAP)).astype(np.int64)
+    bits = []
     for k in range(BITMAP):
         mine = bit // 64 == k
-        bits = np.zeros(batch.num_rows, np.uint64)
-        np.bitwise_or.at(bits, doc[mine], np.uint64(1) << (bit[mine] % 64).astype(np.uint64))
-        columns.append(pa.array(bits.view(np.int64)[row]))
-    return pa.record_batch(columns, names=["col", "fp", "meta", *[f"b{k}" for k in range(BITMAP)]])
+        b = np.zeros(len(size), np.uint64)
+        np.bitwise_or.at(b, row[mine], np.uint64(1) << (bit[mine] % 64).astype(np.uint64))
+        bits.append(pa.array(b.view(np.int64)))
+    keep = np.minimum(size, size - least_of(size, t) + DEPTH)
+    order = np.lexsort((word, rarity[cell_of(word)], row))  # rarest first; equal rarity by the word itself
+    rank = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    kept = word[order][rank < keep[row]]
+    prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)), pa.array(kept.view(np.int64)))
+    return pa.record_batch([batch.column("fp"), pa.array(size.astype(np.int32)), prefix, *bits], names=["fp", "size", "prefix", *[f"b{k}" for k in range(BITMAP)]])
+
+
+def least_of(size: np.ndarray, t: Fraction) -> np.ndarray:
+    """Words that a set of this size has in common with any set that is alike, at least."""
+    return -(-size * t.numerator // t.denominator)
+
+
+def hot(counts: np.ndarray) -> np.ndarray:
+    return counts > HOT + 2 * counts.mean()
+
+
+def chains_of(batch: pa.RecordBatch, tables: list[np.ndarray], t: Fraction) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length of chains up to one more than there are tables of hot cells: (row, position
+    of the last word, key, whether it is a column, not lengthened)."""
+    flat, held = lists_of(batch, "prefix")
+    size = np.asarray(batch.column("size")).astype(np.int64)
+    least, start = least_of(size, t), np.cumsum(held) - held
+    out = []
+    row = np.repeat(np.arange(len(size)), held)
+    pos = np.arange(len(flat)) - start[row]
+    first = pos < (size - least + 1)[row]
+    row, pos = row[first], pos[first]
+    key = mix(flat[start[row] + pos])
+    for depth in range(1, len(tables) + 2):
+        if depth > len(tables):
+            out.append((row, pos, key, np.ones(len(row), bool)))
+            break
+        longer = tables[depth - 1][cell_of(key)]
+        # A set that may have no more in common with another than this chain keeps the chain too.
+        out.append((row, pos, key, ~longer | (least[row] <= depth)))
+        row, pos, key = row[longer], pos[longer], key[longer]
+        more = np.maximum(np.minimum(held, size - least + depth + 1)[row] - pos - 1, 0)
+        of = np.repeat(np.arange(len(row)), more)
+        step = np.arange(len(of)) - np.repeat(np.cumsum(more) - more, more)
+        row, pos, key = row[of], pos[of] + 1 + step, key[of]
+        key = mix(key * np.uint64(3) + flat[start[row] + pos])
+    return out
+
+
+def postings_of(batch: pa.RecordBatch, tables: list[np.ndarray], t: Fraction) -> pa.RecordBatch:
+    """The columns of a batch of sets: (col, fp, meta, b0 ...); meta is the number of words and, in its
+    lower half, of words that a pair first alike in this chain can have in common at most."""
+    size = np.asarray(batch.column("size")).astype(np.int64)
+    rows, metas, keys = [], [], []
+    for depth, (row, pos, key, mine) in enumerate(chains_of(batch, tables, t), 1):
+        row, pos, key = row[mine], pos[mine], key[mine]
+        rows.append(row)
+        keys.append(key)
+        metas.append(size[row] << 32 | depth + size[row] - pos - 1)
+    row = pa.array(np.concatenate(rows))
+    names = ["fp", *[f"b{k}" for k in range(BITMAP)]]
+    fp, *bits = [batch.column(n).take(row) for n in names]
+    return pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), fp, pa.array(np.concatenate(metas)), *bits], names=["col", "fp", "meta", *names[1:]])
 
 
 def similar_texts(distinct: DataFrame, t: Fraction) -> DataFrame:
-    """(a, b), a < b: pairs of distinct texts (fp, seq) whose word sets have |a & b| >= t |a | b|."""
-    spark = distinct.sparkSession
-    rarity = spark.sparkContext.broadcast(rarity_of(distinct))
+    """(a, b), a < b: pairs of distinct word sets (fp, words) that have |a & b| >= t |a | b|."""
+    sc = distinct.sparkSession.sparkContext
+    rarity = sc.broadcast(cell_counts(distinct.select("words"), lambda b: mix(lists_of(b, "words")[0])))
 
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield postings_of(b, rarity.value)
+                yield prefixes_of(b, rarity.value, t)
 
     bits = ", ".join(f"b{k} bigint" for k in range(BITMAP))
-    sized = distinct.select("fp", "seq", F.array_distinct("seq").alias("words")).withColumn("size", F.size("words"))
-    rows = sized.mapInArrow(kept, f"col bigint, fp bigint, meta bigint, {bits}")
+    prefixes = stored(distinct.mapInArrow(shorten, f"fp bigint, size int, prefix array<bigint>, {bits}"))
+    tables = sc.broadcast([])
+    for _ in range(1, DEPTH):
+        known = tables
+        tables = sc.broadcast([*known.value, hot(cell_counts(prefixes.select("size", "prefix"), lambda b: chains_of(b, known.value, t)[-1][2]))])
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in slices(b):
+                yield postings_of(part, tables.value, t)
+
+    rows = prefixes.mapInArrow(kept, f"col bigint, fp bigint, meta bigint, {bits}")
     x, y = rows.alias("x"), rows.alias("y")
     num, den = t.numerator, t.denominator
     apart = sum((F.bit_count(F.col(f"x.b{k}").bitwiseXOR(F.col(f"y.b{k}"))) for k in range(BITMAP)), F.lit(0))
     sx, sy = F.shiftright("x.meta", 32), F.shiftright("y.meta", 32)
-    reach = (F.col("x.fp") < F.col("y.fp")) & (sx * den >= sy * num) & (sy * den >= sx * num) & (apart * (den + num) <= (sx + sy) * (den - num))
-    product = x.join(y, (F.col("x.col") == F.col("y.col")) & reach).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"), F.least(F.col("x.meta").bitwiseAND(0xFFFFFFFF), F.col("y.meta").bitwiseAND(0xFFFFFFFF)).alias("least"))
-    pairs = product.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("least").alias("least")).where("n >= least").select("a", "b")
-    pairs = stored(pairs)
-    # Only texts in a candidate pair are moved. Their ids are broadcast if they are few, else joined by hash.
+    most = F.least(F.col("x.meta").bitwiseAND(0xFFFFFFFF), F.col("y.meta").bitwiseAND(0xFFFFFFFF))
+    reach = (
+        (F.col("x.fp") < F.col("y.fp")) & (sx * den >= sy * num) & (sy * den >= sx * num)
+        & (most * (den + num) >= (sx + sy) * num) & (apart * (den + num) <= (sx + sy) * (den - num))
+    )
+    pairs = stored(x.join(y, (F.col("x.col") == F.col("y.col")) & reach).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct())
+    # Only sets in a candidate pair are moved. Their ids are broadcast if they are few, else joined by hash.
     ids = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     asked = distinct.join(F.broadcast(ids) if pairs.count() <= FEW_PAIRS else ids, "fp", "left_semi")
-    a = asked.select(F.col("fp").alias("a"), F.array_distinct("seq").alias("wa"))
-    b = asked.select(F.col("fp").alias("b"), F.array_distinct("seq").alias("wb"))
+    a = asked.select(F.col("fp").alias("a"), F.col("words").alias("wa"))
+    b = asked.select(F.col("fp").alias("b"), F.col("words").alias("wb"))
     both = pairs.join(a, "a").join(b, "b").withColumn("n", F.size(F.array_intersect("wa", "wb")))
     return both.where(F.col("n") * den >= (F.size("wa") + F.size("wb") - F.col("n")) * num).select("a", "b")
 
@@ -171,7 +222,7 @@ def near_duplicates(
 ) -> tuple[DataFrame, DataFrame]:
     """(members, pairs) of the rows of `df` whose texts are versions of one another.
 
-    members (id, fp): each key once with its class of equal word lists; pairs (a, b) link
+    members (id, fp): each key once with its class of equal word sets; pairs (a, b) link
     classes whose Jaccard similarity of distinct words is at least `threshold`. Rows whose
     column `counted` has fewer than `min_words` words, and rows without any word (null,
     empty and blank texts), take no part. Keys that come again with the same words count
@@ -179,7 +230,7 @@ def near_duplicates(
     """
     rows = word_rows(df, key, texts, counted, min_words)
     members = stored(rows.select("id", "fp").distinct())
-    distinct = stored(rows.select("fp", "seq").dropDuplicates(["fp"]))
+    distinct = stored(rows.select("fp", "words").dropDuplicates(["fp"]))
     return members, stored(similar_texts(distinct, threshold))
 
 

@@ -2,8 +2,10 @@ import random
 from fractions import Fraction
 from itertools import combinations
 
+import pytest
 from pyspark.sql import functions as F
 
+from quillgrid.llm import neardup
 from quillgrid.llm.components import components
 from quillgrid.llm.neardup import near_duplicates, version_groups, version_pairs
 
@@ -58,6 +60,25 @@ def test_a_third_of_the_rows_alike(spark):
     assert len(groups) == 40 and all(r["group_size"] == 40 and r["n_links"] == 39 for r in groups)
 
 
+@pytest.mark.parametrize("hot, t", [(64, Fraction(3, 4)), (1, Fraction(3, 4)), (1, Fraction(1, 2))])
+def test_any_order_and_scattered_words(spark, monkeypatch, hot, t):
+    """Shuffled words, moved items of two words and words inserted evenly leave few n-grams, but the same sets."""
+    monkeypatch.setattr(neardup, "HOT", hot)
+    rng = random.Random(5)
+    texts = ["solo", "solo duo", "duo trio", "solo duo trio"]
+    for k in range(25):
+        base = [f"t{k}w{i}" if i % 2 else f"c{rng.randrange(40)}" for i in range(rng.randint(8, 60))]
+        items = [base[i : i + 2] for i in range(0, len(base), 2)]
+        rng.shuffle(items)
+        spread = [w for i, b in enumerate(base) for w in ([b, f"n{k}x{i}"] if i % 4 == 1 else [b])]
+        texts += [" ".join(base), " ".join(rng.sample(base, len(base))), " ".join(w for x in items for w in x), " ".join(spread)]
+    rows = [(k, "", x) for k, x in enumerate(texts)]
+    members, pairs = near_duplicates(spark.createDataFrame(rows, "id bigint, i string, t string"), "id", ["t"], threshold=t)
+    got = {(r["id_a"], r["id_b"]) for r in version_pairs(members, pairs).collect()}
+    want = brute(rows, 1, t)
+    assert got == want and len(want) > 75
+
+
 def test_empty(spark):
     members, pairs = near_duplicates(spark.createDataFrame([], "id bigint, t string"), "id", ["t"])
     assert members.count() == pairs.count() == version_pairs(members, pairs).count() == 0
