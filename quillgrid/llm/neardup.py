@@ -247,8 +247,8 @@ def version_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     return same.unionByName(across).distinct()
 
 
-def version_groups(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, group_id, group_size, n_links): one row for each row that has a version.
+def version_groups(members: DataFrame, pairs: DataFrame, singles: bool = False) -> DataFrame:
+    """(id, group_id, group_size, n_links): one row for each row that has a version, or with `singles` for each row.
 
     group_id is the smallest id of the group; n_links counts the other rows directly linked.
     """
@@ -261,7 +261,14 @@ def version_groups(members: DataFrame, pairs: DataFrame) -> DataFrame:
         .join(label.select(F.col("node").alias("fp"), "label"), "fp", "left")
         .withColumn("label", F.coalesce("label", "fp"))
         .withColumn("n_links", F.col("n") - 1 + F.coalesce("others", F.lit(0)))
-        .where("n_links > 0")
+        .where("true" if singles else "n_links > 0")
     )
     groups = classes.groupBy("label").agg(F.min("first").alias("group_id"), F.sum("n").alias("group_size"))
     return members.join(classes.select("fp", "label", "n_links"), "fp").join(groups, "label").select("id", "group_id", "group_size", "n_links")
+
+
+def wordless_rows(df: DataFrame, key: str, texts: list[str]) -> DataFrame:
+    """(id, group_id, group_size, n_links): rows that have a text but no word in it, each its own group."""
+    text = F.concat_ws(" ", *[F.coalesce(F.col(t), F.lit("")) for t in texts])
+    rows = df.where(F.coalesce(*texts).isNotNull() & ~text.rlike(WORD)).select(F.col(key).alias("id")).distinct()
+    return rows.select("id", F.col("id").alias("group_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(0).cast("bigint").alias("n_links"))

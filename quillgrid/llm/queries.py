@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..session import scan, stored, table
 from .encode import encode_corpus, with_token_counts
 from .mixing import mixture
-from .neardup import near_duplicates, version_groups, version_pairs
+from .neardup import near_duplicates, version_groups, version_pairs, wordless_rows
 from .packing import pack, packing_report
 from .pairs import defective_pairs
 from .repetition import repetition
@@ -60,16 +60,16 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-def _versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return near_duplicates(scan(spark, d, "alpaca", ["row_id", "instruction", "output"]), "row_id", ["instruction", "output"], counted="output", min_words=60)
-
-
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return version_pairs(*_versions(spark, d)).select(F.col("id_a").alias("row_id_a"), F.col("id_b").alias("row_id_b"))
+    versions = near_duplicates(scan(spark, d, "alpaca", ["row_id", "instruction", "output"]), "row_id", ["instruction", "output"], counted="output", min_words=60)
+    return version_pairs(*versions).select(F.col("id_a").alias("row_id_a"), F.col("id_b").alias("row_id_b"))
 
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
-    return version_groups(*_versions(spark, d)).withColumnRenamed("id", "row_id")
+    """The group of every row that has a text, however short; a row without a version is its own group."""
+    rows, texts = scan(spark, d, "alpaca", ["row_id", "instruction", "output"]), ["instruction", "output"]
+    groups = version_groups(*near_duplicates(rows, "row_id", texts), singles=True)
+    return groups.unionByName(wordless_rows(rows, "row_id", texts)).withColumnRenamed("id", "row_id")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

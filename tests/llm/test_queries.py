@@ -61,3 +61,13 @@ def test_keys_once(spark):
     for name, keys in {"p1_found": ["record_id", "field"], "p3_found": ["row_id_a", "row_id_b"], "p4_shares": ["record_id"], "p5_found": ["table_name", "row_id"], "p7_mixture": ["doc_id"], "p2_packing": ["limit_name", "table_name", "row_id", "part", "piece"]}.items():
         got = QUERIES[name](spark, FOLDER)
         assert got.count() == got.select(*keys).distinct().count() > 0
+
+
+def test_groups_hold_every_row(spark):
+    rows = spark.read.parquet(f"{FOLDER}/alpaca.parquet").where("instruction is not null or output is not null").select("row_id").distinct().collect()
+    got = QUERIES["p3_groups"](spark, FOLDER).collect()
+    assert sorted(r["row_id"] for r in got) == sorted(r["row_id"] for r in rows)
+    sizes = {}
+    for r in got:
+        sizes[r["group_id"]] = sizes.get(r["group_id"], 0) + 1
+    assert all(r["group_size"] == sizes[r["group_id"]] and (r["n_links"] == 0) == (r["group_size"] == 1) for r in got)
