@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -59,8 +60,6 @@ COURTESY = re.compile(r"^\W*(?:thank you|thanks|sure|of course|certainly|i have
 COPY_CONTAINMENT, COPY_LCS = 0.5, 0.88
 #: Share of a refusal's words that the templates cover.
 REFUSAL_COVER = 0.75
-#: Longest response, in words, that can be a refusal and nothing else.
-REFUSAL_WORDS = 48
 
 _TAG = re.compile(r"<[^<>]*>")
 _WORD = re.compile(r"[^\W_]+")
@@ -110,10 +109,8 @@ _CORE_TUPLES = {tuple(_tokens(x)) for x in REFUSALS}
 
 def is_refusal(response: str) -> bool:
     """Whether refusal templates cover the response, and leave no answer over."""
-    if len(response) > 12 * REFUSAL_WORDS:
-        return False
     tokens = _tokens(response)
-    if not 3 <= len(tokens) <= REFUSAL_WORDS or not any(t in _CORE for t in zip(tokens, tokens[1:], tokens[2:])):
+    if not any(t in _CORE for t in zip(tokens, tokens[1:], tokens[2:])):
         return False
     here = _shingles(tokens)
     if max(len(here & s) / len(s) for s in _REFUSAL_SHINGLES) < 0.6:
@@ -142,10 +139,20 @@ def lcs(a: str, b: str) -> int:
     return len(a) - v.bit_count()
 
 
+def lcs_by_period(q: str, r: str, times: int) -> int:
+    """A common subsequence of `times` times q and r, one q after another: at most the longest."""
+    total = at = 0
+    for _ in range(times):
+        part = r[at : at + len(q)]
+        n = lcs(q, part)
+        # A slip moves the next period: the end that the most characters of q reach.
+        end = max((len(part) - k for k in range(min(len(part), 3))), key=lambda e: (lcs(q, r[at : at + e]) == n, -e)) if n < len(q) else len(part)
+        total, at = total + n, at + end
+    return total
+
+
 def is_copy(prompt: str, response: str) -> bool:
     """Whether the response is the prompt, said once or more, with a slip or a dress at most."""
-    if len(response) > 8 * len(prompt) + 100:
-        return False
     q = "".join(_WORD.findall(re.sub(r"<image>", " ", prompt).lower()))
     body = response
     while (m := COPY_DRESS.match(body)) and m.end():
@@ -158,8 +165,15 @@ def is_copy(prompt: str, response: str) -> bool:
     if len(own & grams) < COPY_CONTAINMENT * len(own):
         return False
     times = max(1, round(len(r) / len(q)))
-    whole = q * times
-    return lcs(whole, r) >= COPY_LCS * max(len(whole), len(r))
+    least = COPY_LCS * max(len(q) * times, len(r))
+    if times > 2:
+        # Bounds that are linear in the response; only what lies between them needs the whole subsequence.
+        if lcs_by_period(q, r, times) >= least:
+            return True
+        have = Counter(r)
+        if sum(min(n * times, have[c]) for c, n in Counter(q).items()) < least:
+            return False
+    return lcs(q * times, r) >= least
 
 
 def is_truncated(response: str) -> bool:

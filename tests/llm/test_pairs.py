@@ -39,3 +39,12 @@ def test_frame(spark):
 def test_long_texts():
     assert defect(Q, A * 20_000) is None
     assert defect(Q, (A + " ") * 5_000 + "And then") == "truncated"
+
+
+def test_long_copies_and_refusals():
+    q = "Which row of the table holds the largest?"
+    assert [defect(q, " ".join([q] * k) + ".") for k in (2, 12, 3000)] == ["copy"] * 3
+    assert defect(q, " ".join([q.replace("largest", "lagest")] * 12)) == "copy"
+    assert defect(q, " ".join(["Sorry, I can't assist with reading this picture."] * 20)) == "refusal"
+    assert defect(q, "Sorry, I can't assist with reading this picture. " + "The third row holds 12 tonnes of ore. " * 20) is None
+    assert defect(q, " ".join([q] * 3) + " The third row holds the most, 1998 tonnes of iron ore from the northern works, as its last cell states in full.") != "copy"
