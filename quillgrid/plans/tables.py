@@ -137,6 +137,15 @@ def t12_completion_gate(spark: SparkSession, d: str) -> DataFrame:
     return e.select("record_id", completion_gate(F.col("otsl"), F.col("otsl").isNotNull(), 300).alias("gated"))
 
 
+@BOOK.query(f"SELECT record_id, CASE WHEN otsl IS NOT NULL AND NOT regexp_matches(otsl, '<nl>\\s*$') THEN 'ERROR' ELSE left(otsl, 30000) END AS gated FROM {EXAMPLES}")
+def t14_completion_gate_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The gate with the reference's cut; t12 cuts at 300, so that short values are cut as well."""
+    from ..operators.rewards import completion_gate
+
+    e = once(spark, d, "examples_output", "record_id", ["otsl"])
+    return e.select("record_id", completion_gate(F.col("otsl"), F.col("otsl").isNotNull()).alias("gated"))
+
+
 @BOOK.query()
 def t13_normal_html(spark: SparkSession, d: str) -> DataFrame:
     e = scan(spark, d, "examples_output", ["record_id", "html"])

@@ -101,3 +101,12 @@ def test_distance_is_a_metric_on_tables(a, b):
 
 def test_levenshtein():
     assert levenshtein(list("kitten"), list("sitting")) == 3 and levenshtein([], list("ab")) == 2 and levenshtein(list("ab"), list("ab")) == 0
+
+
+def test_gate_keeps_whole_values(spark, tmp_path):
+    from quillgrid.plans import catalog
+
+    values = ["<fcel>a<nl>\n" * 100, "<fcel>" + "b" * 30_000 + "<nl>", "<fcel>a", None]
+    spark.createDataFrame([(k, v, 0) for k, v in enumerate(values)], "record_id bigint, otsl string, ingested_at int").write.parquet(f"{tmp_path}/examples_output.parquet")
+    got = {r["record_id"]: r["gated"] for r in catalog.queries()["t14_completion_gate_whole"](spark, str(tmp_path)).collect()}
+    assert got == {0: values[0], 1: values[1][:30_000], 2: "ERROR", 3: None}
