@@ -15,13 +15,13 @@ from .bpe import TOKENIZER_DIR, byte_bpe, counter
 CHUNK_CHARS = 1 << 20
 
 
-def chunks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """Slices of a batch whose texts sum up to about CHUNK_CHARS, with the texts."""
+def chunks(batch: pa.RecordBatch, column: str, chars: int = CHUNK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Slices of a batch whose texts sum up to about `chars` characters, with the texts."""
     texts = batch.column(column).to_pylist()
     begin = size = 0
     for k, t in enumerate(texts):
         size += len(t or "")
-        if size >= CHUNK_CHARS or k - begin >= 4096:
+        if size >= chars or k - begin >= 4096:
             yield batch.slice(begin, k + 1 - begin), texts[begin : k + 1]
             begin, size = k + 1, 0
     if begin < len(texts):

@@ -2,9 +2,9 @@
 
 Every text is encoded once; places between its tokens are graded by what the text does
 there (paragraph, line, sentence, clause, word, within a word). Dynamic programming over
-the graded places finds the cuts of least penalty and imbalance under the limit. Pieces are
-counted again on their own; the rare text in which one exceeds the limit is cut anew with
-as many tokens less.
+all places finds the cuts of least penalty and imbalance under the limit, many texts at a
+time. Pieces are counted again on their own; the rare text in which one exceeds the limit is
+cut anew with as many tokens less.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +22,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import PRETOKEN_PATTERN, TOKENIZER_DIR
+from .encode import chunks
 
 #: Penalties of a cut: after a paragraph, a line, a sentence, a clause, a word, elsewhere; of a piece; of imbalance.
 PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, INSIDE = 0.0, 0.15, 0.4, 1.0, 2.0, 12.0
 PIECE, IMBALANCE = 1.0, 1.5
-#: Gaps of natural places above this share of the room of a piece get places of the next grade.
-GAP = 1 / 2
+#: Texts that are worked through together, and cells of their common table at most.
+LANES, LANE_CELLS = 64, 1 << 20
+#: Strides of a piece's size in the program over all places.
+STRIDES = 4
+LONGEST_STRIDE = 32
+#: Cells of a stride's table, about.
+TABLE = 1 << 17
+#: Characters of the texts that are encoded and cut together.
+CHUNK_CHARS = 1 << 22
+#: Blocks of a piece's room in the program that bounds the cost of a place.
+BLOCKS = 8
+#: Rough places of a block in the search for a cost that can be had.
+ROUGH = 1
+#: Pieces up to which the bounds are tried; the result doesn't depend on it.
+BOUNDED = 20
 
 
 @lru_cache(maxsize=4)
@@ -75,155 +90,331 @@ def grades(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def cut_places(grade: np.ndarray, room: int) -> np.ndarray:
-    """Token positions that may be cut: natural ones, and finer ones where these lie far apart."""
-    n = len(grade) - 1
-    keep = grade <= SENTENCE
+class Task(NamedTuple):
+    """The cutting of one text: penalties of its places, the nearest place at or before each token
+    that isn't within a character, and what a piece may hold."""
+
+    grade: np.ndarray
+    before: np.ndarray
+    room: int
+    overlap: int
+
+
+def before_of(grade: np.ndarray) -> np.ndarray:
+    place, whole = np.arange(len(grade)), np.isfinite(grade)
+    return place if whole.all() else np.maximum.accumulate(np.where(whole, place, 0))
+
+
+class Steps(NamedTuple):
+    """The places of a task that are let in: where they lie, where a piece after each begins, their
+    fees, the first place from which a piece may reach each, and the sizes that pieces should have."""
+
+    end: np.ndarray
+    begin: np.ndarray
+    fee: np.ndarray
+    low: np.ndarray
+    ideal: float
+    scale: float
+
+
+def least_pieces(task: Task) -> int:
+    return max(1, -(-(len(task.grade) - 1 - task.overlap) // (task.room - task.overlap)))
+
+
+def size_of(task: Task) -> tuple[float, float]:
+    """(tokens that the pieces should have, weight of a squared difference from it)."""
+    n, count = len(task.grade) - 1, least_pieces(task)
+    tokens = n + (count - 1) * task.overlap
+    return tokens / count, IMBALANCE * (count / tokens) ** 2
+
+
+def steps_of(task: Task, keep: np.ndarray) -> Steps:
+    """The places of the mask `keep`, and both ends of the text."""
+    n = len(task.grade) - 1
     keep[0] = keep[n] = True
-    gap = max(1, int(room * GAP))
-    for finer in (CLAUSE, WORD, WORD + 1, INSIDE):
-        at = np.flatnonzero(keep)
-        far = np.flatnonzero(np.diff(at) > gap)
-        if not len(far):
-            break
-        step = max(1, gap // 8)
-        for a, b in zip(at[far], at[far + 1]):
-            fine = a + 1 + np.flatnonzero(grade[a + 1 : b] <= finer)
-            if len(fine) * step > 2 * (b - a):  # many: one in each step will do
-                fine = fine[np.unique(fine // step, return_index=True)[1]]
-            keep[fine] = True
-    return np.flatnonzero(keep)
-
-
-def best_cuts(grade: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int]] | None:
-    """(first, end) tokens of the pieces; None if no cuts keep the limit."""
-    n = len(grade) - 1
-    whole = np.isfinite(grade)
-    before = np.maximum.accumulate(np.where(whole, np.arange(n + 1), 0))  # nearest place at or before that isn't within a character
-    places = cut_places(grade, limit - overlap)
-    begin = before[np.maximum(places - overlap, 0)].tolist()
-    begin[0] = 0
-    count = max(1, -(-(n - overlap) // (limit - overlap)))
-    scale = IMBALANCE * (count / (n + (count - 1) * overlap)) ** 2
-    ideal = (n + (count - 1) * overlap) / count
-    fee = (grade[places] + PIECE).tolist()
+    end = np.flatnonzero(keep)
+    # A piece begins `overlap` tokens before its cut, or before the character these would begin in.
+    begin = task.before[np.maximum(end - task.overlap, 0)]
+    fee = task.grade[end] + PIECE
     fee[-1] = PIECE
-    end = places.tolist()
-    inf = float("inf")
-    cost, back = [inf] * len(end), [0] * len(end)
-    cost[0] = 0.0
-    low = 0
-    for k in range(1, len(end)):
-        e = end[k]
-        while e - begin[low] > limit:
-            low += 1
-            if low == k:
-                break
-        best = inf
-        for j in range(low, k):
-            d = e - begin[j] - ideal
-            c = cost[j] + scale * d * d
-            if c < best:
-                best, back[k] = c, j
-        cost[k] = best + fee[k]
-    k = len(places) - 1
-    if not np.isfinite(cost[k]):
-        return None
+    return Steps(end, begin, fee, np.searchsorted(begin, end - task.room), *size_of(task))
+
+
+def bounds(tasks: list[Task], block: int) -> list[np.ndarray]:
+    """For every place of each text, a cost below which no pieces with a cut there can be.
+
+    The program over blocks of places: a block has the least penalty of its places, and a
+    piece from one block to another the least imbalance that any two of their places allow.
+    """
+    lanes = len(tasks)
+    n = np.array([len(t.grade) - 1 for t in tasks])
+    rows = int(n.max()) // block + 1
+    ideal, scale = np.array([size_of(t) for t in tasks]).T
+    room, overlap = (np.array([getattr(t, f) for t in tasks]) for f in ("room", "overlap"))
+
+    def piece(least: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """The least imbalance of a piece of `least` to `most` tokens; inf above the room."""
+        off = np.maximum(np.maximum(least - ideal, ideal - np.minimum(most, room)), 0)
+        return np.where(least <= room, scale * off**2, np.inf)
+
+    fee = np.full((rows, lanes), np.inf)
+    for t, x in enumerate(tasks):
+        g = x.grade.copy()
+        g[0] = g[-1] = np.inf
+        m = int(n[t]) // block + 1
+        fee[:m, t] = np.minimum.reduceat(g, np.arange(m) * block) + PIECE
+    at = np.arange(rows)[:, None] * block
+    reach = int(((room - overlap + block - 1) // block).max())
+    apart = np.arange(reach, 0, -1)[:, None] * block
+    step = piece(np.maximum(apart - block + 1, 0) + overlap, apart + block + 2 + overlap)  # up to three tokens more, within a character
+    front, back = piece(at, at + block - 1), piece(np.maximum(n - at - block + 1, 0) + overlap, n - at + overlap + 3)
+    ahead, behind = front + fee, back + fee
+    for k in range(1, rows):
+        w = min(k, reach)
+        np.minimum(front[k], (ahead[k - w : k] + step[reach - w :]).min(axis=0), out=front[k])
+        np.add(front[k], fee[k], out=ahead[k])
+    turned = step[::-1]
+    for k in range(rows - 2, -1, -1):
+        w = min(rows - 1 - k, reach)
+        np.minimum(back[k], (behind[k + 1 : k + 1 + w] + turned[:w]).min(axis=0), out=back[k])
+        np.add(back[k], fee[k], out=behind[k])
+    both = front + back + 2 * PIECE
+    return [np.repeat(both[: n[t] // block + 1, t], block)[: n[t] + 1] + x.grade for t, x in enumerate(tasks)]
+
+
+def best_of_each(grade: np.ndarray, block: int) -> np.ndarray:
+    """A mask of the last of the best places of each block."""
+    rows = -(-len(grade) // block)
+    padded = np.full(rows * block, np.inf)
+    padded[: len(grade)] = grade
+    keep = np.zeros(rows * block, bool)
+    keep[np.arange(rows) * block + block - 1 - np.argmin(padded.reshape(rows, block)[:, ::-1], axis=1)] = True
+    return keep[: len(grade)] & np.isfinite(grade)
+
+
+def cheapest(many: list[Steps], pieces: bool = True) -> list[tuple[float, list[tuple[int, int]]]]:
+    """(cost, pieces) of each text, over all of its places; an infinite cost where no cuts keep the room; pieces if asked for.
+
+    cost(k) = fee(k) + the least of cost(j) + scale * (end(k) - begin(j) - ideal)^2 over the
+    places j in reach. All texts, a row each, go a stride of places on together: the square
+    is opened up, so that all j before the stride are one product, one difference and one
+    minimum. The j within the stride are looked at only where one of them is cheap enough to
+    matter. The longest texts come first; those that are through are left out.
+    """
+    lanes, rows = len(many), max(len(x.end) for x in many)
+    end, begin, low = np.zeros((lanes, rows)), np.zeros((lanes, rows)), np.full((lanes, rows), rows, np.int32)
+    fee = np.full((lanes, rows), np.inf)
+    for t, x in enumerate(many):
+        n = len(x.end)
+        end[t, :n], begin[t, :n], fee[t, :n], low[t, :n] = x.end, x.begin, x.fee, np.minimum(x.low, np.arange(n))
+    ideal, scale = np.array([[x.ideal] for x in many]), np.array([[x.scale] for x in many])
+    lowest, highest = low.min(axis=0).tolist(), np.where(low < rows, low, 0).max(axis=0).tolist()
+    slope, own, lift = 2 * scale * (end - ideal), scale * (end - ideal) ** 2 + fee, scale * begin**2
+    cost = np.full((lanes, rows), np.inf)
+    cost[:, 0] = 0.0
+    known = lift.copy()  # cost(j) + scale * begin(j)^2
+    there = np.searchsorted(-np.array([len(x.end) for x in many]), -np.arange(rows), "left").tolist()
+    # Strides by the places in a piece of the texts that still go on; a stride's table should stay in the cache.
+    most = np.minimum.accumulate([x.ideal * len(x.end) / (STRIDES * max(int(x.end[-1]), 1)) for x in many])
+    wide = TABLE // max(1, max(k - j for k, j in enumerate(lowest)))
+    strides = [int(max(1, min(LONGEST_STRIDE, a, wide // (t + 1)))) for t, a in enumerate(most)]
+    work, last = np.empty(0), 1
+    while last < rows:
+        k, m = last, there[last]
+        last = min(k + strides[m - 1], rows)
+        c, j = cost[:m, k:last], min(lowest[k], k)
+        if j < k:
+            size = (last - k) * (k - j) * m
+            work = work if len(work) >= size else np.empty(2 * size)
+            w = work[:size].reshape(m, last - k, k - j)
+            np.multiply(begin[:m, None, j:k], slope[:m, k:last, None], out=w)
+            np.subtract(known[:m, None, j:k], w, out=w)
+            top = min(highest[last - 1], k)
+            if top > j:
+                np.copyto(w[:, :, : top - j], np.inf, where=np.arange(j, top) < low[:m, k:last, None])
+            np.minimum.reduce(w, axis=2, out=c)
+            c += own[:m, k:last]
+        if last - k > 1 and (np.minimum.accumulate(c[:, :-1], axis=1) + fee[:m, k + 1 : last] < c[:, 1:]).any():
+            for i in range(k + 1, last):
+                d = cost[:m, k:i] + scale[:m] * (end[:m, i, None] - begin[:m, k:i] - ideal[:m]) ** 2
+                d[np.arange(k, i) < low[:m, i, None]] = np.inf
+                np.minimum(cost[:m, i], d.min(axis=1) + fee[:m, i], out=cost[:m, i])
+        known[:m, k:last] += c
     out = []
-    while k:
-        out.append((int(begin[back[k]]), int(places[k])))
-        k = int(back[k])
-    return out[::-1]
+    for t, x in enumerate(many):
+        k, cuts = len(x.end) - 1, []
+        total = float(cost[t, k])
+        while pieces and k and total < np.inf:
+            j = min(int(low[t, k]), k - 1)
+            j += int((known[t, j:k] - slope[t, k] * begin[t, j:k]).argmin())
+            cuts.append((int(x.begin[j]), int(x.end[k])))
+            k = j
+        out.append((total, cuts[::-1]))
+    return out
+
+
+def together(sizes: list[int], kinds: list[int]) -> Iterator[list[int]]:
+    """Indexes of texts of one kind and of about the same size, the largest first, as many as may be worked through together."""
+    order = sorted(range(len(sizes)), key=lambda i: (kinds[i], sizes[i]))
+    while order:
+        lanes = min(LANES, max(1, LANE_CELLS // max(sizes[order[-1]], 1)))
+        part = [i for i in order[-lanes:] if kinds[i] == kinds[order[-1]]]
+        yield part[::-1]
+        del order[-len(part) :]
+
+
+def best_cuts(tasks: list[Task]) -> list[list[tuple[int, int]] | None]:
+    """(first, end) tokens of the pieces of each text, of least cost over all of its places; None if no cuts keep the room.
+
+    The best place of every few tokens first gives a cost that can be had. A place whose
+    bound lies above it is in no best cutting; the program then goes over all the others. With
+    many pieces the bounds are too loose to tell, and the program goes over all places at once.
+    """
+    out: list[list[tuple[int, int]] | None] = [None] * len(tasks)
+    block = [max(2, (t.room - t.overlap) // BLOCKS) for t in tasks]
+    left = [np.isfinite(t.grade) for t in tasks]
+    few = [i for i, t in enumerate(tasks) if least_pieces(t) <= BOUNDED]
+    kinds = [block[i] for i in few]
+    rough = [steps_of(tasks[i], best_of_each(tasks[i].grade, max(2, block[i] // ROUGH))) for i in few]
+    had = [np.inf] * len(few)
+    for part in together([len(x.end) for x in rough], kinds):
+        for k, (cost, _) in zip(part, cheapest([rough[k] for k in part], pieces=False)):
+            had[k] = cost
+    for part in together([len(tasks[i].grade) // block[i] for i in few], kinds):
+        for k, least in zip(part, bounds([tasks[few[k]] for k in part], kinds[part[0]])):
+            left[few[k]] &= least <= had[k] * (1 + 1e-9)
+    fine = [steps_of(t, keep) for t, keep in zip(tasks, left)]
+    for part in together([len(x.end) for x in fine], block):
+        for i, (cost, pieces) in zip(part, cheapest([fine[i] for i in part])):
+            out[i] = pieces if np.isfinite(cost) else None
+    return out
+
+
+class Text(NamedTuple):
+    """An encoded text: its bytes, the byte offset of each token, penalties of the places, the next and
+    the last safe place of each (the text's end and begin, if none), its nearest whole character, and
+    the characters before each byte."""
+
+    data: bytes
+    at: np.ndarray
+    grade: np.ndarray
+    next_safe: np.ndarray
+    last_safe: np.ndarray
+    before: np.ndarray
+    char: np.ndarray
 
 
 #: A single space within words: a pre-token begins there in the text and in every piece of it.
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
-def own_count(encode, piece: str, at: np.ndarray, a: int, b: int) -> int:
-    """Tokens of a piece on its own: only what precedes its first and follows its last single
-    space can differ from the text's tokens a to b, and is encoded again."""
-    head = _SAFE.search(piece)
-    if head is None:
-        return len(encode(piece))
-    first = head.start()
-    last = piece.rfind(" ")
-    while not (piece[last - 1 : last] and not piece[last - 1].isspace() and piece[last + 1 : last + 2] and not piece[last + 1].isspace()):
-        last = piece.rfind(" ", 0, last)
-    front, tail = piece[:first], piece[last:]
-    begin, end = at[a] + len(front.encode("utf-8")), at[b] - len(tail.encode("utf-8"))
-    i, j = np.searchsorted(at, (begin, end))
-    if at[i] != begin or at[j] != end:
-        return len(encode(piece))
-    return len(encode(front)) + int(j - i) + len(encode(tail))
-
-
-def split_text(text: str, limits: list[tuple[str, int, int]], tokenizer: str, folder: str) -> Iterator[tuple]:
-    """(limit_name, piece_no, n_pieces, start_char, end_char, overlap_chars, n_tokens, piece) for every limit the text exceeds."""
-    encode, sizes = encoding(tokenizer, folder)
+def safe_places(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a token begins with a single space between visible ASCII characters; the text's ends are no such places."""
+    pad = np.concatenate([raw, np.zeros(2, np.uint8)])
+    seen = (pad > 32) & (pad < 127)
+    return (pad[at] == 32) & seen[at - 1] & seen[at + 1] & (at > 0)
+
+
+def own_counts(encode, text: Text, cuts: list[tuple[int, int]]) -> list[int]:
+    """Tokens of the text's tokens a to b on their own, for each of the cuts: only what precedes the first
+    and follows the last single space within words can differ, and is encoded again."""
+    at, data, n = text.at, text.data, len(text.at) - 1
+    begin, end = np.array(cuts).T
+    first, last = text.next_safe[begin], text.last_safe[end]
+    last[end == n] = n
+    out = end - begin
+    first[begin == 0] = 0
+    for k in np.flatnonzero((first > begin) | (last < end)):
+        a, b, f, t = int(begin[k]), int(end[k]), int(first[k]), int(last[k])
+        if f > t or f == n:
+            out[k] = len(encode(data[at[a] : at[b]].decode("utf-8")))
+        else:
+            out[k] = t - f + (len(encode(data[at[a] : at[f]].decode("utf-8"))) if f > a else 0) + (len(encode(data[at[t] : at[b]].decode("utf-8"))) if t < b else 0)
+    return out.tolist()
+
+
+def encoded(text: str, encode, sizes: np.ndarray, least: int) -> Text | None:
+    """The text with its places; None if it has no more than `least` tokens."""
     data = text.encode("utf-8")
-    if len(data) <= min(m for _, m, _ in limits):
-        return  # a token has at least one byte
+    if len(data) <= least:  # a token has at least one byte
+        return None
     ids = np.array(encode(text), np.int64)
-    if len(ids) <= min(m for _, m, _ in limits):
-        return
+    if len(ids) <= least:
+        return None
     raw = np.frombuffer(data, np.uint8)
     at = np.concatenate([[0], np.cumsum(sizes[ids])])
     grade = grades(raw, at)
-    char = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-    for name, limit, overlap in limits:
-        if len(ids) <= limit:
-            continue
-        room = limit
-        while True:
-            if room <= overlap:
-                raise ValueError(f"{name}: no pieces of {limit} tokens with an overlap of {overlap}")
-            pieces = best_cuts(grade, room, overlap)
-            if pieces is None:
-                raise ValueError(f"{name}: {limit} tokens are too few for a character")
-            texts = [data[at[a] : at[b]].decode("utf-8") for a, b in pieces]
-            counts = [own_count(encode, t, at, a, b) for (a, b), t in zip(pieces, texts)]
-            if max(counts) <= limit:
-                break
-            room -= max(counts) - limit
-        end = 0
-        for k, ((a, b), t, c) in enumerate(zip(pieces, texts, counts)):
-            s, e = int(char[at[a]]), int(char[at[b]])
-            yield name, k, len(pieces), s, e, max(0, end - s), c, t
-            end = e
+    safe, place = safe_places(raw, at), np.arange(len(at))
+    next_safe = np.minimum.accumulate(np.where(safe, place, len(ids))[::-1])[::-1]
+    last_safe = np.maximum.accumulate(np.where(safe, place, 0))
+    return Text(data, at, grade, next_safe, last_safe, before_of(grade), np.arange(len(data) + 1, dtype=np.int32) if len(data) == len(text) else np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80, dtype=np.int32)]))
+
+
+def split_texts(texts: list[str], limits: list[tuple[str, int, int]], tokenizer: str, folder: str) -> Iterator[tuple]:
+    """(index, limit_name, piece_no, n_pieces, start_char, end_char, overlap_chars, n_tokens, piece, reason) for every limit a text exceeds."""
+    encode, sizes = encoding(tokenizer, folder)
+    least = min(m for _, m, _ in limits)
+    known = [encoded(t, encode, sizes, least) if t else None for t in texts]
+    todo = [(i, name, limit, Task(t.grade, t.before, limit, overlap)) for i, t in enumerate(known) if t for name, limit, overlap in limits if len(t.grade) - 1 > limit]
+    while todo:
+        again = []
+        for (i, name, limit, task), cuts in zip(todo, best_cuts([x[3] for x in todo])):
+            text = known[i]
+            data, at, char = text.data, text.at, text.char
+            if cuts is None:
+                yield i, name, None, 0, 0, int(char[-1]), 0, len(at) - 1, None, "no cuts keep the limit"
+                continue
+            pieces = [data[at[a] : at[b]].decode("utf-8") for a, b in cuts]
+            counts = own_counts(encode, text, cuts)
+            if max(counts) > limit:
+                room = task.room - (max(counts) - limit)
+                if room <= task.overlap:
+                    yield i, name, None, 0, 0, int(char[-1]), 0, len(at) - 1, None, "no cuts keep the limit"
+                else:
+                    again.append((i, name, limit, task._replace(room=room)))
+                continue
+            end = 0
+            for k, ((a, b), p, c) in enumerate(zip(cuts, pieces, counts)):
+                s, e = int(char[at[a]]), int(char[at[b]])
+                yield i, name, k, len(cuts), s, e, max(0, end - s), c, p, None
+                end = e
+        todo = again
 
 
 def split_oversized(df: DataFrame, key: str, text: str, limits: list[tuple[str, int, int]], tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> DataFrame:
-    """(key, limit_name, piece_no, n_pieces, start_char, end_char, overlap_chars, n_tokens, piece).
+    """(key, limit_name, piece_no, n_pieces, start_char, end_char, overlap_chars, n_tokens, piece, reason).
 
     One row for each piece of every text with more tokens than a limit (name, max_tokens,
     overlap_tokens). Pieces keep the limit, counted on their own; without their overlap they
     give the text back; a piece repeats the last `overlap_tokens` tokens of the one before
-    (up to three more where these would begin within a character). Null, empty and shorter
-    texts give no rows, an empty table none; rows that come again are split again.
+    (up to three more where these would begin within a character). A text that no cuts bring
+    under the limit (a character of more tokens than a piece may add) has one row without a
+    piece: its length in tokens and the reason, which is null elsewhere. Null, empty and
+    shorter texts give no rows, an empty table none; rows that come again are split again.
     """
     for name, most, overlap in limits:
         if not 0 <= overlap < most:
             raise ValueError(f"{name}: the overlap must be below the limit")
     rows = df.select(F.col(key).alias(key), F.col(text).alias("__text")).where(F.octet_length("__text") > min(m for _, m, _ in limits))
-    names = ["limit_name", "piece_no", "n_pieces", "start_char", "end_char", "overlap_chars", "n_tokens", "piece"]
-    types = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
+    names = ["limit_name", "piece_no", "n_pieces", "start_char", "end_char", "overlap_chars", "n_tokens", "piece", "reason"]
+    types = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(part: pa.RecordBatch, at: list[int], got: list[tuple]) -> pa.RecordBatch:
-            columns = zip(*got) if got else [[]] * len(names)
+        def out(part: pa.RecordBatch, got: list[tuple]) -> pa.RecordBatch:
+            at, *columns = zip(*got) if got else [[]] * (1 + len(names))
             return pa.record_batch([part.column(key).take(pa.array(at, pa.int32())), *[pa.array(c, t) for c, t in zip(columns, types)]], names=[key, *names])
 
         for batch in batches:
-            at, got, size = [], [], 0
-            for k, t in enumerate(batch.column("__text").to_pylist()):
-                for row in split_text(t, limits, tokenizer, folder):
-                    at.append(k)
+            for part, texts in chunks(batch, "__text", CHUNK_CHARS):
+                got, size = [], 0
+                for row in split_texts(texts, limits, tokenizer, folder):
                     got.append(row)
-                    size += len(row[-1])
-                if size > 1 << 22:
-                    yield out(batch, at, got)
-                    at, got, size = [], [], 0
-            yield out(batch, at, got)
+                    size += len(row[8] or "")
+                    if size > 1 << 22:
+                        yield out(part, got)
+                        got, size = [], 0
+                yield out(part, got)
 
-    return rows.mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, limit_name string, piece_no int, n_pieces int, start_char bigint, end_char bigint, overlap_chars bigint, n_tokens int, piece string")
+    return rows.mapInArrow(
+        run, f"`{key}` {dict(rows.dtypes)[key]}, limit_name string, piece_no int, n_pieces int, start_char bigint, end_char bigint, overlap_chars bigint, n_tokens int, piece string, reason string"
+    )

@@ -1,12 +1,14 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quillgrid.llm.bpe import counter
 from quillgrid.llm.mixing import exponent_for_entropy, exponent_within_repeats, mixture, weights_at
-from quillgrid.llm.splitting import split_oversized, split_text
+from quillgrid.llm import splitting
+from quillgrid.llm.splitting import Task, before_of, best_cuts, split_oversized, split_texts, steps_of
 
 
 def test_exponents():
@@ -61,7 +63,7 @@ def check(text, pieces, limit, overlap):
 def test_split_round_trip():
     count = counter()
     for t in texts():
-        got = list(split_text(t or "", LIMITS, "byte_bpe_50k", "/opt/tokenizers"))
+        got = [r[1:] for r in split_texts([t or ""], LIMITS, "byte_bpe_50k", "/opt/tokenizers")]
         for name, limit, overlap in LIMITS:
             mine = [p for p in got if p[0] == name]
             if count([t or ""])[0] <= limit:
@@ -72,7 +74,7 @@ def test_split_round_trip():
 
 def test_cuts_where_the_text_pauses():
     text = "\n\n".join("One sentence of a paragraph that goes on for a while. And a second one." for _ in range(30))
-    got = list(split_text(text, [("n", 60, 0)], "byte_bpe_50k", "/opt/tokenizers"))
+    got = [r[1:] for r in split_texts([text], [("n", 60, 0)], "byte_bpe_50k", "/opt/tokenizers")]
     assert all(p[7].endswith("\n\n") for p in got[:-1])
 
 
@@ -89,3 +91,40 @@ def test_split_frame(spark):
     assert split_oversized(df.limit(0), "doc_id", "text", LIMITS).count() == 0
     with pytest.raises(ValueError):
         split_oversized(df, "doc_id", "text", [("bad", 10, 10)])
+
+
+def test_no_cheaper_cuts(monkeypatch):
+    """Pieces cost what a plain program over all places finds, whatever the number of texts, lanes and blocks."""
+    rng = np.random.default_rng(11)
+    tasks = []
+    for _ in range(60):
+        n = int(rng.integers(20, 300))
+        grade = rng.choice([0, 0.15, 0.4, 1, 2, 3, 12, np.inf], n + 1, p=[0.01, 0.02, 0.05, 0.1, 0.3, 0.02, 0.4, 0.1])
+        grade[0] = grade[n] = 2.0
+        room = int(rng.integers(8, 60))
+        tasks.append(Task(grade, before_of(grade), room, int(rng.integers(0, room // 3))))
+    solid = np.array([2.0] + [np.inf] * 30 + [2.0])
+    tasks.append(Task(solid, before_of(solid), 10, 2))
+    costs = []
+    for lanes in (64, 3):
+        monkeypatch.setattr(splitting, "LANES", lanes)
+        for task, pieces in zip(tasks, best_cuts(tasks)):
+            x = steps_of(task, np.isfinite(task.grade))
+            least = [0.0]
+            for k in range(1, len(x.end)):
+                least.append(x.fee[k] + min((least[j] + x.scale * (x.end[k] - x.begin[j] - x.ideal) ** 2 for j in range(k) if x.end[k] - x.begin[j] <= task.room), default=math.inf))
+            if pieces is None:
+                assert least[-1] == math.inf
+                continue
+            fee = dict(zip(x.end.tolist(), x.fee.tolist()))
+            assert all(e - b <= task.room for b, e in pieces)
+            costs.append(sum(fee[e] + x.scale * (e - b - x.ideal) ** 2 for b, e in pieces))
+            assert costs[-1] == pytest.approx(least[-1])
+    assert len(costs) > 100
+
+
+def test_a_text_that_cannot_be_cut(spark):
+    df = spark.createDataFrame([(1, "👍🏽" * 40), (2, "a b c d e f g")], "doc_id bigint, text string")
+    got = split_oversized(df, "doc_id", "text", [("tiny", 2, 1)]).collect()
+    assert {r["reason"] for r in got if r["doc_id"] == 1} == {"no cuts keep the limit"} and all(r["piece"] is None for r in got if r["doc_id"] == 1)
+    assert all(r["reason"] is None and r["n_tokens"] <= 2 for r in got if r["doc_id"] == 2) and len(got) > 3
