@@ -1,25 +1,28 @@
 """Values that lost their tail.
 
 Both fields of a record are brought to one canonical form, the list of cell texts in
-reading order. All distinct canonical forms are range-partitioned and sorted; a form that
-is a strict prefix of a longer copy anywhere is a prefix of its successor in that order, so
-one comparison with the next form finds it, however many values share a beginning.
+reading order. All distinct canonical forms are range-partitioned and sorted: the longer
+copies of a form are then the run of forms right after it. One pass gives every form its
+place and the end of its run, and a join of these places with both fields of each record
+tells which field holds less of the table than the other. What a value shows on its own
+(an open tag, cell, row or table) is read beside it.
 """
 
 from __future__ import annotations
 
 import html as _html
+import os
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
 
-#: Stands between the cells of a canonical form.
+#: Begins each cell of a canonical form.
 SEP = "\x1f"
 
 _OTSL_TAG = re.compile(r"<(nl|fcel|ecel|lcel|ucel|xcel)>")
@@ -113,99 +116,118 @@ def read_html(value: str) -> Value:
     return Value(cells, not whole, width < widest, not whole, not whole)
 
 
-def shows_less(mine: list[str], other: list[str]) -> bool:
-    """Whether `mine` holds less of the table: a strict prefix of `other`, its last cell cut or not."""
-    if len(mine) > len(other) or not mine or mine == other:
-        return False
-    n = len(mine) - 1
-    return mine[:n] == other[:n] and other[n].startswith(mine[n])
-
-
-def broken_off(me: Value, other: Value | None) -> bool:
-    """Whether the value itself shows that it stops early."""
-    if other is None:
-        return me.stops or me.short or (me.open and me.torn)
-    if me.cells == other.cells and not other.stops:
-        return False  # all of the content is there: only the end of the last <nl> is missing
-    return me.stops or (me.open and (me.short or (me.torn and me.cells != other.cells and not shows_less(other.cells, me.cells))))
+def canonical(cells: list[str]) -> str:
+    """Cells one after another, each begun by SEP, so that a list without its last cells or without
+    the end of its last cell is a prefix."""
+    return "".join(SEP + c for c in cells)
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    flags = ("stops", "short", "open", "torn")
+    kind = pa.struct([("form", pa.string()), *[(f, pa.bool_()) for f in flags]])
     for batch in batches:
-        out: dict[str, list] = {k: [] for k in ("id", "source", "field", "canonical", "stops", "less")}
-        for rid, otsl, html, source in zip(*(batch.column(c).to_pylist() for c in ("id", "otsl", "html", "source"))):
-            o = read_otsl(otsl) if otsl and otsl.strip() else None
-            h = read_html(html) if html and html.strip() else None
-            for field, me, other in (("otsl", o, h), ("html", h, o)):
-                if me is None:
-                    continue
-                out["id"].append(rid)
-                out["source"].append(source)
-                out["field"].append(field)
-                out["canonical"].append(SEP.join(me.cells))
-                out["stops"].append(me.stops if field == "html" else broken_off(me, other))
-                out["less"].append(other is not None and shows_less(me.cells, other.cells))
-                if field == "html" and other is None:
-                    out["stops"][-1] = me.stops or me.short
-        types = [batch.schema.field("id").type, pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_()]
-        yield pa.record_batch([pa.array(v, t) for v, t in zip(out.values(), types)], names=list(out))
-
-
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each sorted partition: the hash of every form that its successor extends, and the
-    first and the last form, which the neighbouring partitions need."""
+        columns = {"otsl": [], "html": []}
+        for field, read in (("otsl", read_otsl), ("html", read_html)):
+            for text in batch.column(field).to_pylist():
+                v = read(text) if text and text.strip() else None
+                columns[field].append(v and {"form": canonical(v.cells), **{f: getattr(v, f) for f in flags}})
+        yield pa.record_batch([batch.column("id"), batch.column("source"), *[pa.array(c, kind) for c in columns.values()]], names=["id", "source", *columns])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each sorted partition: (fp, pos, end) of every form whose run ends in it, `end` being the
+    place of its last longer copy; the forms still open at its end with their lengths; and one row of
+    its first and last form, with the places at which forms cease to share so much of the first."""
     import pyspark
 
     part = pyspark.TaskContext.get().partitionId()
-    names = ["part", "kind", "fp", "form"]
-    before = before_fp = first = None
-    for batch in batches:
-        hits = []
-        for fp, form in zip(batch.column("fp").to_pylist(), batch.column("canonical").to_pylist()):
-            if before is None:
-                first = (fp, form)
-            elif form.startswith(before) and form != before:
-                hits.append(before_fp)
-            before, before_fp = form, fp
-        yield pa.record_batch([pa.array([part] * len(hits), pa.int32()), pa.array(["prefix"] * len(hits)), pa.array(hits, pa.int64()), pa.array([None] * len(hits), pa.string())], names=names)
-    if first is not None:
-        yield pa.record_batch([pa.array([part] * 2, pa.int32()), pa.array(["first", "last"]), pa.array([first[0], before_fp], pa.int64()), pa.array([first[1], before], pa.string())], names=names)
+    at = (part << 40) - 1
+    stack: list[tuple[str, int, int]] = []
+    first, shared, breaks, last = None, 0, [], None
+    names = ["part", "fp", "pos", "end", "length", "first", "last", "breaks"]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.list_(pa.int64()))]
 
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(names), types)], names=names)
 
-def prefix_forms(values: DataFrame) -> DataFrame:
-    """(fp): forms of `values` (fp, canonical) that are strict prefixes of a longer form."""
-    forms = values.where("canonical <> ''").dropDuplicates(["fp"])
-    ordered = forms.repartitionByRange("canonical").sortWithinPartitions("canonical")
-    found = stored(ordered.mapInArrow(_neighbours, "part int, kind string, fp bigint, form string"))
-    # One first and one last form for each partition: as many rows as partitions, not as values.
-    edges = found.where("kind <> 'prefix'").withColumn("next", F.lead("form").over(Window.orderBy("part", "kind")))
-    across = edges.where("kind = 'last' and startswith(next, form) and next <> form").select("fp")
-    return found.where("kind = 'prefix'").select("fp").unionByName(across)
+    for batch in batches:
+        rows = []
+        for fp, form in zip(batch.column("fp").to_pylist(), batch.column("form").to_pylist()):
+            if first is None:
+                first, shared = form, len(form)
+            elif not form.startswith(first[:shared]):
+                shared = len(os.path.commonprefix((first[:shared], form)))
+                breaks.append([shared, at + 1])
+            while stack and not form.startswith(stack[-1][0]):
+                _, fp0, pos = stack.pop()
+                rows.append((part, fp0, pos, at, None, None, None, None))
+            at += 1
+            stack.append((form, fp, at))
+            last = form
+        yield out(rows)
+    if first is not None:
+        yield out([(part, fp, pos, at, len(form), None, None, None) for form, fp, pos in stack] + [(part, None, None, at, None, first, last, breaks)])
+
+
+def prefix_runs(forms: DataFrame) -> DataFrame:
+    """(fp, pos, end) of distinct `forms` (fp, form): a form is a strict prefix of exactly those with pos < their pos <= end."""
+    ordered = forms.repartitionByRange("form").sortWithinPartitions("form")
+    found = stored(ordered.mapInArrow(_runs, "part int, fp bigint, pos bigint, end bigint, length bigint, first string, last string, breaks array<array<bigint>>"))
+    # Two forms of each partition, and the nested prefixes of its last one: they grow with the partitions.
+    edges = {r["part"]: r for r in found.where("first is not null").select("part", "end", "first", "last", "breaks").collect()}
+    parts, closed = sorted(edges), []
+    for r in found.where("length is not null").select("part", "fp", "pos", "end", "length").collect():
+        head, end = edges[r["part"]]["last"][: r["length"]], r["end"]
+        for q in parts[parts.index(r["part"]) + 1 :]:
+            if not edges[q]["first"].startswith(head):
+                break
+            stop = next((p for n, p in edges[q]["breaks"] if n < r["length"]), None)
+            end = edges[q]["end"] if stop is None else stop - 1
+            if stop is not None:
+                break
+        closed.append((r["fp"], r["pos"], end))
+    return found.where("fp is not null and length is null").select("fp", "pos", "end").unionByName(forms.sparkSession.createDataFrame(closed, "fp bigint, pos bigint, end bigint"))
 
 
 def truncated(df: DataFrame, key: str = "record_id", source: str = "source") -> DataFrame:
     """(id, source, field, prefix_of_longer, cut) of every non-blank `otsl` and `html` value.
 
     `prefix_of_longer`: the value's cells are a strict prefix of a longer copy somewhere in
-    the table. `cut`: that, where the longer copy is the record's other field; or the value
-    stops within a tag, a cell, a row or the table. Null, empty and blank values give no
-    row; a key that comes again counts once; ties (equal fields) are no cut. An empty table
+    the table. `cut`: the record's other field is such a longer copy; or the value stops
+    within a tag, a cell, a row or the table. A value that holds no cell is a prefix of every
+    value with one. Null, empty and blank values give no row; a key that comes again counts
+    once, and is cut if one of its rows is; ties (equal fields) are no cut. An empty table
     gives no rows, and other columns are ignored.
     """
     rows = df.select(F.col(key).alias("id"), "otsl", "html", F.col(source).alias("source"))
-    kind = dict(rows.dtypes)["id"]
-    scanned = rows.mapInArrow(_scan, f"id {kind}, source string, field string, canonical string, stops boolean, less boolean")
-    scanned = stored(scanned.dropDuplicates(["id", "field"]).withColumn("fp", F.xxhash64("canonical")))
-    prefixes = prefix_forms(scanned.select("fp", "canonical")).distinct().withColumn("p", F.lit(True))
-    return scanned.join(prefixes, "fp", "left").select(
-        "id", "source", "field", F.coalesce("p", F.lit(False)).alias("prefix_of_longer"), (F.col("stops") | (F.coalesce("p", F.lit(False)) & F.col("less"))).alias("cut"), "less"
-    )
+    value = "struct<form: string, stops: boolean, short: boolean, open: boolean, torn: boolean>"
+    scanned = stored(rows.mapInArrow(_scan, f"id {dict(rows.dtypes)['id']}, source string, otsl {value}, html {value}"))
+    print_of = lambda f: F.when(F.col(f).isNotNull(), F.xxhash64(f"{f}.form"))
+    forms = scanned.select(F.explode(F.array_distinct(F.array("otsl.form", "html.form"))).alias("form")).where("form is not null")
+    runs = prefix_runs(forms.select(F.xxhash64("form").alias("fp"), "form").dropDuplicates(["fp"]))
+    flags = lambda f: F.when(F.col(f).isNotNull(), F.struct(*[F.col(f"{f}.{x}") for x in ("stops", "short", "open", "torn")])).alias(f)
+    # A missing field has the record's own hash, so that these rows don't meet in one task.
+    joined = scanned.select("id", "source", flags("otsl"), flags("html"), *[F.coalesce(print_of(f), F.xxhash64("id")).alias(f"{f}_fp") for f in ("otsl", "html")])
+    for f in ("otsl", "html"):
+        joined = joined.join(runs.select(F.col("fp").alias(f"{f}_fp"), F.struct("pos", "end").alias(f"{f}_run")), f"{f}_fp", "left")
+    o, h = F.col("otsl"), F.col("html")
+    within = lambda a, b: F.coalesce((F.col(f"{a}_run.pos") < F.col(f"{b}_run.pos")) & (F.col(f"{b}_run.pos") <= F.col(f"{a}_run.end")), F.lit(False))
+    both = o.isNotNull() & h.isNotNull()
+    same, less_o, less_h = both & (F.col("otsl_fp") == F.col("html_fp")), both & within("otsl", "html"), both & within("html", "otsl")
+    # A last row without end is evidence unless the other field has the same cells, or fewer.
+    alone = o["stops"] | o["short"] | (o["open"] & o["torn"])
+    beside = o["stops"] | (o["open"] & (o["short"] | (o["torn"] & ~same & ~less_h)))
+    cut_o = F.when(h.isNull(), alone).when(same & ~h["stops"], False).otherwise(beside | less_o)
+    cut_h = h["stops"] | (o.isNull() & h["short"]) | less_h
+    one = lambda f, cut: F.when(F.col(f).isNotNull(), F.struct(F.lit(f).alias("field"), (F.col(f"{f}_run.end") > F.col(f"{f}_run.pos")).alias("prefix_of_longer"), cut.alias("cut")))
+    values = joined.select("id", "source", F.explode(F.array(one("otsl", cut_o), one("html", cut_h))).alias("v")).where("v is not null").select("id", "source", "v.*")
+    return values.groupBy("id", "field").agg(F.max("source").alias("source"), F.max("prefix_of_longer").alias("prefix_of_longer"), F.max("cut").alias("cut"))
 
 
 def truncation_rates(found: DataFrame) -> DataFrame:
-    """(source, field, n_values, n_cut, share_cut) of the result of `truncated`; a null source is its own group."""
+    """(source, field, n_values, n_prefix, n_cut, share_cut) of the result of `truncated`; a null source is its own group."""
     return (
         found.groupBy("source", "field")
-        .agg(F.count("*").alias("n_values"), F.count_if("cut").alias("n_cut"))
+        .agg(F.count("*").alias("n_values"), F.count_if("prefix_of_longer").alias("n_prefix"), F.count_if("cut").alias("n_cut"))
         .withColumn("share_cut", F.round(F.col("n_cut") / F.col("n_values"), 6))
     )

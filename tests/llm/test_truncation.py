@@ -1,6 +1,9 @@
+import random
+
 from pyspark.sql import functions as F
 
-from quillgrid.llm.truncation import read_html, read_otsl, shows_less, truncated, truncation_rates
+from quillgrid.llm import truncation
+from quillgrid.llm.truncation import canonical, prefix_runs, read_html, read_otsl, truncated, truncation_rates
 
 FULL_O = "<fcel>a<fcel>b<nl>\n<fcel>c1<ecel><nl>\n<fcel>d<fcel>end<nl>\n"
 FULL_H = "<table><tr><td>a</td><td>b</td></tr><tr><td>c1</td><td></td></tr><tr><td>d</td><td>end</td></tr></table>"
@@ -17,7 +20,7 @@ def cut(spark, rows):
 def test_reading():
     assert read_otsl(FULL_O).cells == read_html(FULL_H).cells == ["a", "b", "c1", "", "d", "end"]
     assert read_html("<TABLE >\n<TR><TD ROWSPAN='2'>x &amp; y</TD ></TR>\n</TABLE></body><!-- p 3 -->").cells == ["x & y"]
-    assert shows_less(["a", "b", "c"], ["a", "b", "c1"]) and not shows_less(["a"], ["a"]) and not shows_less(["b"], ["a", "b"])
+    assert canonical(["a", "b", "c1"]).startswith(canonical(["a", "b", "c"])) and not canonical(["a", "b"]).startswith(canonical(["b"]))
 
 
 def test_cases(spark):
@@ -39,13 +42,30 @@ def test_cases(spark):
     assert rates[None, "otsl"] == (2, 1) and rates["s", "html"] == (5, 1)
 
 
-def test_prefix_search_meets_partition_bounds(spark):
-    from quillgrid.llm.truncation import prefix_forms
+def test_runs_over_partition_bounds(spark):
+    """Runs of longer copies within a partition, over many and to the last, against all pairs."""
+    rng = random.Random(4)
+    forms = sorted({"".join(rng.choice("ab") for _ in range(rng.randint(0, 7))) for _ in range(400)} | {"c" * k for k in range(1, 60)})
+    df = spark.createDataFrame(list(enumerate(forms)), "fp bigint, form string")
+    for parts in (1, 7, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = {r["fp"]: (r["pos"], r["end"]) for r in prefix_runs(df.repartition(3)).collect()}
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        assert len(got) == len(forms)
+        for i, a in enumerate(forms):
+            assert {j for j in range(len(forms)) if got[i][0] < got[j][0] <= got[i][1]} == {j for j, b in enumerate(forms) if b != a and b.startswith(a)}
+
 
-    forms = [f"{i:04d}" for i in range(300)] + [f"{i:04d}\x1fmore" for i in range(0, 300, 3)]
-    df = spark.createDataFrame([(k, f) for k, f in enumerate(forms)], "fp bigint, canonical string")
-    got = {r["fp"] for r in prefix_forms(df.repartition(7)).collect()}
-    assert got == set(range(0, 300, 3))
+def test_the_join_decides(spark, monkeypatch):
+    """Without the search for longer copies, a value that ends with a row is whole."""
+    rows = [(1, "<fcel>a<fcel>b<nl>\n", FULL_H, "s"), (2, "<ecel><nl>\n", FULL_H, "s"), (3, FULL_O, FULL_H, "s"), (4, "<fcel>a<fcel>b<nl>\n", None, "s")]
+    assert cut(spark, rows) == {(1, "otsl"), (2, "otsl")}
+    seen = {(r["id"], r["field"]): r["prefix_of_longer"] for r in truncated(frame(spark, rows)).collect()}
+    assert seen[4, "otsl"] and seen[2, "otsl"] and not seen[3, "html"]
+    monkeypatch.setattr(truncation, "prefix_runs", lambda forms: spark.createDataFrame([], "fp bigint, pos bigint, end bigint"))
+    assert cut(spark, rows) == set()
 
 
 def test_empty(spark):
