@@ -13,7 +13,7 @@ from .mixing import mixture
 from .neardup import near_duplicates, version_groups, version_pairs, wordless_rows
 from .packing import pack, packing_report
 from .pairs import defective_pairs
-from .repetition import repetition
+from .repetition import repeated_shares, repetition
 from .splitting import split_oversized
 from .truncation import truncated, truncation_rates
 
@@ -77,8 +77,15 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Every value's exact share of repeated words."""
+    r = repeated_shares(scan(spark, d, "examples_output", ["record_id", "otsl"]))
+    return r.select(F.col("id").alias("record_id"), "n_words", F.round("share", 9).alias("share"), "broken")
+
+
+def p4_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every value's probability, and the exact share where that lets it through."""
     r = repetition(scan(spark, d, "examples_output", ["record_id", "otsl"]))
-    return r.select(F.col("id").alias("record_id"), "n_words", F.round("share", 9).alias("share"), F.round("probability", 6).alias("probability"), "likely", "broken")
+    return r.select(F.col("id").alias("record_id"), F.round("share", 9).alias("share"), F.round("probability", 6).alias("probability"), "likely", "broken")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -111,7 +118,7 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_rates, p2_packing, p2_report, p3_found, p3_groups, p4_found, p4_shares, p5_found, p6_ids, p7_mixture, p7_shares, p8_pieces)
+    f.__name__: f for f in (p1_found, p1_rates, p2_packing, p2_report, p3_found, p3_groups, p4_found, p4_shares, p4_scores, p5_found, p6_ids, p7_mixture, p7_shares, p8_pieces)
 }
 
 #: The same results by brute force in SQL, where whole tables allow it.
@@ -123,4 +130,17 @@ g AS (SELECT record_id, i, list_slice(w, i, i + 5) AS gram FROM (SELECT record_i
 r AS (SELECT record_id, i FROM (SELECT record_id, i, row_number() OVER (PARTITION BY record_id, gram ORDER BY i) AS k FROM g) WHERE k > 1),
 m AS (SELECT record_id, count(DISTINCT i + o) AS n FROM r, range(0, 6) t(o) GROUP BY record_id)
 SELECT m.record_id FROM m JOIN v USING (record_id) WHERE m.n >= 0.4 * len(v.w)""",
+    "p4_shares": r"""
+WITH v AS (SELECT DISTINCT record_id, regexp_extract_all(lower(regexp_replace(coalesce(otsl, ''), '<(nl|fcel|ecel|lcel|ucel|xcel)>', ' ', 'g')), '[\p{L}\p{N}]+') AS w FROM examples_output),
+g AS (SELECT record_id, i, list_slice(w, i, i + 5) AS gram FROM (SELECT record_id, w, unnest(range(1, len(w) - 4)) AS i FROM v WHERE len(w) >= 6)),
+r AS (SELECT record_id, i FROM (SELECT record_id, i, row_number() OVER (PARTITION BY record_id, gram ORDER BY i) AS k FROM g) WHERE k > 1),
+m AS (SELECT record_id, count(DISTINCT i + o) AS n FROM r, range(0, 6) t(o) GROUP BY record_id)
+SELECT v.record_id, len(v.w)::BIGINT AS n_words, round(coalesce(m.n, 0) / greatest(len(v.w), 1), 9) AS share, coalesce(m.n, 0) >= 0.4 * greatest(len(v.w), 1) AS broken
+FROM v LEFT JOIN m USING (record_id)""",
+    "p3_found": r"""
+WITH t AS (SELECT DISTINCT row_id, regexp_extract_all(lower(coalesce(output, '')), '[\p{L}\p{N}]+') AS o,
+                  list_distinct(regexp_extract_all(lower(coalesce(instruction, '') || ' ' || coalesce(output, '')), '[\p{L}\p{N}]+')) AS w FROM alpaca),
+s AS (SELECT row_id, len(w) AS n, unnest(w) AS word FROM t WHERE len(o) >= 60),
+c AS (SELECT x.row_id AS a, y.row_id AS b, x.n AS na, y.n AS nb, count(*) AS k FROM s x JOIN s y ON x.word = y.word AND x.row_id < y.row_id AND 4 * x.n >= 3 * y.n AND 4 * y.n >= 3 * x.n GROUP BY ALL)
+SELECT a AS row_id_a, b AS row_id_b FROM c WHERE 4 * k >= 3 * (na + nb - k)""",
 }

@@ -3,7 +3,8 @@
 A logistic regression over hashed word and character n-grams, each crossed with whether it
 has occurred before in the value, is trained on a bounded sample labelled by the exact
 share, calibrated on held-out rows of that sample, and scores all values in Arrow batches
-against fixed thresholds. The exact share of the values it lets through settles the rest.
+against fixed thresholds. Values below the lower threshold are sound and done with; the
+exact share of those above it is computed, and settles them.
 """
 
 from __future__ import annotations
@@ -26,10 +27,12 @@ WORDS = re.compile(r"[^\W_]+")
 RUN, BROKEN = 6, 0.4
 #: Orders of the word and character n-grams.
 WORD_ORDERS, CHAR_ORDERS = (1, 2, 4, 6), (6, 16)
-#: Hashed features.
-CELLS = 1 << 11
+#: Hashed features; the last of them hold each order's first and repeated n-grams, whatever they are.
+CELLS = 1 << 10
 #: Rows with the smallest hashes of their keys that the regression is fitted on.
 SAMPLE_ROWS = 3000
+#: Broken values of the sample from which on the regression is trusted; with fewer every value is let through.
+FEWEST_BROKEN = 20
 #: A value at or above this probability is let through to the exact share.
 LET_THROUGH = 0.005
 #: A value at or above this probability is called broken without the exact share (column `likely`).
@@ -91,39 +94,49 @@ class Batch:
 
     def features(self) -> np.ndarray:
         """(rows, CELLS) shares of the hashed n-grams of each order, first and repeated ones apart."""
-        out = np.zeros((len(self.sizes), CELLS), np.float32)
+        rows = len(self.sizes)
+        out = np.zeros(rows * CELLS)
         chars = [t.encode("utf-16-le", "surrogatepass") for t in self.texts]
         csize = np.fromiter((len(c) // 2 for c in chars), np.int64, len(chars))
         crow = np.repeat(np.arange(len(chars)), csize)
         ccode = np.frombuffer(b"".join(chars), np.uint16).astype(np.uint64)
-        for kind, (code, row, sizes, orders) in enumerate(((self.code, self.row, self.sizes, WORD_ORDERS), (ccode, crow, csize, CHAR_ORDERS))):
+        plain = 2 * (len(WORD_ORDERS) + len(CHAR_ORDERS))
+        order = 0
+        for code, row, sizes, orders in ((self.code, self.row, self.sizes, WORD_ORDERS), (ccode, crow, csize, CHAR_ORDERS)):
             for n in orders:
                 _, r, sig = _grams(code, row, sizes, n)
                 seen = _again(r, sig)
-                # 4 cells of content for each order; a repeated n-gram has cells of its own.
-                name = np.uint64(kind * 1000 + n) * np.uint64(8) + seen.astype(np.uint64) * np.uint64(4) + (sig & np.uint64(3))
-                cell = (_mix(name * _MULT) % np.uint64(CELLS)).astype(np.int64)
-                weight = 1.0 / np.maximum(np.bincount(r, minlength=len(sizes)), 1)
-                np.add.at(out, (r, cell), weight[r])
-        return out
-
-
-def _fit(x: np.ndarray, y: np.ndarray, steps: int = 30, ridge: float = 1e-3) -> np.ndarray:
-    """Logistic regression by Newton steps over the cells in use; the last weight is the intercept."""
-    used = np.flatnonzero((x != 0).any(axis=0))
-    a = np.concatenate([x[:, used], np.ones((len(x), 1), np.float32)], axis=1).astype(np.float64)
+                name = sig * np.uint64(64) + np.uint64(2 * order) + seen.astype(np.uint64)
+                cell = (_mix(name * _MULT) % np.uint64(CELLS - plain)).astype(np.int64)
+                weight = (1.0 / np.maximum(np.bincount(r, minlength=rows), 1))[r]
+                out += np.bincount(r * CELLS + cell, weights=weight, minlength=rows * CELLS)
+                out += np.bincount(r * CELLS + CELLS - plain + 2 * order + seen, weights=weight, minlength=rows * CELLS)
+                order += 1
+        return out.reshape(rows, CELLS)
+
+
+def _fit(x: np.ndarray, y: np.ndarray, steps: int = 30, ridge: float = 1e-2) -> np.ndarray:
+    """Logistic regression by Newton steps, each solved by conjugate gradients; the last weight is the intercept."""
+    a = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     w = np.zeros(a.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        grad = a.T @ (p - y) + ridge * w
-        hess = (a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(a.shape[1])
-        step = np.linalg.solve(hess, grad)
+        grad, curve = a.T @ (p - y) + ridge * w, p * (1 - p)
+        step, left = np.zeros_like(w), grad.copy()
+        way, norm = left.copy(), float(left @ left)
+        for _ in range(100):
+            if norm < 1e-10:
+                break
+            along = a.T @ (curve * (a @ way)) + ridge * way
+            size = norm / float(way @ along)
+            step += size * way
+            left -= size * along
+            norm, before = float(left @ left), norm
+            way = left + (norm / before) * way
         w -= step
-        if np.abs(step).max() < 1e-4:
+        if np.abs(step).max() < 1e-3:
             break
-    full = np.zeros(CELLS + 1)
-    full[used], full[-1] = w[:-1], w[-1]
-    return full
+    return w
 
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,18 +144,15 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     values = [v for b in batches for v in b.column("value").to_pylist()]
     weights, scale, shift = np.zeros(CELLS + 1), 1.0, 0.0
     if values:
-        x, y = [], []
-        for i in range(0, len(values), 256):
-            b = Batch(values[i : i + 256])
-            x.append(b.features())
-            y.append(b.shares() >= BROKEN)
-        x, y = np.concatenate(x), np.concatenate(y).astype(np.float64)
-        held = np.arange(len(y)) % 4 == 3
-        if 0 < y[~held].sum() < (~held).sum():
+        parts = [Batch(values[i : i + 256]) for i in range(0, len(values), 256)]
+        y = np.concatenate([b.shares() >= BROKEN for b in parts]).astype(np.float64)
+        if y.sum() >= FEWEST_BROKEN:
+            x = np.concatenate([b.features() for b in parts])
+            held = np.zeros(len(y), bool)  # a quarter of the broken and of the sound
+            for kind in (0, 1):
+                held[np.flatnonzero(y == kind)[3::4]] = True
             weights = _fit(x[~held], y[~held])
-            score = x[held] @ weights[:-1] + weights[-1]
-            if 0 < y[held].sum() < held.sum():
-                scale, shift = _calibrate(score, y[held])
+            scale, shift = _calibrate(x[held] @ weights[:-1] + weights[-1], y[held])
     yield pa.record_batch([pa.array([weights.tolist()]), pa.array([float(scale)]), pa.array([float(shift)])], names=["weights", "scale", "shift"])
 
 
@@ -165,31 +175,55 @@ def _score(model: dict, batches: Iterator[pa.RecordBatch], only_found: bool) ->
         for i in range(0, len(values), 256):
             b = Batch(values[i : i + 256])
             score = b.features() @ model["weights"][:-1] + model["weights"][-1]
+            prob = 1 / (1 + np.exp(-np.clip(model["scale"] * score + model["shift"], -30, 30)))
             words.append(b.sizes)
-            probs.append(1 / (1 + np.exp(-np.clip(model["scale"] * score + model["shift"], -30, 30))))
-            shares.append(b.shares())
+            probs.append(prob)
+            let = np.flatnonzero(prob >= LET_THROUGH)
+            share = np.full(len(prob), np.nan)
+            share[let] = Batch([values[i + k] for k in let.tolist()]).shares()
+            shares.append(share)
         n, share, prob = (np.concatenate(x) if x else np.zeros(0) for x in (words, shares, probs))
-        passed = prob >= LET_THROUGH
+        broken = pa.array(np.nan_to_num(share) >= BROKEN)
         out = pa.record_batch(
-            [batch.column("id"), pa.array(n.astype(np.int64)), pa.array(share), pa.array(prob.astype(np.float64)), pa.array(prob >= LIKELY), pa.array(passed & (share >= BROKEN))],
+            [batch.column("id"), pa.array(n.astype(np.int64)), pa.array(share, from_pandas=True), pa.array(prob.astype(np.float64)), pa.array(prob >= LIKELY), broken],
             names=["id", "n_words", "share", "probability", "likely", "broken"],
         )
-        yield out.filter(pa.array(passed & (share >= BROKEN))) if only_found else out
+        yield out.filter(broken) if only_found else out
 
 
 def repetition(df: DataFrame, key: str = "record_id", value: str = "otsl", only_found: bool = False, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(id, n_words, share, probability, likely, broken), one row for each key.
 
-    `share` is exact for every value; `broken` holds where the regression lets the value
-    through and the share is at least 0.4. Null, empty and wordless values have share 0 and
-    aren't broken. A key that comes again counts once (its content is the same). With fewer
-    than two classes in the sample every value is let through. An empty table gives no rows;
-    other columns are ignored. only_found: only the broken ones.
+    `probability` comes from the regression. `share` is the exact share of the values it lets
+    through (null for the others, which are sound); `broken` holds where that is at least
+    0.4. Null, empty and wordless values aren't broken. A key that comes again counts once,
+    by its row of the largest probability. With fewer than FEWEST_BROKEN broken values in the
+    sample every value is let through. An empty table gives no rows; other columns are
+    ignored. only_found: only the broken ones.
     """
     rows = df.select(F.col(key).alias("id"), F.col(value).alias("value"))
     sample = rows.where("value is not null").select("value", F.xxhash64("id").alias("h")).dropDuplicates(["h"]).orderBy("h").limit(sample_rows)
     fitted = sample.coalesce(1).select("value").mapInArrow(_train, "weights array<double>, scale double, shift double").first()
     model = {"weights": np.zeros(CELLS + 1), "scale": 1.0, "shift": 0.0} if fitted is None else {"weights": np.array(fitted["weights"]), "scale": fitted["scale"], "shift": fitted["shift"]}
-    kind = dict(rows.dtypes)["id"]
-    schema = f"id {kind}, n_words bigint, share double, probability double, likely boolean, broken boolean"
-    return rows.mapInArrow(partial(lambda m, it: _score(m, it, only_found), model), schema).dropDuplicates(["id"])
+    schema = f"id {dict(rows.dtypes)['id']}, n_words bigint, share double, probability double, likely boolean, broken boolean"
+    scored = rows.mapInArrow(partial(lambda m, it: _score(m, it, only_found), model), schema)
+    return scored.groupBy("id").agg(F.max(F.struct("probability", "broken", "share", "n_words", "likely")).alias("s")).select("id", *[f"s.{c}" for c in ("n_words", "share", "probability", "likely", "broken")])
+
+
+def repeated_shares(df: DataFrame, key: str = "record_id", value: str = "otsl") -> DataFrame:
+    """(id, n_words, share, broken): the exact share of every value, one row for each key.
+
+    Null, empty and wordless values have share 0. A key that comes again counts once, by its
+    row of the largest share; an empty table gives no rows; other columns are ignored.
+    """
+    rows = df.select(F.col(key).alias("id"), F.col(value).alias("value"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column("value").to_pylist()
+            parts = [Batch(values[i : i + 256]) for i in range(0, len(values), 256)]
+            n, share = (np.concatenate(x) if x else np.zeros(0) for x in ([b.sizes for b in parts], [b.shares() for b in parts]))
+            yield pa.record_batch([batch.column("id"), pa.array(n.astype(np.int64)), pa.array(share)], names=["id", "n_words", "share"])
+
+    best = rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, n_words bigint, share double").groupBy("id").agg(F.max(F.struct("share", "n_words")).alias("s"))
+    return best.select("id", "s.n_words", "s.share", (F.col("s.share") >= BROKEN).alias("broken"))
