@@ -1,8 +1,10 @@
 """Sources mixed to target weights, within limits of repetition.
 
-Source shares are exponentiated along the path from the natural shares (exponent 0) to the
-target shares (exponent 1), and the exponent is bisected to the largest that keeps every
-source within its repetitions at the wanted size. The normalised weights become token
+Source token shares are exponentiated. Towards given targets, they go the path from the
+natural shares (exponent 0) to the target shares (exponent 1), and the exponent is bisected
+to the largest that keeps every source within its repetitions at the wanted size. Towards a
+given entropy, they are raised to the power at which the weights have it, by bisection, and
+from there towards 1 as far as the repetitions demand. The normalised weights become token
 budgets; a budget is whole passes over a source's documents and a last, partial pass over
 its hash-drawn blocks, cut within one block.
 """
@@ -42,23 +44,37 @@ def exponent_for_entropy(natural: list[float], entropy: float) -> float:
     return (low + high) / 2
 
 
-def exponent_within_repeats(natural: list[float], target: list[float], repeats: list[int], size: float, total: float) -> float:
-    """The largest exponent in [0, 1] at which `size` tokens repeat no source too often, by bisection.
+def powered(natural: list[float], exponent: float) -> list[float]:
+    """natural^exponent, normalised; sources without documents have none."""
+    w = [n**exponent if n > 0 else 0.0 for n in natural]
+    return [x / sum(w) if sum(w) else 0.0 for x in w]
+
+
+def entropy_of(weights: list[float]) -> float:
+    return -sum(w * math.log(w) for w in weights if w > 0)
+
+
+def bisected(weights, good: float, bad: float, natural: list[float], repeats: list[int], size: float, total: float) -> float:
+    """The exponent nearest to `bad`, between it and `good`, at which `size` tokens repeat no source too often.
 
-    natural: shares of the `total` tokens there are. 0 also where not even the natural shares
+    natural: shares of the `total` tokens there are. `good` also where not even its weights
     can be met at that size.
     """
 
     def fits(x: float) -> bool:
-        return all(size * w <= n * total * r * (1 + 1e-12) for w, n, r in zip(weights_at(natural, target, x), natural, repeats))
+        return all(size * w <= n * total * r * (1 + 1e-12) for w, n, r in zip(weights(x), natural, repeats))
 
-    if fits(1.0):
-        return 1.0
-    low, high = 0.0, 1.0
+    if fits(bad):
+        return bad
     for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if fits(mid) else (low, mid)
-    return low
+        mid = (good + bad) / 2
+        good, bad = (mid, bad) if fits(mid) else (good, mid)
+    return good
+
+
+def exponent_within_repeats(natural: list[float], target: list[float], repeats: list[int], size: float, total: float) -> float:
+    """The largest exponent in [0, 1] on the path to the targets at which `size` tokens repeat no source too often."""
+    return bisected(lambda x: weights_at(natural, target, x), 0.0, 1.0, natural, repeats, size, total)
 
 
 def largest_size(natural: list[float], target: list[float], repeats: list[int], total: float) -> float:
@@ -67,13 +83,17 @@ def largest_size(natural: list[float], target: list[float], repeats: list[int],
     return min((n * total * r / x for x, n, r in zip(w, natural, repeats) if x > 0), default=0.0)
 
 
-def mixture(docs: DataFrame, targets: DataFrame, key: str = "doc_id", size: float | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def mixture(docs: DataFrame, targets: DataFrame, key: str = "doc_id", size: float | None = None, entropy: float | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(uses, shares) of a mixture of `docs` (key, source, n_tokens) to `targets` (source, target_share, max_repeats).
 
     uses: key, source, n_tokens, n_uses, one row for each document used. shares: source,
     target_share, max_repeats, n_tokens, mixed_tokens, actual_share, exponent, one row for
     each target. `size`: tokens of the mixture; by default the most with exactly the target
-    weights. A source without documents gets none, and its share goes to the others in
+    weights. A larger size than the targets allow is met with weights between these and the
+    natural shares. `entropy`: the weights are the natural shares to a power that gives this
+    entropy (in nats), and target shares only say which sources take part; the size is then by
+    default that of the documents of these sources. An entropy that no power gives takes the
+    nearest. Where even the natural shares repeat a source too often, it gets all it may. A source without documents gets none, and its share goes to the others in
     proportion; documents without a source or of a source without target aren't used, nor
     are texts of no tokens. A key that comes again counts once. Empty tables give empty results.
     """
@@ -85,13 +105,21 @@ def mixture(docs: DataFrame, targets: DataFrame, key: str = "doc_id", size: floa
     natural = [(have[s]["t"] or 0) / total for s in names]
     target = [have[s]["target_share"] or 0.0 for s in names]
     repeats = [have[s]["max_repeats"] or 0 for s in names]
-    most = largest_size(natural, target, repeats, total)
-    exponent = exponent_within_repeats(natural, target, repeats, most if size is None else size, total)
-    weights = weights_at(natural, target, exponent)
+    if entropy is None:
+        size = largest_size(natural, target, repeats, total) if size is None else size
+        exponent = exponent_within_repeats(natural, target, repeats, size, total)
+        weights = weights_at(natural, target, exponent)
+    else:
+        natural = [n if t > 0 else 0.0 for n, t in zip(natural, target)]
+        total *= sum(natural)
+        natural = powered(natural, 1.0)
+        size = total if size is None else size
+        exponent = bisected(lambda x: powered(natural, x), 1.0, exponent_for_entropy(natural, entropy), natural, repeats, size, total)
+        weights = powered(natural, exponent)
     plan = []
     for s, w, r in zip(names, weights, repeats):
         there = have[s]["t"] or 0
-        budget = min(int(round(w * (most if size is None else size))), there * r)
+        budget = min(int(round(w * size)), there * r)
         passes = budget // there if there else 0
         plan.append((s, passes, budget - passes * there, max(1, -(-(have[s]["n"] or 0) // BLOCK_DOCUMENTS))))
     spark = docs.sparkSession

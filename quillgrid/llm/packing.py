@@ -53,7 +53,12 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     """Containers that any packing needs: the best of two families of dual-feasible functions."""
-    n = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1), capacity)
+
+
+def bound_of_counts(counts: np.ndarray, capacity: int) -> int:
+    """The same of the number of items of each length from 0 to the capacity."""
+    n = counts.astype(np.int64)
     size = np.arange(capacity + 1, dtype=np.int64)
     best = -(-int((n * size).sum()) // capacity)
     # Above C - e an item counts as a whole container, below e as nothing.
@@ -136,10 +141,18 @@ def pack(items: DataFrame, capacity: int, keys: list[str], partition_items: int
 
 
 def packing_report(assigned: DataFrame, capacity: int) -> DataFrame:
-    """(capacity, n_pieces, n_tokens, n_containers, lower_bound, fill) of a packing; one row, zeros for no items."""
+    """(capacity, n_pieces, n_tokens, n_containers, lower_bound, fill) of a packing; one row, zeros for no items.
+
+    lower_bound: containers that any packing of these pieces needs, by the dual-feasible
+    functions over the counts of their lengths, of which there are at most as many as tokens
+    in a container.
+    """
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in assigned.groupBy("n_tokens").count().collect():
+        counts[r["n_tokens"]] = r["count"]
     c = assigned.groupBy("container").agg(F.count("*").alias("k"), F.sum("n_tokens").alias("t"))
     out = c.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n_pieces"), F.coalesce(F.sum("t"), F.lit(0)).alias("n_tokens"), F.count("*").alias("n_containers"))
     return out.select(
         F.lit(capacity).alias("capacity"), "n_pieces", "n_tokens", "n_containers",
-        F.ceil(F.col("n_tokens") / capacity).alias("lower_bound"), F.round(F.try_divide("n_tokens", F.col("n_containers") * capacity), 6).alias("fill"),
+        F.lit(bound_of_counts(counts, capacity)).cast("bigint").alias("lower_bound"), F.round(F.try_divide("n_tokens", F.col("n_containers") * capacity), 6).alias("fill"),
     )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,31 +35,32 @@ def _items(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return tuple(stored(with_token_counts(t.where("text <> ''"), "text", ["row_id", "part"]).dropDuplicates(["row_id", "part"])) for t in (messages, outputs))
 
 
-def _packings(spark: SparkSession, d: str):
+def _packings(spark: SparkSession, d: str, **how):
     """(limit_name, table_name, capacity, assigned, certificates) of each packing limit."""
     limits = {r["limit_name"]: r["max_tokens"] for r in table(spark, d, "size_limits").where("limit_name like 'pack%'").collect()}  # a fixed list
     chatml, alpaca = _items(spark, d)
     for name in sorted(limits):
         items, source = (chatml, "chatml") if "chatml" in name else (alpaca, "alpaca")
-        yield name, source, limits[name], *pack(items, limits[name], ["row_id", "part"])
+        yield name, source, limits[name], *pack(items, limits[name], ["row_id", "part"], **how)
 
 
 def p2_packing(spark: SparkSession, d: str) -> DataFrame:
     """Every piece of every item with its container, for each packing limit."""
-    parts = [a.select(F.lit(n).alias("limit_name"), F.lit(s).alias("table_name"), *a.columns) for n, s, _, a, _ in _packings(spark, d)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return _union(a.select(F.lit(n).alias("limit_name"), F.lit(s).alias("table_name"), *a.columns) for n, s, _, a, _ in _packings(spark, d))
 
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
-    """Containers, lower bound and fill of each packing."""
-    out = None
-    for n, _, c, a, _ in _packings(spark, d):
-        r = packing_report(a, c).select(F.lit(n).alias("limit_name"), "*")
-        out = r if out is None else out.unionByName(r)
-    return out
+    """Containers, certified lower bound and fill of each packing."""
+    return _union(packing_report(a, c).select(F.lit(n).alias("limit_name"), "*") for n, _, c, a, _ in _packings(spark, d))
+
+
+def p2_certificates(spark: SparkSession, d: str) -> DataFrame:
+    """The certificate of every partition of every round, in partitions of 400 items, so that many exchange theirs."""
+    return _union(c.select(F.lit(n).alias("limit_name"), "*") for n, _, _, _, c in _packings(spark, d, partition_items=400))
+
+
+def _union(frames) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -99,17 +102,30 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(scan(spark, d, "documents", ["doc_id", "text"]), "doc_id", "text")
 
 
-def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs = with_token_counts(scan(spark, d, "documents", ["doc_id", "source", "text"]), "text", ["doc_id", "source"])
-    return mixture(docs, table(spark, d, "mix_targets"))
+def _counted(spark: SparkSession, d: str) -> DataFrame:
+    return with_token_counts(scan(spark, d, "documents", ["doc_id", "source", "text"]), "text", ["doc_id", "source"])
 
 
 def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
-    return _mix(spark, d)[0]
+    """The largest mixture of exactly the target shares."""
+    return mixture(_counted(spark, d), table(spark, d, "mix_targets"))[0]
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
-    return _mix(spark, d)[1]
+    return mixture(_counted(spark, d), table(spark, d, "mix_targets"))[1]
+
+
+def p7_enlarged(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of a mixture of half as many tokens again as there are, more than exactly the target shares allow: the exponent lies below 1."""
+    docs = stored(_counted(spark, d))
+    size = docs.agg(F.sum("n_tokens")).first()[0]
+    return mixture(docs, table(spark, d, "mix_targets"), size=1.5 * (size or 0))[1]
+
+
+def p7_tempered(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of a mixture whose weights are the sources' token shares to the power that gives nearly even weights their entropy."""
+    targets = table(spark, d, "mix_targets")
+    return mixture(_counted(spark, d), targets, entropy=0.9 * math.log(max(targets.count(), 1)))[1]
 
 
 def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -118,7 +134,7 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_rates, p2_packing, p2_report, p3_found, p3_groups, p4_found, p4_shares, p4_scores, p5_found, p6_ids, p7_mixture, p7_shares, p8_pieces)
+    f.__name__: f for f in (p1_found, p1_rates, p2_packing, p2_report, p2_certificates, p3_found, p3_groups, p4_found, p4_shares, p4_scores, p5_found, p6_ids, p7_mixture, p7_shares, p7_enlarged, p7_tempered, p8_pieces)
 }
 
 #: The same results by brute force in SQL, where whole tables allow it.

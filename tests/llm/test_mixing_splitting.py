@@ -39,6 +39,26 @@ def test_mixture(spark):
     assert u.count() == 0 and s.count() == 0
 
 
+def test_mixture_above_the_targets_and_to_an_entropy(spark):
+    rows = [(k, "abc"[(k > 700) + (k > 950)], 10 + k % 7) for k in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint")
+    targets = spark.createDataFrame([("a", 0.3, 1), ("b", 0.5, 2), ("c", 0.2, 3)], "source string, target_share double, max_repeats int")
+    total = sum(r[2] for r in rows)
+    uses, shares = mixture(docs, targets, size=float(total))
+    s = {r["source"]: r for r in shares.collect()}
+    assert 0 < s["a"]["exponent"] < 1
+    assert all(r["n_uses"] <= {"a": 1, "b": 2, "c": 3}[r["source"]] for r in uses.collect())
+    assert s["c"]["mixed_tokens"] == pytest.approx(3 * s["c"]["n_tokens"], rel=0.02)  # the source that binds
+    assert sum(r["mixed_tokens"] for r in s.values()) == pytest.approx(total, rel=0.02)
+    _, shares = mixture(docs, targets, size=total / 10, entropy=1.0)
+    s = {r["source"]: r for r in shares.collect()}
+    w = [r["actual_share"] for r in s.values()]
+    assert 0 < s["a"]["exponent"] < 1 and -sum(x * math.log(x) for x in w) == pytest.approx(1.0, abs=0.03)
+    _, shares = mixture(docs, targets, entropy=math.log(3))
+    s = {r["source"]: r for r in shares.collect()}
+    assert 0 < s["a"]["exponent"] < 1 and s["c"]["mixed_tokens"] == pytest.approx(3 * s["c"]["n_tokens"], rel=0.02)
+
+
 LIMITS = [("big", 120, 16), ("small", 40, 0)]
 
 

@@ -39,6 +39,21 @@ def test_every_token_once(spark):
     assert packing_report(assigned, 100).first()["n_tokens"] == total
 
 
+def test_partitions_exchange(spark):
+    """Items that no partition packs well on its own meet in later rounds, and the bound over all counts holds."""
+    rng = random.Random(8)
+    items = spark.createDataFrame([(k, rng.choice([26, 34, 41, 49, 55])) for k in range(900)], "row_id bigint, n_tokens bigint")
+    assigned, certificates = pack(items, 100, ["row_id"], partition_items=60)
+    rounds = {r["round"] for r in certificates.collect()}
+    assert len(rounds) > 1
+    once, _ = pack(items, 100, ["row_id"], partition_items=60, rounds=1)
+    report, before = packing_report(assigned, 100).first(), packing_report(once, 100).first()
+    assert report["lower_bound"] == before["lower_bound"] <= report["n_containers"] <= before["n_containers"]
+    assert report["lower_bound"] >= -(-report["n_tokens"] // 100)
+    lengths = np.array([r["n_tokens"] for r in items.collect()])
+    assert report["lower_bound"] == lower_bound(lengths, 100)
+
+
 def test_empty_and_errors(spark):
     none = spark.createDataFrame([], "row_id bigint, n_tokens bigint")
     assigned, certificates = pack(none, 10, ["row_id"])

@@ -31,7 +31,7 @@ def folders(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_empty_tables(spark, folders, name):
     got = QUERIES[name](spark, f"{folders}/none")
-    assert got.count() == {"p2_report": 3, "p7_shares": 9}.get(name, 0)
+    assert got.count() == {"p2_report": 3, "p7_shares": 9, "p7_enlarged": 9, "p7_tempered": 9}.get(name, 0)
     assert got.columns == COLUMNS.get(name, got.columns)
 
 
@@ -43,7 +43,7 @@ def test_rows_of_nulls(spark, folders, name):
     elif name == "p5_found":
         assert {(r["table_name"], r["row_id"], r["defect"]) for r in got} == {(t, k, "empty") for t in ("alpaca", "multi_modal_2") for k in (7, None)}
     else:
-        assert len(got) == {"p2_report": 3, "p7_shares": 9, "p4_shares": 2, "p4_scores": 2}.get(name, 0)
+        assert len(got) == {"p2_report": 3, "p7_shares": 9, "p7_enlarged": 9, "p7_tempered": 9, "p4_shares": 2, "p4_scores": 2}.get(name, 0)
 
 
 @pytest.mark.parametrize("name", list(ORACLE))
