@@ -1,9 +1,9 @@
 """Defective prompt and response pairs, one defect each.
 
 Prompt and response are aligned: shingles of the response that the prompt contains pick the
-possible copies, the longest common subsequence settles them; shingles of fixed refusal
-templates and the words they leave uncovered settle refusals. Empty, truncated and
-wrong-language responses are read off the response itself, its markup and its sentences.
+possible copies, the longest common subsequence settles them; templates of slots aligned
+with each sentence settle refusals. Empty and truncated responses are read off the response
+itself and its markup, wrong languages off its sentences, by profiles fitted on documents.
 """
 
 from __future__ import annotations
@@ -17,53 +17,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .language import Profile
+from .refusals import is_refusal
+
 # ---- fixed values -------------------------------------------------------------------------
 #: What stands for a missing value.
 PLACEHOLDERS = {"null", "none", "nil", "nan", "na", "n/a", "n.a.", "#n/a", "empty", "undefined", "missing", "blank", "tbd", "todo"}
-#: Cores of refusals, aligned by shingles of three words (of two characters in Chinese).
-REFUSALS = [
-    "i can't assist with reading this picture", "i cannot help with this request", "i am unable to answer that", "i am not able to process images",
-    "i must decline to transcribe this", "i won't be able to comply", "that isn't something i can do", "i do not feel comfortable answering",
-    "i cannot assist with that", "i can't help with that", "i am not able to help with this", "i have to decline this request", "i refuse to answer this",
-    "muss ich das ablehnen", "ich muss das ablehnen", "darf ich dazu nichts sagen", "ich darf dazu nichts sagen", "kann ich bei dieser anfrage nicht helfen", "ich kann bei dieser anfrage nicht helfen",
-    "je ne peux pas répondre à cette demande", "je ne suis pas en mesure de vous aider", "je dois refuser cette demande", "je dois refuser",
-    "no puedo ayudar con esta petición", "no me es posible responder", "debo rechazar la solicitud",
-    "我无法回答这个请求", "我必须拒绝这项要求", "我不能帮助您完成此事",
-]
-#: What may surround a refusal without being an answer.
-REFUSAL_DRESS = [
-    "sorry", "i am sorry but", "i'm sorry but", "i regret that", "unfortunately", "apologies", "my apologies", "as a table assistant", "as an ai language model",
-    "because of my guidelines", "at this time", "please ask something else", "is there anything else", "is there anything else i can help with",
-    "es tut mir leid aber", "entschuldigung", "leider", "und bitte um verständnis",
-    "je suis désolé mais", "pardon", "malheureusement", "merci de votre compréhension",
-    "lo siento pero", "disculpa", "por desgracia", "gracias por tu comprensión", "en este momento",
-    "对不起", "很抱歉", "抱歉", "请换一个话题", "感谢您的理解",
-]
 #: What may dress a copied question.
 COPY_DRESS = re.compile(r"^\s*(?:(?:you\s+(?:asked|ask|said)|user|human|question|prompt|query|q)\s*[:：]|>)\s*", re.I)
-#: Frequent words that tell the languages apart.
-FUNCTION_WORDS = {
-    "en": "the of and for with which that this what is are was from under its by to at each how many row rows gives holds every other whose has read we no only between rose fell says should note table column does list do any exceed in or what summarize describe explain interpret differences between transcribe",
-    "de": "der die das und für von mit ist den dem des ein eine einen eines nicht auf im zu bei keine weil zwischen zeile spalte wie welche welchen welcher warum nennt steht wird wurde seit laut insgesamt gegenüber nur über davon zeigt jahr tabelle bleibt am ende in erkläre fasse zusammen verändert sich schreibe angaben ab zu",
-    "fr": "le la les des et pour du une un est dans avec dont par sous que entre ligne colonne quelle quel pourquoi au aux en tableau qui sur depuis selon seuls valeur ne aucune aucun donne indique été tandis l d n se comment évolue résume explique transcris données commun balises",
-    "es": "el los las del y para con una un es en por que entre fila columna cuál qué cómo según desde solo al cuales tabla valor se su ningún ninguna muestra indica está porque fue mientras queda llega lo de no resume explica transcribe cambia datos da etiquetas",
-}
 #: Words that ask for an answer in a language of its own.
 ASKS_LANGUAGE = re.compile(
     r"translat|übersetz|tradui|traduc|traduz|翻译|译成|译为|(?:answer|reply|respond|write|auf|in|en|au|用|以)\s*(?:english|french|german|spanish|chinese|deutsch|englisch|französisch|spanisch|chinesisch|français|francais|anglais|allemand|espagnol|chinois|español|inglés|francés|alemán|chino|英文|英语|法文|法语|德文|德语|西班牙文|西班牙语|中文|汉语)", re.I
 )
 
+#: Words that join names.
+JOINS = {"and", "or", "und", "oder", "et", "ou", "y", "e", "o", "u", "&", "of", "de", "von", "del", "/", "–"}
 #: Sentences around an answer that say nothing of its language.
 COURTESY = re.compile(r"^\W*(?:thank you|thanks|sure|of course|certainly|i have read|hope this helps|that is all|end of table|here is|here are|the rows are)\b", re.I)
 
 #: Shingle containment from which a response may be a copy; share of the longer text that the common subsequence covers.
 COPY_CONTAINMENT, COPY_LCS = 0.5, 0.88
-#: Share of a refusal's words that the templates cover.
-REFUSAL_COVER = 0.75
+#: Support by which one language must lead: of a prompt, of a sentence of the response.
+PROMPT_LEAD, SENTENCE_LEAD = 4.0, 6.0
+#: Words below which a sentence of the response doesn't tell its language.
+SENTENCE_WORDS = 4
+#: Share of a column's prose that must end with a mark for a missing one to tell; responses that are prose have so many words.
+MARKED, PROSE_WORDS = 0.8, 8
 
 _TAG = re.compile(r"<[^<>]*>")
 _WORD = re.compile(r"[^\W_]+")
-_TOKEN = re.compile(r"[㐀-鿿]|[^\W\d_]+(?:['’][^\W\d_]+)?|\d+")
 _CJK = re.compile(r"[㐀-鿿]")
 _CONTENT = re.compile(r"[^\W_]|[%‰°€$£¥]")
 _FENCE = re.compile(r"```[ \t]*\w*")
@@ -72,10 +54,6 @@ _END = re.compile(r"(?:[.!?。！？…]|[.!?。！？…]\s*[(（][^()（）]*[
 _OMITTED = re.compile(r"(?:\.\.\.|…|\[truncated\]|<more>|…\(\+\d+\)|�)\s*$", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s*(?=\S)|\n+")
 _QUOTED = re.compile(r"[“„«][^“”„«»]*[”“»]")
-_LANG = {}
-for _l, _ws in FUNCTION_WORDS.items():
-    for _w in _ws.split():
-        _LANG.setdefault(_w, []).append(_l)
 
 
 def is_empty(response: str | None) -> bool:
@@ -88,44 +66,6 @@ def is_empty(response: str | None) -> bool:
     return not _CONTENT.search(_FENCE.sub("", _TAG.sub("", response)))
 
 
-def _tokens(text: str) -> list[str]:
-    return _TOKEN.findall(text.lower().replace("’", "'"))
-
-
-def _shingles(tokens: list[str]) -> set:
-    return set(zip(tokens, tokens[1:], tokens[2:])) | set(zip(tokens, tokens[1:]))
-
-
-_REFUSAL_SHINGLES = [_shingles(_tokens(x)) for x in REFUSALS]
-_CORE = set().union(*[set(zip(*[_tokens(x)[k:] for k in range(3)])) for x in REFUSALS])
-_COVER = {}
-for _x in REFUSALS + REFUSAL_DRESS:
-    _t = tuple(_tokens(_x))
-    _COVER.setdefault(_t[0], []).append(_t)
-for _v in _COVER.values():
-    _v.sort(key=len, reverse=True)
-_CORE_TUPLES = {tuple(_tokens(x)) for x in REFUSALS}
-
-
-def is_refusal(response: str) -> bool:
-    """Whether refusal templates cover the response, and leave no answer over."""
-    tokens = _tokens(response)
-    if not any(t in _CORE for t in zip(tokens, tokens[1:], tokens[2:])):
-        return False
-    here = _shingles(tokens)
-    if max(len(here & s) / len(s) for s in _REFUSAL_SHINGLES) < 0.6:
-        return False
-    covered = k = 0
-    while k < len(tokens):
-        for t in _COVER.get(tokens[k], ()):
-            if tuple(tokens[k : k + len(t)]) == t:
-                covered, k = covered + len(t), k + len(t)
-                break
-        else:
-            k += 1
-    return covered >= REFUSAL_COVER * len(tokens)
-
-
 def lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence, by bit vectors (public algorithm)."""
     at: dict[str, int] = {}
@@ -176,8 +116,9 @@ def is_copy(prompt: str, response: str) -> bool:
     return lcs(q * times, r) >= least
 
 
-def is_truncated(response: str) -> bool:
-    """Whether the response stops within a word, a sentence, or open markup or JSON."""
+def is_truncated(response: str, profile: Profile, marked: bool = True) -> bool:
+    """Whether the response stops within a word, a sentence, or open markup or JSON. Not `marked`: the
+    column's sentences don't end with marks, so that only markup, JSON and marks of omission tell."""
     s = response.strip()
     if _OMITTED.search(s) and len(_WORD.findall(s[-400:])) > 3:
         return True
@@ -212,48 +153,35 @@ def is_truncated(response: str) -> bool:
         return False
     if _END.search(s):
         return False
-    return not _bare(s)
+    return marked and not is_bare(s, profile)
 
 
-def _bare(s: str) -> bool:
-    """A bare value or name: short, and nothing in it but names, numbers and units."""
+def is_bare(s: str, profile: Profile) -> bool:
+    """A bare value or name: nothing but names, numbers with their units, and what joins them."""
     if s.startswith(("(", "“", '"')) and s.endswith((")", "”", '"')):
         return True
     if _CJK.search(s):
         return len(s) <= 6 and not re.search(r"[，、：；]", s)
     parts = s.split()
+    if s.endswith((",", ";", ":", "-")):
+        return False
     if len(parts) == 1:
-        return len(s) <= 40 and not s.endswith((",", ";", ":", "-"))
-    if len(parts) > 4 or s.endswith((",", ";", ":", "-")):
+        return len(s) <= 40
+    low = [p.strip(".,;:()").lower() for p in parts]
+    if low[-1] in profile.common:
         return False
-    for k, p in enumerate(parts):
-        if p[0].isdigit() or not p[0].isalpha() or p[0].isupper() and p.lower() not in _LANG:
-            continue
-        if k and parts[k - 1][-1].isdigit() and p.lower() not in _LANG:
-            continue  # a unit after its number
+    name = [not p[0].isalpha() or p[0].isupper() and w not in profile.common for p, w in zip(parts, low)]
+    if all(n or w in JOINS for n, w in zip(name, low)):
+        return len(parts) <= 4 or any(w in JOINS or p.endswith(",") for p, w in zip(parts, low))
+    if parts[0][0].isdigit() and not any(p[0].isdigit() for p in parts[1:]):
+        return len(parts) <= 6  # an amount and what it is of
+    if len(parts) > 4:
         return False
-    return True
-
-
-def language(text: str, least: float = 2) -> str | None:
-    """zh, en, de, fr or es by characters and frequent words; None if fewer than `least` of them tell."""
-    cjk = len(_CJK.findall(text))
-    words = _WORD.findall(text.lower())
-    if cjk >= 4 and cjk > len(words):
-        return "zh"
-    score: dict[str, float] = {}
-    for w in words:
-        for l in _LANG.get(w, ()):
-            score[l] = score.get(l, 0) + 1 / len(_LANG[w])
-    if not score:
-        return None
-    best = sorted(score.items(), key=lambda x: -x[1])
-    if best[0][1] < least or (len(best) > 1 and best[0][1] < 1.3 * best[1][1]):
-        return None
-    return best[0][0]
-
-
-def other_language(prompt: str | None, response: str) -> bool:
+    # A unit after its number.
+    return all(n or k and parts[k - 1][-1].isdigit() and w not in profile.common for k, (n, w) in enumerate(zip(name, low)))
+
+
+def other_language(prompt: str | None, response: str, profile: Profile) -> bool:
     """Whether the response has sentences in another language than the prompt's and none in it;
     tables, JSON, quotations and courtesies are set aside. Not where the prompt asks for it."""
     if not prompt or ASKS_LANGUAGE.search(prompt):
@@ -264,16 +192,20 @@ def other_language(prompt: str | None, response: str) -> bool:
     if "<" in s:
         s = re.sub(r"<table.*?</table>", "\n", s, flags=re.S | re.I)
         s = "\n".join(x for x in s.split("\n") if not _OTSL.search(x))
-    asked = language(prompt.replace("<image>", " "), 1.5)
+    asked = profile.of(prompt.replace("<image>", " "), PROMPT_LEAD)
     if asked is None:
         return False
-    told = {language(x) for x in _SENTENCE.split(_QUOTED.sub(" ", s)) if x.strip() and not COURTESY.search(x)} - {None}
-    if not told:
-        told = {language(_QUOTED.sub(" ", s))} - {None}
-    return bool(told) and asked not in told
+    plain, told = _QUOTED.sub(" ", s), False
+    for x in _SENTENCE.split(plain):
+        if x.strip() and not COURTESY.search(x):
+            found = profile.of(x, SENTENCE_LEAD, SENTENCE_WORDS)
+            if found == asked:
+                return False
+            told |= found is not None
+    return told or profile.of(plain, SENTENCE_LEAD, SENTENCE_WORDS) not in (None, asked)
 
 
-def defect(prompt: str | None, response: str | None) -> str | None:
+def defect(prompt: str | None, response: str | None, profile: Profile, marked: bool = True) -> str | None:
     """The pair's defect, or None. A null or blank prompt can be neither copied nor spoken to in another language."""
     if is_empty(response):
         return "empty"
@@ -281,24 +213,36 @@ def defect(prompt: str | None, response: str | None) -> str | None:
         return "refusal"
     if prompt and prompt.strip() and is_copy(prompt, response):
         return "copy"
-    if is_truncated(response):
+    if is_truncated(response, profile, marked):
         return "truncated"
-    return "language" if other_language(prompt, response) else None
+    return "language" if other_language(prompt, response, profile) else None
+
+
+def marked_column(df: DataFrame, response: str) -> bool:
+    """Whether the column's prose ends with marks, so that a missing one tells. All rows are counted."""
+    text = F.rtrim(F.col(response))
+    prose = (F.size(F.split(text, r"\s+")) >= PROSE_WORDS) & ~F.substring(text, 1, 1).isin("{", "[", "<", "`", "|")
+    n, ended = df.where(prose).agg(F.count("*"), F.count_if(text.rlike(r"[.!?。！？…>}\])”\"'`*|]$"))).first()
+    return not n or ended >= MARKED * n
 
 
-def defective_pairs(df: DataFrame, key: str, prompt: str, response: str) -> DataFrame:
+def defective_pairs(df: DataFrame, key: str, prompt: str, response: str, profile: Profile) -> DataFrame:
     """(id, defect), one row for each defective pair of `df`.
 
-    Null and empty responses are 'empty'. A key that comes again counts once, ties between
-    defects go by the order empty, refusal, copy, truncated, language. An empty table gives
-    no rows; other columns are ignored; whole texts are read, however long.
+    `profile`: fitted languages; with an empty one only scripts tell languages apart. Null
+    and empty responses are 'empty'. A pair of several defects has the first of empty,
+    refusal, copy, truncated, language; of the rows of a key that comes again the first such
+    by name counts. In a column whose prose mostly ends without a mark, a missing one is no
+    defect. A null or blank prompt can be neither copied nor spoken to in another language.
+    An empty table gives no rows; other columns are ignored; whole texts are read, however long.
     """
     rows = df.select(F.col(key).alias("id"), F.col(prompt).alias("prompt"), F.col(response).alias("response"))
+    marked = marked_column(rows, "response")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [defect(p, r) for p, r in zip(b.column("prompt").to_pylist(), b.column("response").to_pylist())]
+            found = [defect(p, r, profile, marked) for p, r in zip(b.column("prompt").to_pylist(), b.column("response").to_pylist())]
             out = pa.record_batch([b.column("id"), pa.array(found, pa.string())], names=["id", "defect"])
             yield out.filter(out.column("defect").is_valid())
 
-    return rows.mapInArrow(scan, f"id {dict(rows.dtypes)['id']}, defect string").dropDuplicates(["id"])
+    return rows.mapInArrow(scan, f"id {dict(rows.dtypes)['id']}, defect string").groupBy("id").agg(F.min("defect").alias("defect"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import scan, stored, table
 from .encode import encode_corpus, with_token_counts
+from .language import fit_languages
 from .mixing import mixture
 from .neardup import near_duplicates, version_groups, version_pairs, wordless_rows
 from .packing import pack, packing_report
@@ -92,8 +93,9 @@ def p4_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    alpaca = defective_pairs(scan(spark, d, "alpaca", ["row_id", "instruction", "output"]), "row_id", "instruction", "output")
-    multi = defective_pairs(scan(spark, d, "multi_modal_2", ["row_id", "query", "response"]), "row_id", "query", "response")
+    profile = fit_languages(table(spark, d, "documents"), "doc_id", "text", "lang")
+    alpaca = defective_pairs(scan(spark, d, "alpaca", ["row_id", "instruction", "output"]), "row_id", "instruction", "output", profile)
+    multi = defective_pairs(scan(spark, d, "multi_modal_2", ["row_id", "query", "response"]), "row_id", "query", "response", profile)
     named = lambda t, n: t.select(F.lit(n).alias("table_name"), F.col("id").alias("row_id"), "defect")
     return named(alpaca, "alpaca").unionByName(named(multi, "multi_modal_2"))
 
