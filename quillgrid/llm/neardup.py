@@ -6,16 +6,19 @@ threshold alike have a least number of words in common, so the first k of these
 first words of both sets, up to a length that the size gives (a prefix filter of k words):
 no such pair can be missed, whatever the order of words in the texts. A set's columns are the
 words of its prefix; a column that many sets have is replaced by the columns of that word and
-each later word of the prefix, and those that are still hot by chains of `DEPTH` words. The
-product is formed block by block as a join on the column; pairs out of reach by their sizes,
-by what is left after the chain, or by the bits of their sets are discarded as they arise,
-and the rest are compared over their whole word sets.
+each later word of the prefix, and those that are still hot by chains of `DEPTH` words. A
+column that is long even so is cut into blocks of sets. The product is formed block by block,
+each two blocks of a column by a join under a name of their own; pairs out of reach by their
+sizes or by what is left after the chain are discarded as they arise, others by the bits of
+their sets, and the rest are compared over their whole word sets.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from fractions import Fraction
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,9 @@ from .components import components
 
 #: A word is a maximal run of letters or digits.
 WORD = r"[\p{L}\p{N}]+"
+_WORD = re.compile(r"[^\W_]+")
+#: Words whose hashes a worker keeps; results don't depend on it.
+KEPT_WORDS = 500_000
 #: Longest chain of words that makes a column.
 DEPTH = 3
 #: A chain that more sets have than this, and twice the mean of its table, is hot and is lengthened.
@@ -35,6 +41,8 @@ HOT = 192
 #: cell that several share can only make a chain longer, never lose a pair.
 CELLS = 1 << 19
 CHUNK_BITS = 12
+#: Sets of a block of a column: a column of more is cut into blocks, and every two of them meet on their own.
+BLOCK = 1024
 #: Sets whose chains are formed at a time.
 SLICE = 1000
 #: Up to so many candidate pairs the ids in them are broadcast: 8 MB of ids at most.
@@ -47,15 +55,40 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def word_rows(df: DataFrame, key: str, texts: list[str], counted: str | None, min_words: int) -> DataFrame:
-    """(id, fp, words): the hashed distinct words of the texts taken together, sorted, and the hash of that list."""
-    joined = F.concat_ws(" ", *[F.coalesce(F.col(t), F.lit("")) for t in texts])
-    out = df.select(F.col(key).alias("id"), joined.alias("t"), (F.col(counted) if counted else joined).alias("c"))
-    if min_words > 1:
-        # A text of fewer characters than this can't hold so many words: the costly count is skipped.
-        out = out.where((F.length("c") >= 2 * min_words - 1) & (F.size(words_of(F.col("c"))) >= min_words))
-    out = out.select("id", F.array_sort(F.array_distinct(F.transform(words_of(F.col("t")), lambda w: F.xxhash64(w)))).alias("words")).where(F.size("words") > 0)
-    return out.select("id", F.xxhash64("words").alias("fp"), "words")
+def word_rows(df: DataFrame, key: str, texts: list[str], counted: str | None, min_words: int, words: bool = True) -> DataFrame:
+    """(id, fp, words): the hashed distinct words of the texts taken together, sorted, and a hash of that set; without `words` (id, fp)."""
+    kind = dict(df.select(F.col(key).alias("id")).dtypes)["id"]
+    rows = df.select(F.col(key).alias("id"), *[F.col(t).alias(f"t{k}") for k, t in enumerate(texts)])
+    least = texts.index(counted) if counted else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes: dict[str, int] = {}
+        for batch in batches:
+            if len(codes) > KEPT_WORDS:
+                codes.clear()
+            at, sets, sizes = [], [], []
+            for k, row in enumerate(zip(*[batch.column(f"t{k}").to_pylist() for k in range(len(texts))])):
+                found = [_WORD.findall(t.lower()) if t else [] for t in row]
+                if (len(found[least]) if least is not None else sum(map(len, found))) < min_words:
+                    continue
+                one = set().union(*found)
+                if one:
+                    at.append(k)
+                    sets.append(one)
+                    sizes.append(len(one))
+            for w in set().union(*sets) - codes.keys():
+                codes[w] = int.from_bytes(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest())
+            size = np.array(sizes, np.int64)
+            row, code = np.repeat(np.arange(len(size)), size), np.fromiter((codes[w] for one in sets for w in one), np.uint64, int(size.sum()))
+            start = np.cumsum(size) - size
+            fp = mix(np.add.reduceat(mix(code), start) + size.astype(np.uint64)) if len(size) else np.zeros(0, np.uint64)
+            columns = [batch.column("id").take(pa.array(at, pa.int32())), pa.array(fp.view(np.int64))]
+            if words:
+                order = np.lexsort((code, row))
+                columns.append(pa.ListArray.from_arrays(pa.array(np.append(start, len(code)).astype(np.int32)), pa.array(code[order].view(np.int64))))
+            yield pa.record_batch(columns, names=["id", "fp", "words"][: len(columns)])
+
+    return rows.mapInArrow(run, f"id {kind}, fp bigint" + ", words array<bigint>" * words)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -102,8 +135,8 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(k, SLICE)
 
 
-def prefixes_of(batch: pa.RecordBatch, rarity: np.ndarray, t: Fraction) -> pa.RecordBatch:
-    """(fp, size, prefix, b0 ...): the rarest words of each set, as many as chains may need, and the bits of all its words."""
+def prefixes_of(batch: pa.RecordBatch, rarity: np.ndarray, t: Fraction, first_id: int) -> pa.RecordBatch:
+    """(id, fp, size, prefix, b0 ...): the rarest words of each set, as many as chains may need, and the bits of all its words."""
     word, size = lists_of(batch, "words")
     word = mix(word)
     row = np.repeat(np.arange(len(size)), size)
@@ -119,7 +152,9 @@ def prefixes_of(batch: pa.RecordBatch, rarity: np.ndarray, t: Fraction) -> pa.Re
     rank = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
     kept = word[order][rank < keep[row]]
     prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)), pa.array(kept.view(np.int64)))
-    return pa.record_batch([batch.column("fp"), pa.array(size.astype(np.int32)), prefix, *bits], names=["fp", "size", "prefix", *[f"b{k}" for k in range(BITMAP)]])
+    return pa.record_batch(
+        [pa.array(first_id + np.arange(len(size))), batch.column("fp"), pa.array(size.astype(np.int32)), prefix, *bits], names=["id", "fp", "size", "prefix", *[f"b{k}" for k in range(BITMAP)]]
+    )
 
 
 def least_of(size: np.ndarray, t: Fraction) -> np.ndarray:
@@ -159,20 +194,30 @@ def chains_of(batch: pa.RecordBatch, tables: list[np.ndarray], t: Fraction) -> l
     return out
 
 
-def postings_of(batch: pa.RecordBatch, tables: list[np.ndarray], t: Fraction) -> pa.RecordBatch:
-    """The columns of a batch of sets: (col, fp, meta, b0 ...); meta is the number of words and, in its
-    lower half, of words that a pair first alike in this chain can have in common at most."""
+def postings_of(batch: pa.RecordBatch, tables: list[np.ndarray], blocks: np.ndarray, t: Fraction) -> pa.RecordBatch:
+    """The columns of a batch of sets: (col, id, meta); meta is the number of words, of words that a
+    pair first alike in this chain can have in common at most, and the side on which the set stands.
+
+    A set of a column of k blocks stands in one of them, which meets itself (side 0) and the
+    blocks before (side 1 there) and after it (side 2 there), each under a name of its own.
+    """
     size = np.asarray(batch.column("size")).astype(np.int64)
+    ids = np.asarray(batch.column("id")).astype(np.int64)
     rows, metas, keys = [], [], []
     for depth, (row, pos, key, mine) in enumerate(chains_of(batch, tables, t), 1):
         row, pos, key = row[mine], pos[mine], key[mine]
         rows.append(row)
         keys.append(key)
-        metas.append(size[row] << 32 | depth + size[row] - pos - 1)
-    row = pa.array(np.concatenate(rows))
-    names = ["fp", *[f"b{k}" for k in range(BITMAP)]]
-    fp, *bits = [batch.column(n).take(row) for n in names]
-    return pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), fp, pa.array(np.concatenate(metas)), *bits], names=["col", "fp", "meta", *names[1:]])
+        metas.append(size[row] << 33 | (depth + size[row] - pos - 1) << 2)
+    row, key, meta = (np.concatenate(x) for x in (rows, keys, metas))
+    k = blocks[cell_of(key)].astype(np.int64)
+    of = np.repeat(np.arange(len(row)), k)
+    other = np.arange(len(of)) - np.repeat(np.cumsum(k) - k, k)
+    own = (mix(ids[row].astype(np.uint64) + np.uint64(1)) % np.maximum(k, 1).astype(np.uint64)).astype(np.int64)[of]
+    side = np.where(own == other, 0, np.where(own < other, 1, 2))
+    pair = np.minimum(own, other) * np.int64(1 << 20) + np.maximum(own, other)
+    col = np.where(k[of] == 1, key[of], mix(key[of] + (pair + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    return pa.record_batch([pa.array(col.view(np.int64)), pa.array(ids[row[of]]), pa.array(meta[of] | side)], names=["col", "id", "meta"])
 
 
 def similar_texts(distinct: DataFrame, t: Fraction) -> DataFrame:
@@ -181,33 +226,43 @@ def similar_texts(distinct: DataFrame, t: Fraction) -> DataFrame:
     rarity = sc.broadcast(cell_counts(distinct.select("words"), lambda b: mix(lists_of(b, "words")[0])))
 
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyspark
+
+        first = pyspark.TaskContext.get().partitionId() << 33
         for b in batches:
             if b.num_rows:
-                yield prefixes_of(b, rarity.value, t)
+                yield prefixes_of(b, rarity.value, t, first)
+                first += b.num_rows
 
-    bits = ", ".join(f"b{k} bigint" for k in range(BITMAP))
-    prefixes = stored(distinct.mapInArrow(shorten, f"fp bigint, size int, prefix array<bigint>, {bits}"))
+    bits = [f"b{k}" for k in range(BITMAP)]
+    prefixes = stored(distinct.mapInArrow(shorten, "id bigint, fp bigint, size int, prefix array<bigint>, " + ", ".join(f"{b} bigint" for b in bits)))
     tables = sc.broadcast([])
     for _ in range(1, DEPTH):
         known = tables
         tables = sc.broadcast([*known.value, hot(cell_counts(prefixes.select("size", "prefix"), lambda b: chains_of(b, known.value, t)[-1][2]))])
+    columns = cell_counts(prefixes.select("size", "prefix"), lambda b: np.concatenate([key[mine] for _, _, key, mine in chains_of(b, tables.value, t)]))
+    blocks = sc.broadcast(np.maximum(np.ceil(columns / BLOCK), 1).astype(np.int32))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in slices(b):
-                yield postings_of(part, tables.value, t)
+                yield postings_of(part, tables.value, blocks.value, t)
 
-    rows = prefixes.mapInArrow(kept, f"col bigint, fp bigint, meta bigint, {bits}")
+    rows = prefixes.select("id", "size", "prefix").mapInArrow(kept, "col bigint, id bigint, meta bigint")
     x, y = rows.alias("x"), rows.alias("y")
     num, den = t.numerator, t.denominator
-    apart = sum((F.bit_count(F.col(f"x.b{k}").bitwiseXOR(F.col(f"y.b{k}"))) for k in range(BITMAP)), F.lit(0))
-    sx, sy = F.shiftright("x.meta", 32), F.shiftright("y.meta", 32)
-    most = F.least(F.col("x.meta").bitwiseAND(0xFFFFFFFF), F.col("y.meta").bitwiseAND(0xFFFFFFFF))
-    reach = (
-        (F.col("x.fp") < F.col("y.fp")) & (sx * den >= sy * num) & (sy * den >= sx * num)
-        & (most * (den + num) >= (sx + sy) * num) & (apart * (den + num) <= (sx + sy) * (den - num))
-    )
-    pairs = stored(x.join(y, (F.col("x.col") == F.col("y.col")) & reach).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct())
+    sx, sy = F.shiftright("x.meta", 33), F.shiftright("y.meta", 33)
+    most = F.least(*[F.shiftright(F.col(f"{r}.meta").bitwiseAND((1 << 33) - 1), 2) for r in "xy"])
+    side = [F.col(f"{r}.meta").bitwiseAND(3) for r in "xy"]
+    met = ((side[0] == 0) & (side[1] == 0) & (F.col("x.id") < F.col("y.id"))) | ((side[0] == 1) & (side[1] == 2))
+    reach = met & (sx * den >= sy * num) & (sy * den >= sx * num) & (most * (den + num) >= (sx + sy) * num)
+    pairs = x.join(y, (F.col("x.col") == F.col("y.col")) & reach).select(F.least("x.id", "y.id").alias("x"), F.greatest("x.id", "y.id").alias("y")).distinct()
+    # Bits of all words of both sets, by which most pairs end here.
+    for r in "xy":
+        pairs = pairs.join(prefixes.select(F.col("id").alias(r), F.struct("fp", "size", *bits).alias(f"{r}s")), r)
+    apart = sum((F.bit_count(F.col(f"xs.{b}").bitwiseXOR(F.col(f"ys.{b}"))) for b in bits), F.lit(0))
+    near = apart * (den + num) <= (F.col("xs.size") + F.col("ys.size")) * (den - num)
+    pairs = stored(pairs.where(near).select(F.least("xs.fp", "ys.fp").alias("a"), F.greatest("xs.fp", "ys.fp").alias("b")))
     # Only sets in a candidate pair are moved. Their ids are broadcast if they are few, else joined by hash.
     ids = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     asked = distinct.join(F.broadcast(ids) if pairs.count() <= FEW_PAIRS else ids, "fp", "left_semi")
@@ -228,9 +283,8 @@ def near_duplicates(
     empty and blank texts), take no part. Keys that come again with the same words count
     once. An empty table gives two empty results; other columns of `df` are ignored.
     """
-    rows = word_rows(df, key, texts, counted, min_words)
-    members = stored(rows.select("id", "fp").distinct())
-    distinct = stored(rows.select("fp", "words").dropDuplicates(["fp"]))
+    members = stored(word_rows(df, key, texts, counted, min_words, words=False).distinct())
+    distinct = stored(word_rows(df, key, texts, counted, min_words).select("fp", "words").dropDuplicates(["fp"]))
     return members, stored(similar_texts(distinct, threshold))
 
 

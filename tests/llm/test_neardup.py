@@ -60,10 +60,12 @@ def test_a_third_of_the_rows_alike(spark):
     assert len(groups) == 40 and all(r["group_size"] == 40 and r["n_links"] == 39 for r in groups)
 
 
-@pytest.mark.parametrize("hot, t", [(64, Fraction(3, 4)), (1, Fraction(3, 4)), (1, Fraction(1, 2))])
-def test_any_order_and_scattered_words(spark, monkeypatch, hot, t):
-    """Shuffled words, moved items of two words and words inserted evenly leave few n-grams, but the same sets."""
+@pytest.mark.parametrize("hot, block, t", [(64, 1024, Fraction(3, 4)), (1, 1024, Fraction(3, 4)), (1, 3, Fraction(1, 2)), (64, 2, Fraction(3, 4)), (1, 2, Fraction(4, 5))])
+def test_any_order_and_scattered_words(spark, monkeypatch, hot, block, t):
+    """Shuffled words, moved items of two words, swapped neighbours, a frequent word replaced throughout and
+    words inserted evenly leave few n-grams, but much the same sets; so do columns cut into small blocks."""
     monkeypatch.setattr(neardup, "HOT", hot)
+    monkeypatch.setattr(neardup, "BLOCK", block)
     rng = random.Random(5)
     texts = ["solo", "solo duo", "duo trio", "solo duo trio"]
     for k in range(25):
@@ -71,7 +73,10 @@ def test_any_order_and_scattered_words(spark, monkeypatch, hot, t):
         items = [base[i : i + 2] for i in range(0, len(base), 2)]
         rng.shuffle(items)
         spread = [w for i, b in enumerate(base) for w in ([b, f"n{k}x{i}"] if i % 4 == 1 else [b])]
-        texts += [" ".join(base), " ".join(rng.sample(base, len(base))), " ".join(w for x in items for w in x), " ".join(spread)]
+        swapped = [w for i in range(0, len(base), 2) for w in reversed(base[i : i + 2])]
+        common = max(set(base), key=base.count)
+        replaced = ["instead" if w == common else w for w in base]
+        texts += [" ".join(base), " ".join(rng.sample(base, len(base))), " ".join(w for x in items for w in x), " ".join(spread), " ".join(swapped), " ".join(replaced)]
     rows = [(k, "", x) for k, x in enumerate(texts)]
     members, pairs = near_duplicates(spark.createDataFrame(rows, "id bigint, i string, t string"), "id", ["t"], threshold=t)
     got = {(r["id_a"], r["id_b"]) for r in version_pairs(members, pairs).collect()}
