@@ -47,8 +47,8 @@ BLOCK = 1024
 SLICE = 1000
 #: Up to so many candidate pairs the ids in them are broadcast: 8 MB of ids at most.
 FEW_PAIRS = 500_000
-#: 64-bit parts of the bitmap of a text's words.
-BITMAP = 3
+#: 64-bit parts of a set's bits: each tells whether an odd number of its words falls on it.
+BITMAP = 2
 
 
 def words_of(text: Column) -> Column:
@@ -68,6 +68,8 @@ def word_rows(df: DataFrame, key: str, texts: list[str], counted: str | None, mi
                 codes.clear()
             at, sets, sizes = [], [], []
             for k, row in enumerate(zip(*[batch.column(f"t{k}").to_pylist() for k in range(len(texts))])):
+                if len((row[least] if least is not None else "".join(filter(None, row))) or "") < 2 * min_words - 1:
+                    continue  # too few characters to hold so many words
                 found = [_WORD.findall(t.lower()) if t else [] for t in row]
                 if (len(found[least]) if least is not None else sum(map(len, found))) < min_words:
                     continue
@@ -136,7 +138,7 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def prefixes_of(batch: pa.RecordBatch, rarity: np.ndarray, t: Fraction, first_id: int) -> pa.RecordBatch:
-    """(id, fp, size, prefix, b0 ...): the rarest words of each set, as many as chains may need, and the bits of all its words."""
+    """(id, fp, size, prefix, b0 ...): the rarest words of each set, as many as chains may need, and the bits of all its words; two sets differ in at least as many words as bits."""
     word, size = lists_of(batch, "words")
     word = mix(word)
     row = np.repeat(np.arange(len(size)), size)
@@ -145,7 +147,7 @@ def prefixes_of(batch: pa.RecordBatch, rarity: np.ndarray, t: Fraction, first_id
     for k in range(BITMAP):
         mine = bit // 64 == k
         b = np.zeros(len(size), np.uint64)
-        np.bitwise_or.at(b, row[mine], np.uint64(1) << (bit[mine] % 64).astype(np.uint64))
+        np.bitwise_xor.at(b, row[mine], np.uint64(1) << (bit[mine] % 64).astype(np.uint64))
         bits.append(pa.array(b.view(np.int64)))
     keep = np.minimum(size, size - least_of(size, t) + DEPTH)
     order = np.lexsort((word, rarity[cell_of(word)], row))  # rarest first; equal rarity by the word itself
@@ -163,9 +165,15 @@ def least_of(size: np.ndarray, t: Fraction) -> np.ndarray:
 
 
 def hot(counts: np.ndarray) -> np.ndarray:
+    """Cells of columns that are lengthened."""
     return counts > HOT + 2 * counts.mean()
 
 
+def blocks_of(counts: np.ndarray) -> np.ndarray:
+    """Blocks of the columns of each cell."""
+    return np.maximum(np.ceil(counts / BLOCK), 1).astype(np.int32)
+
+
 def chains_of(batch: pa.RecordBatch, tables: list[np.ndarray], t: Fraction) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each length of chains up to one more than there are tables of hot cells: (row, position
     of the last word, key, whether it is a column, not lengthened)."""
@@ -194,7 +202,7 @@ def chains_of(batch: pa.RecordBatch, tables: list[np.ndarray], t: Fraction) -> l
     return out
 
 
-def postings_of(batch: pa.RecordBatch, tables: list[np.ndarray], blocks: np.ndarray, t: Fraction) -> pa.RecordBatch:
+def postings_of(batch: pa.RecordBatch, tables: list[np.ndarray], blocks: list[np.ndarray], t: Fraction) -> pa.RecordBatch:
     """The columns of a batch of sets: (col, id, meta); meta is the number of words, of words that a
     pair first alike in this chain can have in common at most, and the side on which the set stands.
 
@@ -203,14 +211,14 @@ def postings_of(batch: pa.RecordBatch, tables: list[np.ndarray], blocks: np.ndar
     """
     size = np.asarray(batch.column("size")).astype(np.int64)
     ids = np.asarray(batch.column("id")).astype(np.int64)
-    rows, metas, keys = [], [], []
+    rows, metas, keys, cuts = [], [], [], []
     for depth, (row, pos, key, mine) in enumerate(chains_of(batch, tables, t), 1):
         row, pos, key = row[mine], pos[mine], key[mine]
         rows.append(row)
         keys.append(key)
         metas.append(size[row] << 33 | (depth + size[row] - pos - 1) << 2)
-    row, key, meta = (np.concatenate(x) for x in (rows, keys, metas))
-    k = blocks[cell_of(key)].astype(np.int64)
+        cuts.append(blocks[depth - 1][cell_of(key)].astype(np.int64))
+    row, key, meta, k = (np.concatenate(x) for x in (rows, keys, metas, cuts))
     of = np.repeat(np.arange(len(row)), k)
     other = np.arange(len(of)) - np.repeat(np.cumsum(k) - k, k)
     own = (mix(ids[row].astype(np.uint64) + np.uint64(1)) % np.maximum(k, 1).astype(np.uint64)).astype(np.int64)[of]
@@ -236,17 +244,19 @@ def similar_texts(distinct: DataFrame, t: Fraction) -> DataFrame:
 
     bits = [f"b{k}" for k in range(BITMAP)]
     prefixes = stored(distinct.mapInArrow(shorten, "id bigint, fp bigint, size int, prefix array<bigint>, " + ", ".join(f"{b} bigint" for b in bits)))
-    tables = sc.broadcast([])
-    for _ in range(1, DEPTH):
+    tables, blocks = sc.broadcast([]), []
+    for depth in range(1, DEPTH + 1):
         known = tables
-        tables = sc.broadcast([*known.value, hot(cell_counts(prefixes.select("size", "prefix"), lambda b: chains_of(b, known.value, t)[-1][2]))])
-    columns = cell_counts(prefixes.select("size", "prefix"), lambda b: np.concatenate([key[mine] for _, _, key, mine in chains_of(b, tables.value, t)]))
-    blocks = sc.broadcast(np.maximum(np.ceil(columns / BLOCK), 1).astype(np.int32))
+        counts = cell_counts(prefixes.select("size", "prefix"), lambda b: chains_of(b, known.value, t)[-1][2])
+        blocks.append(blocks_of(counts))
+        if depth < DEPTH:
+            tables = sc.broadcast([*known.value, hot(counts)])
+    cuts = sc.broadcast(blocks)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in slices(b):
-                yield postings_of(part, tables.value, blocks.value, t)
+                yield postings_of(part, tables.value, cuts.value, t)
 
     rows = prefixes.select("id", "size", "prefix").mapInArrow(kept, "col bigint, id bigint, meta bigint")
     x, y = rows.alias("x"), rows.alias("y")
@@ -257,12 +267,15 @@ def similar_texts(distinct: DataFrame, t: Fraction) -> DataFrame:
     met = ((side[0] == 0) & (side[1] == 0) & (F.col("x.id") < F.col("y.id"))) | ((side[0] == 1) & (side[1] == 2))
     reach = met & (sx * den >= sy * num) & (sy * den >= sx * num) & (most * (den + num) >= (sx + sy) * num)
     pairs = x.join(y, (F.col("x.col") == F.col("y.col")) & reach).select(F.least("x.id", "y.id").alias("x"), F.greatest("x.id", "y.id").alias("y")).distinct()
-    # Bits of all words of both sets, by which most pairs end here.
+    # The bits of all words of both sets, by which most pairs end here.
+    marks = F.struct("size", *bits)
     for r in "xy":
-        pairs = pairs.join(prefixes.select(F.col("id").alias(r), F.struct("fp", "size", *bits).alias(f"{r}s")), r)
+        pairs = pairs.join(prefixes.select(F.col("id").alias(r), marks.alias(f"{r}s")), r)
     apart = sum((F.bit_count(F.col(f"xs.{b}").bitwiseXOR(F.col(f"ys.{b}"))) for b in bits), F.lit(0))
-    near = apart * (den + num) <= (F.col("xs.size") + F.col("ys.size")) * (den - num)
-    pairs = stored(pairs.where(near).select(F.least("xs.fp", "ys.fp").alias("a"), F.greatest("xs.fp", "ys.fp").alias("b")))
+    near = pairs.where(apart * (den + num) <= (F.col("xs.size") + F.col("ys.size")) * (den - num)).select("x", "y")
+    for r in "xy":
+        near = near.join(prefixes.select(F.col("id").alias(r), F.col("fp").alias(f"{r}f")), r)
+    pairs = stored(near.select(F.least("xf", "yf").alias("a"), F.greatest("xf", "yf").alias("b")))
     # Only sets in a candidate pair are moved. Their ids are broadcast if they are few, else joined by hash.
     ids = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     asked = distinct.join(F.broadcast(ids) if pairs.count() <= FEW_PAIRS else ids, "fp", "left_semi")
