@@ -9,8 +9,8 @@ words of its prefix; a column that many sets have is replaced by the columns of
 each later word of the prefix, and those that are still hot by chains of `DEPTH` words. A
 column that is long even so is cut into blocks of sets. The product is formed block by block,
 each two blocks of a column by a join under a name of their own; pairs out of reach by their
-sizes or by what is left after the chain are discarded as they arise, others by the bits of
-their sets, and the rest are compared over their whole word sets.
+sizes, by what is left after the chain, or by the bits of their sets are discarded as they
+arise, and the rest are compared over their whole word sets.
 """
 
 from __future__ import annotations
@@ -203,7 +203,7 @@ def chains_of(batch: pa.RecordBatch, tables: list[np.ndarray], t: Fraction) -> l
 
 
 def postings_of(batch: pa.RecordBatch, tables: list[np.ndarray], blocks: list[np.ndarray], t: Fraction) -> pa.RecordBatch:
-    """The columns of a batch of sets: (col, id, meta); meta is the number of words, of words that a
+    """The columns of a batch of sets: (col, id, meta, b0 ...); meta is the number of words, of words that a
     pair first alike in this chain can have in common at most, and the side on which the set stands.
 
     A set of a column of k blocks stands in one of them, which meets itself (side 0) and the
@@ -225,7 +225,9 @@ def postings_of(batch: pa.RecordBatch, tables: list[np.ndarray], blocks: list[np
     side = np.where(own == other, 0, np.where(own < other, 1, 2))
     pair = np.minimum(own, other) * np.int64(1 << 20) + np.maximum(own, other)
     col = np.where(k[of] == 1, key[of], mix(key[of] + (pair + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-    return pa.record_batch([pa.array(col.view(np.int64)), pa.array(ids[row[of]]), pa.array(meta[of] | side)], names=["col", "id", "meta"])
+    names = [f"b{k}" for k in range(BITMAP)]
+    bits = [batch.column(n).take(pa.array(row[of])) for n in names]
+    return pa.record_batch([pa.array(col.view(np.int64)), pa.array(ids[row[of]]), pa.array(meta[of] | side), *bits], names=["col", "id", "meta", *names])
 
 
 def similar_texts(distinct: DataFrame, t: Fraction) -> DataFrame:
@@ -258,24 +260,20 @@ def similar_texts(distinct: DataFrame, t: Fraction) -> DataFrame:
             for part in slices(b):
                 yield postings_of(part, tables.value, cuts.value, t)
 
-    rows = prefixes.select("id", "size", "prefix").mapInArrow(kept, "col bigint, id bigint, meta bigint")
+    rows = prefixes.select("id", "size", "prefix", *bits).mapInArrow(kept, "col bigint, id bigint, meta bigint, " + ", ".join(f"{b} bigint" for b in bits))
     x, y = rows.alias("x"), rows.alias("y")
     num, den = t.numerator, t.denominator
     sx, sy = F.shiftright("x.meta", 33), F.shiftright("y.meta", 33)
     most = F.least(*[F.shiftright(F.col(f"{r}.meta").bitwiseAND((1 << 33) - 1), 2) for r in "xy"])
-    side = [F.col(f"{r}.meta").bitwiseAND(3) for r in "xy"]
-    met = ((side[0] == 0) & (side[1] == 0) & (F.col("x.id") < F.col("y.id"))) | ((side[0] == 1) & (side[1] == 2))
-    reach = met & (sx * den >= sy * num) & (sy * den >= sx * num) & (most * (den + num) >= (sx + sy) * num)
+    # Both sides in one number: a condition on one side alone would be pushed below the shuffle, which both sides then couldn't share.
+    sides = F.col("x.meta").bitwiseAND(3) * 4 + F.col("y.meta").bitwiseAND(3)
+    met = ((sides == 0) & (F.col("x.id") < F.col("y.id"))) | (sides == 6)
+    apart = sum((F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in bits), F.lit(0))
+    reach = met & (sx * den >= sy * num) & (sy * den >= sx * num) & (most * (den + num) >= (sx + sy) * num) & (apart * (den + num) <= (sx + sy) * (den - num))
     pairs = x.join(y, (F.col("x.col") == F.col("y.col")) & reach).select(F.least("x.id", "y.id").alias("x"), F.greatest("x.id", "y.id").alias("y")).distinct()
-    # The bits of all words of both sets, by which most pairs end here.
-    marks = F.struct("size", *bits)
     for r in "xy":
-        pairs = pairs.join(prefixes.select(F.col("id").alias(r), marks.alias(f"{r}s")), r)
-    apart = sum((F.bit_count(F.col(f"xs.{b}").bitwiseXOR(F.col(f"ys.{b}"))) for b in bits), F.lit(0))
-    near = pairs.where(apart * (den + num) <= (F.col("xs.size") + F.col("ys.size")) * (den - num)).select("x", "y")
-    for r in "xy":
-        near = near.join(prefixes.select(F.col("id").alias(r), F.col("fp").alias(f"{r}f")), r)
-    pairs = stored(near.select(F.least("xf", "yf").alias("a"), F.greatest("xf", "yf").alias("b")))
+        pairs = pairs.join(prefixes.select(F.col("id").alias(r), F.col("fp").alias(f"{r}f")), r)
+    pairs = stored(pairs.select(F.least("xf", "yf").alias("a"), F.greatest("xf", "yf").alias("b")))
     # Only sets in a candidate pair are moved. Their ids are broadcast if they are few, else joined by hash.
     ids = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     asked = distinct.join(F.broadcast(ids) if pairs.count() <= FEW_PAIRS else ids, "fp", "left_semi")
