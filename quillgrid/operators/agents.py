@@ -67,6 +67,58 @@ def coder_call(text: Column) -> Column:
     return F.struct(F.regexp_extract(text, r"<function=([^>]+)>", 1).alias("name"), F.map_from_entries(F.transform(blocks, entry)).alias("arguments"))
 
 
+def fenced_calls(text: Column) -> Column:
+    """<tool_call>name, then the arguments in a JSON fence."""
+    found = F.regexp_extract_all(text, F.lit(r"(?s)<tool_call>(.+?)\n```json(.+?)```</tool_call>"), F.lit(0))
+    part = lambda c, k: F.trim(F.regexp_extract(c, r"(?s)<tool_call>(.+?)\n```json\s*(.+?)\s*```</tool_call>", k))
+    return F.transform(found, lambda c: F.struct(part(c, 1).alias("name"), part(c, 2).alias("arguments")))
+
+
+def parameter_calls(text: Column, end: str = "<|eom_id|>") -> Column:
+    """Bare JSON objects with a name and parameters; an end token is taken off, others aren't calls."""
+    body = F.when(text.endswith(end), F.left(text, F.length(text) - len(end))).otherwise(text)
+    found = F.regexp_extract_all(body, F.lit(r'(?s)\{[^{]*?"name":.*?"parameters":\s*?\{.*?\}\s*?\}'), F.lit(0))
+    calls = F.transform(found, lambda c: F.struct(F.get_json_object(c, "$.name").alias("name"), F.get_json_object(c, "$.parameters").alias("arguments")))
+    return F.filter(calls, lambda c: c["name"].isNotNull() & c["arguments"].isNotNull())
+
+
+def delimited_calls(text: Column, begin: str = "<｜tool▁call▁begin｜>", sep: str = "<｜tool▁sep｜>", end: str = "<｜tool▁call▁end｜>") -> Column:
+    """A name and its JSON arguments between begin, separator and end tokens; broken arguments are no call."""
+    found = F.regexp_extract_all(text, F.lit(f"(?s){begin}(.*?){sep}(.*?){end}"), F.lit(0))
+    part = lambda c, k: F.trim(F.regexp_extract(c, f"(?s){begin}(.*?){sep}(.*?){end}", k))
+    return F.filter(F.transform(found, lambda c: F.struct(part(c, 1).alias("name"), part(c, 2).alias("arguments"))), lambda c: F.try_parse_json(c["arguments"]).isNotNull())
+
+
+def calls_of(text: Column, dialect: str) -> Column:
+    """Calls in a named dialect; where there is none, those in the Action form."""
+    found = DIALECTS[dialect](text)
+    return F.when(F.size(F.coalesce(found, F.array().cast(CALLS))) > 0, found).otherwise(react_calls(text))
+
+
+#: Readers of calls by dialect.
+DIALECTS = {"react": react_calls, "hermes": hermes_calls, "hunyuan": fenced_calls, "glm": glm_calls, "llama": parameter_calls, "deepseek": delimited_calls}
+#: Heads and tails of prompts that list tools, one definition in JSON a line.
+TOOL_PROMPTS = {
+    "hermes": (
+        "# Tools\n\nYou may call one or more functions to assist with the user query.\n\nYou are provided with function signatures within <tools></tools> XML tags:\n<tools>\n",
+        "\n</tools>\n\nFor each function call, return a json object with function name and arguments within <tool_call></tool_call> XML tags:\n"
+        '<tool_call>\n{"name": <function-name>, "arguments": <args-json-object>}\n</tool_call>',
+    ),
+    "hunyuan": (
+        "# Tools\n\nYou may call one or more functions to assist with the user query.\n\nYou are provided with function signatures within <tools></tools> XML tags:\n<tools>\n",
+        "\n</tools>\n\nFor function call returns, you should first print <tool_calls>For each function call, you should return object like:\n"
+        "<tool_call>function_name\n```json\nfunction_arguments_in_json_format\n```</tool_call>At the end of function call returns, you should print </tool_calls>",
+    ),
+}
+
+
+def listed_tools(tools: Column, system: Column, kind: str) -> Column:
+    """A system prompt followed by the tools of an array of JSON definitions, in a named form."""
+    head, tail = TOOL_PROMPTS[kind]
+    before = F.when(F.coalesce(system, F.lit("")) != "", F.concat(system, F.lit("\n\n"))).otherwise("")
+    return F.concat(before, F.lit(head), F.array_join(F.transform(tools, wrapped_tool), "\n"), F.lit(tail))
+
+
 def calls_as_messages(calls: Column) -> Column:
     """A JSON list of calls as one tool_call message each; broken JSON gives null."""
     parsed = F.from_json(calls, "array<string>")
@@ -126,6 +178,14 @@ def reply_scales(reply: Column, query: Column, scale: str) -> Column:
     return out
 
 
+def last_round_scales(messages: Column) -> Column:
+    """array<array<struct<text, scale>>>: only the last assistant message weighs, its empty thought doesn't."""
+    n = F.size(messages)
+    pieces = lambda m: keyword_scales(m["content"], "ignore_empty_think")
+    none = lambda m: F.array(F.struct(m["content"].alias("text"), F.lit(0.0).alias("scale")))
+    return F.transform(messages, lambda m, i: F.when((m["role"] == "assistant") & (i == n - 1), pieces(m)).otherwise(none(m)))
+
+
 def context_scales(messages: Column, kind: str = "default") -> Column:
     """Loss weight of each message: 'default' assistants, 'last_round' the last assistant, 'all' every one."""
     n = F.size(messages)

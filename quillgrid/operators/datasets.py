@@ -15,6 +15,11 @@ def draw(key: str, seed: int = 0) -> Column:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
 
 
+def first_drawn(df: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
+    """The first k rows of the drawn order, numbered within range partitions: no task holds all of them."""
+    return row_numbers(df.withColumn("__d", draw(key, seed)), ["__d", key]).where(F.col("rn") <= k).drop("__d", "rn")
+
+
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """n rows: the whole table n // size times and the first n % size of the drawn order."""
     size = df.count()
@@ -24,17 +29,47 @@ def sample_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     parts = []
     if whole:
         parts.append(df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(whole - 1)))))
-    parts.append(df.withColumn("__d", draw(key, seed)).orderBy("__d", key).limit(rest).drop("__d").withColumn("copy", F.lit(whole)))
+    if rest or not whole:
+        parts.append(first_drawn(df, key, rest, seed).withColumn("copy", F.lit(whole)))
     return reduce(DataFrame.unionByName, parts)
 
 
+def hash_sample(df: DataFrame, hashed: str, k: int) -> DataFrame:
+    """The k rows of the smallest values of a column of 64-bit hashes, for a fit on a bounded sample.
+
+    Rows far above the k-th are left out by the count of all, so that a task gets about 4 k
+    rows, however many partitions there are.
+    """
+    n = df.count()
+    if n > 8 * k:
+        near = df.where(F.col(hashed) < F.lit(int(-(2**63) + 2**64 * (4 * k / n))))
+        df = near if near.count() >= k else df
+    return df.orderBy(hashed).limit(k)
+
+
 def split_exact(df: DataFrame, key: str, ratio: float, seed: int = 0) -> DataFrame:
     """`df` with `is_val`: exactly max(int(n * ratio), 1) rows of the drawn order; all for 1, none for 0."""
     if ratio <= 0 or ratio >= 1:
         return df.withColumn("is_val", F.lit(ratio >= 1))
     k = max(int(df.count() * ratio), 1)
-    val = df.select(F.col(key).alias("__k"), draw(key, seed).alias("__d")).orderBy("__d", "__k").limit(k).select("__k")
-    return df.join(val, df[key] == val["__k"], "left").withColumn("is_val", F.col("__k").isNotNull()).drop("__k")
+    return row_numbers(df.withColumn("__d", draw(key, seed)), ["__d", key]).withColumn("is_val", F.col("rn") <= k).drop("__d", "rn")
+
+
+def take_and_skip(df: DataFrame, order: list[str], n: int | None, ratio: float) -> DataFrame:
+    """`df` with `is_val`, split as a stream is: of the first n rows in order the first int(n * ratio) are held out.
+
+    Without n only the ratios 0 (none) and 1 (all) are known.
+    """
+    if n is None:
+        if ratio not in (0, 1):
+            raise ValueError("a stream of unknown length can't be split by a ratio")
+        return df.withColumn("is_val", F.lit(ratio == 1))
+    return row_numbers(df, order).where(F.col("rn") <= n).withColumn("is_val", F.col("rn") <= int(n * ratio)).drop("rn")
+
+
+def split_ratio(ratio: float, streaming: bool, own_validation: bool) -> float:
+    """The ratio that holds: none is split off a stream or beside a validation set of its own."""
+    return 0.0 if streaming or own_validation else ratio
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
@@ -56,17 +91,50 @@ def concatenated(frames: list[DataFrame]) -> DataFrame | None:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) if frames else None
 
 
-def interleaved(df: DataFrame, source: str, key: str, weights: dict[str, float], seed: int = 0) -> DataFrame:
-    """`df` with `position`: rows of all sources in turn by weight, up to the first exhausted source.
+def interleaved(df: DataFrame, source: str, key: str, weights: dict[str, float], seed: int = 0, stop: str = "first") -> DataFrame:
+    """`df` with `position` and `copy`: rows of all sources in turn by weight.
 
     The r-th row of a source with weight w stands at r / w; a random draw of the same weights
-    has this order in the mean.
+    has this order in the mean. stop: 'first' ends with the first exhausted source, 'all' with
+    the last, the others beginning again.
     """
+    if stop not in ("first", "all"):
+        raise ValueError("stop is 'first' or 'all'")
     w = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
     drawn = df.where(F.col(source).isin(list(weights))).withColumn("__d", draw(key, seed))
-    placed = group_row_numbers(drawn, [source], ["__d", key]).withColumn("position", F.col("rn") / F.element_at(w, F.col(source))).drop("__d", "rn")
-    end = placed.groupBy(source).agg(F.max("position").alias("e")).agg(F.min("e")).first()[0]  # one number
-    return placed.where(F.col("position") <= F.lit(end))
+    placed = group_row_numbers(drawn, [source], ["__d", key]).drop("__d")
+    sizes = placed.groupBy(source).agg(F.max("rn").alias("__n")).withColumn("__w", F.element_at(w, F.col(source)))  # a row for each weight
+    ends = sizes.agg((F.min if stop == "first" else F.max)(F.col("__n") / F.col("__w")).alias("__end"))
+    sizes = F.broadcast(sizes.join(F.broadcast(ends)))  # one row beside them
+    out = placed.join(sizes, source).withColumn("copy", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil((F.col("__end") * F.col("__w") - F.col("rn")) / F.col("__n")), F.lit(0)).cast("int")))) if stop == "all" else placed.join(sizes, source).withColumn("copy", F.lit(0))
+    return out.withColumn("position", (F.col("rn") + F.col("copy") * F.col("__n")) / F.col("__w")).where(F.col("position") <= F.col("__end")).drop("rn", "__n", "__w", "__end")
+
+
+def round_robin(df: DataFrame, order: list[str], k: int) -> DataFrame:
+    """`df` with `turn`: rows in order are dealt to k in turn, from 0."""
+    return row_numbers(df, order).withColumn("turn", (F.col("rn") - 1) % k).drop("rn")
+
+
+def in_request_order(df: DataFrame, request: str, *then: str) -> DataFrame:
+    """Rows by request id, without an id last."""
+    return df.orderBy(F.asc_nulls_last(request), *then)
+
+
+def zipped(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str]) -> DataFrame:
+    """Rows of both tables side by side by their place in order; the longer one's rest is dropped."""
+    return row_numbers(left, left_order).join(row_numbers(right, right_order), "rn")
+
+
+def with_predictions(truth: DataFrame, predictions: DataFrame, key: str, prediction: str) -> DataFrame:
+    """The truth with each key's prediction, '' where there is none."""
+    return truth.join(predictions.select(key, prediction), key, "left").na.fill("", [prediction])
+
+
+def common_rows(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Multiset intersection: each row as often as the table has it that has it less often, with `n`, its number."""
+    counts = lambda df, x, y: df.groupBy(*a.columns).agg(F.count("*").alias("__n")).select(*a.columns, (F.col("__n") if x else F.lit(0)).alias("__a"), (F.col("__n") if y else F.lit(0)).alias("__b"))
+    both = counts(a, True, False).unionByName(counts(b, False, True)).groupBy(*a.columns).agg(F.least(F.sum("__a"), F.sum("__b")).alias("n"))
+    return both.where("n > 0")
 
 
 def first_rows(df: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -8,7 +8,9 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .packs import row_numbers
+from .rewards import char_f1
 
 
 def weighted_reward(rewards: dict[str, float]) -> Column:
@@ -87,10 +89,21 @@ def rejection_stats(df: DataFrame, rejected: str) -> DataFrame:
     return df.agg(F.count("*").alias("total"), F.count_if(rejected).alias("rejected"), F.try_divide(F.count_if(rejected).cast("double"), F.count("*")).alias("rate"))
 
 
-def dynamic_sample(df: DataFrame, group: str, reward: str, order: list[str], size: int) -> DataFrame:
-    """Rows of groups whose reward varies, up to `size` rows in order (one pass)."""
-    varied = df.groupBy(group).agg(F.stddev_samp(reward).alias("s")).where("s > 0").select(group)
-    return df.join(varied, group, "left_semi").orderBy(*order).limit(size)
+def dynamic_sample(df: DataFrame, group: str, reward: str, order: list[str], size: int, attempt: str | None = None, attempts: int = 3) -> DataFrame:
+    """Rows of groups whose reward varies, up to `size` rows in order.
+
+    attempt: a column that numbers the draws from 0; the rows of further draws follow the first
+    one's, `attempts` draws at most, and if these don't make `size` rows, the first draw is
+    given back as it is. A row number, not a limit, cuts: no task holds all rows.
+    """
+    tried = df if attempt is None else df.where(F.col(attempt) < attempts)
+    varied = tried.groupBy(group).agg(F.stddev_samp(reward).alias("s")).where("s > 0").select(group)
+    kept = row_numbers(tried.join(varied, group, "left_semi"), ([attempt] if attempt else []) + order).where(F.col("rn") <= size).drop("rn")
+    if attempt is None:
+        return kept
+    enough = F.broadcast(kept.agg((F.count("*") == size).alias("__enough")))  # one row
+    first = df.where(F.col(attempt) == 0).join(enough).where("not __enough")
+    return kept.join(enough).where("__enough").unionByName(first).drop("__enough")
 
 
 def min_max(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -115,15 +128,24 @@ def tree_pairs(nodes: DataFrame, gap: float) -> DataFrame:
 
 
 def path_rewards(nodes: DataFrame) -> DataFrame:
-    """(tree_id, node_id, mean_reward, min_reward) along the paths to terminal nodes, by a recursive query."""
-    nodes.createOrReplaceTempView("__tree_nodes")
-    return nodes.sparkSession.sql("""
-        WITH RECURSIVE path(tree_id, node_id, terminated, n, total, least) AS (
-            SELECT tree_id, node_id, terminated, 1, process_reward, process_reward FROM __tree_nodes WHERE parent_id IS NULL
-            UNION ALL
-            SELECT c.tree_id, c.node_id, c.terminated, p.n + 1, p.total + c.process_reward, least(p.least, c.process_reward)
-            FROM __tree_nodes c JOIN path p ON c.tree_id = p.tree_id AND c.parent_id = p.node_id)
-        SELECT tree_id, node_id, total / n AS mean_reward, least AS min_reward FROM path WHERE terminated""")
+    """(tree_id, node_id, mean_reward, min_reward) along the paths from the root to terminal nodes.
+
+    Every node doubles its known stretch of the path in each round by that of the node it has
+    come to, so that as many rounds as the logarithm of the depth do; each is a stored table.
+    Nodes whose parent is missing, or that lie in a circle, have no path.
+    """
+    cut = nodes.select("tree_id", "node_id", "terminated", F.col("parent_id").alias("up"), F.lit(1).cast("bigint").alias("n"), F.col("process_reward").alias("total"), F.col("process_reward").alias("least"))
+    done = cut.where("up is null")
+    state, size = stored(cut), nodes.count()
+    while not (open_ := state.where("up is not null")).isEmpty():
+        above = state.select("tree_id", F.col("node_id").alias("up"), F.col("up").alias("__up"), F.col("n").alias("__n"), F.col("total").alias("__t"), F.col("least").alias("__l"))
+        further = open_.join(above, ["tree_id", "up"]).select(
+            "tree_id", "node_id", "terminated", F.col("__up").alias("up"), (F.col("n") + F.col("__n")).alias("n"), (F.col("total") + F.col("__t")).alias("total"), F.least("least", "__l").alias("least")
+        )
+        # A path of more nodes than there are runs in a circle, and ends nowhere.
+        state = stored(further.where(F.col("n") <= size).unionByName(state.where("up is null")))
+        done = state.where("up is null")
+    return done.where("terminated").select("tree_id", "node_id", (F.col("total") / F.col("n")).alias("mean_reward"), F.col("least").alias("min_reward"))
 
 
 def uct(value: Column, visits: Column, parent_visits: Column, c: float = 1.4) -> Column:
@@ -135,3 +157,24 @@ def turn_totals(df: DataFrame, key: str, turn: str, reward: str) -> DataFrame:
     """(key, n_turns, total_reward, last_reward) of recorded trajectories; null rewards count as
     none, and of several rows of the last turn the largest counts."""
     return df.groupBy(key).agg(F.count("*").alias("n_turns"), F.coalesce(F.sum(reward), F.lit(0.0)).alias("total_reward"), F.max_by(reward, F.struct(turn, reward)).alias("last_reward"))
+
+
+def qa_scores(df: DataFrame, key: str, pairs: str, answers: str) -> DataFrame:
+    """(key, score, n_pairs, trace): the mean character F1 of the answers with the pairs' own, 0 without pairs.
+
+    pairs: array<struct<question, answer>>; answers: the given ones in the same order, a
+    missing one counts as ''. trace: a line for each pair.
+    """
+    each = df.select(key, F.posexplode_outer(pairs).alias("i", "qa"), F.col(answers).alias("__a"))
+    given, true = F.coalesce(F.get("__a", "i"), F.lit("")), F.coalesce("qa.answer", F.lit(""))
+    each = each.withColumn("s", F.when(F.col("qa").isNotNull(), char_f1(given, true)))
+    line = F.struct("i", F.concat(F.lit("Q: "), F.coalesce("qa.question", F.lit("")), F.lit(" A: "), true, F.lit(" P: "), given).alias("t"))
+    per = each.groupBy(key).agg(F.coalesce(F.avg("s"), F.lit(0.0)).alias("score"), F.count("s").alias("n_pairs"), F.array_sort(F.collect_list(F.when(F.col("s").isNotNull(), line))).alias("__l"))
+    return per.select(key, "score", "n_pairs", F.array_join(F.transform("__l", lambda x: x["t"]), "\n").alias("trace"))
+
+
+def last_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The last n rows in order: what a rolling buffer of n holds."""
+    rn = row_numbers(df, order)
+    total = F.broadcast(df.agg(F.count("*").alias("__total")))  # one row
+    return rn.join(total).where(F.col("rn") > F.col("__total") - n).drop("rn", "__total")

@@ -189,9 +189,49 @@ def _post_order(root: Node) -> tuple[list[Node], np.ndarray]:
     return nodes, np.array(left)
 
 
+def _deep(n: Node) -> tuple:
+    return n.tag, n.cols, n.rows, tuple(n.tokens), tuple(map(_deep, n.children))
+
+
+def _size(n: Node) -> int:
+    return 1 + sum(map(_size, n.children))
+
+
 def tree_distance(a: Node, b: Node) -> float:
     """Ordered tree edit distance with unit insertions and deletions.
 
+    Roots that are equal are matched, and so are the first and the last of their children as
+    long as these are equal as a whole: no cheaper edit leaves such apart. Only the rows
+    between are compared.
+    """
+    while not _change(a, b):
+        xs, ys = a.children, b.children
+        dx, dy = list(map(_deep, xs)), list(map(_deep, ys))
+        front, most = 0, min(len(xs), len(ys))
+        while front < most and dx[front] == dy[front]:
+            front += 1
+        back = 0
+        while back < most - front and dx[-1 - back] == dy[-1 - back]:
+            back += 1
+        xs, ys = xs[front : len(xs) - back], ys[front : len(ys) - back]
+        if not xs or not ys:
+            return float(sum(map(_size, xs)) + sum(map(_size, ys)))
+        if len(xs) > 1 or len(ys) > 1:
+            a, b = (_with_children(n, c) for n, c in ((a, xs), (b, ys)))
+            break
+        a, b = xs[0], ys[0]
+    return _forest_distance(a, b)
+
+
+def _with_children(n: Node, children: list[Node]) -> Node:
+    out = Node(n.tag, n.cols, n.rows)
+    out.tokens, out.children = n.tokens, children
+    return out
+
+
+def _forest_distance(a: Node, b: Node) -> float:
+    """The same for any two trees.
+
     The forest recurrence of Zhang and Shasha (public), a row at a time: insertions are a
     running minimum. Pairs with a leaf have a closed form, so that only pairs of inner
     nodes, the rows of two tables, are worked through.
@@ -256,6 +296,46 @@ def teds_udf(structure_only: bool = False, ignore: tuple[str, ...] = ()):
     return score
 
 
+def _bare(n: Node) -> Node:
+    return Node(n.tag, n.cols, n.rows)
+
+
+def teds_both(pred: str | None, true: str | None) -> tuple[float, float]:
+    """(similarity, similarity of the structure alone), each tree being read once."""
+    if not pred or not true:
+        return 0.0, 0.0
+    (a, n), (b, m) = table_tree(pred), table_tree(true)
+    if a is None or b is None:
+        return 0.0, 0.0
+    size = max(n, m)
+    if not size:
+        return 1.0, 1.0
+    # Without content a tree has the same nodes, but no tags within cells.
+    (_, n0), (_, m0) = table_tree(pred, True), table_tree(true, True)
+    return 1.0 - tree_distance(a, b) / size, 1.0 - tree_distance(_structure(a), _structure(b)) / max(n0, m0, 1)
+
+
+def _structure(n: Node) -> Node:
+    """The tree without the characters of its cells; their tags stay."""
+    out = _with_children(_bare(n), list(map(_structure, n.children)))
+    out.tokens = [t for t in n.tokens if len(t) > 1]
+    return out
+
+
+@F.pandas_udf(T.StructType().add("teds", T.DoubleType()).add("teds_structure", T.DoubleType()))
+def teds_both_udf(pred: pd.Series, true: pd.Series) -> pd.DataFrame:
+    """(predicted HTML, true HTML) -> both similarities; null counts as ''."""
+    return pd.DataFrame([teds_both(p, t) for p, t in zip(pred, true)], columns=["teds", "teds_structure"], dtype="float64")
+
+
+def teds_reward(completion: Column, solution: Column, most: int = 30_000) -> Column:
+    """Similarity of the tables that a completion and its solution hold, as markup or HTML. Both are cut at
+    `most` characters, then the content of <answer> is taken, if there is any; an empty true table gives 0, as nulls do."""
+    cut = F.left(F.coalesce(solution, F.lit("")), F.lit(most))
+    score = teds_udf()(normal_table_udf(capped(completion, most)), normal_table_udf(capped(solution, most)))
+    return F.when(cut == "<table></table>", 0.0).otherwise(score)
+
+
 @F.pandas_udf(T.StringType())
 def normalize_html_udf(text: pd.Series) -> pd.Series:
     return text.map(normalize_html, na_action="ignore")
@@ -282,10 +362,11 @@ def cell_tokens(html: pd.Series) -> pd.Series:
     return html.map(of, na_action="ignore")
 
 
-def capped(html: Column, most: int = 30_000) -> Column:
-    """The first characters that are scored; <answer> content where there is one."""
-    inner = F.regexp_extract(html, r"(?s)<answer>(.*?)</answer>", 1)
-    return F.substring(F.when(inner != "", inner).otherwise(html), 1, most)
+def capped(text: Column, most: int = 30_000) -> Column:
+    """What is scored of a text: of its first `most` characters the content of <answer> on one line, or all, ends stripped; '' for null."""
+    cut = F.left(F.coalesce(text, F.lit("")), F.lit(most))
+    inner = F.when(cut.rlike("<answer>.*?</answer>"), F.regexp_extract(cut, "<answer>(.*?)</answer>", 1)).otherwise(cut)
+    return F.regexp_replace(inner, r"(?U)^\s+|\s+$", "")
 
 
 @F.pandas_udf(T.StructType().add("cells", T.ArrayType(T.StructType().add("path", T.StringType()).add("cols", T.IntegerType()).add("rows", T.IntegerType()))))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MESSAGE = "struct<role:string,content:string>"
 
@@ -265,3 +267,52 @@ def split_media(parts: Column) -> tuple[Column, Column]:
 def task_row(parts: dict[str, Column], fields: list[str]) -> list[Column]:
     """Encoded rows of a task side by side: name_field for each part, as in preference or pair training."""
     return [part[f].alias(f"{name}_{f}") for name, part in parts.items() for f in fields]
+
+
+def start_image(messages: Column, tag: str = "<start-image>") -> Column:
+    """(messages, generate): whether the last message is the user's and ends in the tag, which is then taken off."""
+    last = F.try_element_at(messages, F.lit(-1))
+    hit = F.coalesce((last["role"] == "user") & last["content"].endswith(tag), F.lit(False))
+    n = F.size(messages)
+    cut = F.transform(messages, lambda m, i: F.when((i == n - 1) & hit, F.struct(m["role"].alias("role"), F.left(m["content"], F.length(m["content"]) - len(tag)).alias("content"))).otherwise(m))
+    return F.struct(cut.alias("messages"), hit.alias("generate"))
+
+
+def length_policy(df: DataFrame, ids: str, most: int, policy: str, protected: list[int] | None = None) -> DataFrame:
+    """Rows whose ids are too long: 'delete' drops them, 'raise' fails the query, 'left' and 'right' cut them."""
+    if policy == "delete":
+        return df.where(F.size(ids) <= most)
+    if policy == "raise":
+        fail = F.raise_error(F.concat(F.lit("too long: "), F.size(ids).cast("string"), F.lit(f" > {most}")))
+        return df.withColumn(ids, F.when(F.size(ids) <= most, F.col(ids)).otherwise(fail.cast(df.schema[ids].dataType)))
+    return df.withColumn(ids, truncated_ids(F.col(ids), most, protected or [], policy))
+
+
+@F.pandas_udf(T.StructType().add("ids", T.ArrayType(T.LongType())).add("labels", T.ArrayType(T.LongType())))
+def aligned_labels(ids: pd.Series, labels: pd.Series, encoded: pd.Series, placeholder: pd.Series) -> pd.DataFrame:
+    """Ids whose placeholders an encoder has made into runs, with -100 as labels of these runs.
+
+    The texts between placeholders are found again one after another by their first id; a
+    text that isn't there gives null.
+    """
+
+    def one(old, marks, new, hole):
+        at, out, kept = 0, [], []
+        bounds = [k for k, x in enumerate(old) if x == hole] + [len(old)]
+        begin = 0
+        for b in bounds:
+            part, part_marks = list(old[begin:b]), list(marks[begin:b])
+            if part:
+                try:
+                    found = list(new).index(part[0], at)
+                except ValueError:
+                    return None
+            else:
+                found = len(new) if b == len(old) else at
+            out += list(new[at:found]) + part
+            kept += [-100] * (found - at) + part_marks
+            at, begin = found + len(part), b + 1
+        return out, kept
+
+    got = [None if o is None or n is None else one(o, m if m is not None else [-100] * len(o), n, h) for o, m, n, h in zip(ids, labels, encoded, placeholder)]
+    return pd.DataFrame({"ids": [g and g[0] for g in got], "labels": [g and g[1] for g in got]})

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -226,3 +227,72 @@ def reduced_loss(losses: Column, mask: Column) -> Column:
     """Mean of a row's unmasked token losses; 0 without any."""
     kept = F.filter(F.arrays_zip(losses.alias("l"), mask.alias("m")), lambda x: x["m"] > 0)
     return F.when(F.size(kept) > 0, F.aggregate(kept, F.lit(0.0), lambda s, x: s + x["l"]) / F.size(kept)).otherwise(0.0)
+
+
+class Metric:
+    """A metric of one's own: named states, each an aggregate, and a value computed from them.
+
+    States are combined map-side by Spark's own partial aggregation, so that a metric over any
+    groups is one shuffle of its states.
+    """
+
+    def __init__(self, compute: Callable[..., Column]):
+        self.states: dict[str, Callable[..., Column]] = {}
+        self.compute = compute
+
+    def add_state(self, name: str, update: Callable[..., Column]) -> Metric:
+        """A state: `update` gives its aggregate over the metric's columns."""
+        self.states[name] = update
+        return self
+
+    def reset(self) -> None:
+        self.states.clear()
+
+    def over(self, df: DataFrame, columns: list[str], group: list[str] | None = None, name: str = "value") -> DataFrame:
+        """(group ..., name) of the metric over columns of `df`; without groups one row."""
+        kept = df.groupBy(*(group or [])).agg(*[f(*map(F.col, columns)).alias(f"__{n}") for n, f in self.states.items()])
+        return kept.select(*(group or []), self.compute(**{n: F.col(f"__{n}") for n in self.states}).alias(name))
+
+
+def reduced_losses(df: DataFrame, losses: str, mask: str, longest: int) -> DataFrame:
+    """One row (by_row, by_token, by_length): token losses as the mean of the rows' means, over all
+    unmasked tokens, and by the number of rows times the longest completion; 0 without any."""
+    z = F.filter(F.arrays_zip(F.col(losses).alias("l"), F.col(mask).alias("m")), lambda x: x["m"] > 0)
+    rows = df.select(F.aggregate(z, F.lit(0.0), lambda s, x: s + x["l"]).alias("s"), F.size(z).alias("n"))
+    over = lambda a, b: F.coalesce(F.try_divide(a, F.greatest(b, F.lit(1))), F.lit(0.0))
+    mean = F.avg(F.col("s") / F.greatest(F.col("n"), F.lit(1)))
+    return rows.agg(F.coalesce(mean, F.lit(0.0)).alias("by_row"), over(F.sum("s"), F.sum("n")).alias("by_token"), over(F.sum("s"), F.count("*") * longest).alias("by_length"))
+
+
+def reranker_loss(logit: Column, label: Column) -> Column:
+    """Binary cross entropy of a logit, in the form that doesn't overflow."""
+    return F.greatest(logit, F.lit(0.0)) - logit * label + F.log1p(F.exp(-F.abs(logit)))
+
+
+def listwise_loss(df: DataFrame, group: list[str], logit: str, label: str, temperature: float = 1.0, least: int = 2) -> DataFrame:
+    """One row (loss, n_groups): the mean cross entropy of each group's positive among all of the group.
+
+    Groups with fewer than `least` rows or without exactly one positive don't count. The
+    largest logit is taken off first, and sums are aggregated map-side.
+    """
+    x = F.col(logit) / temperature
+    top = df.groupBy(*group).agg(F.max(x).alias("__top"), F.count("*").alias("__n"), F.max(F.when(F.col(label) == 1, x)).alias("__p"), F.count_if(F.col(label) == 1).alias("__k")).where((F.col("__n") >= least) & (F.col("__k") == 1))
+    per = df.join(top, group).groupBy(*group).agg((F.ln(F.sum(F.exp(x - F.col("__top")))) + F.first("__top") - F.first("__p")).alias("l"))
+    return per.agg(F.coalesce(F.avg("l"), F.lit(0.0)).alias("loss"), F.count("*").alias("n_groups"))
+
+
+def top_logprobs(values: Column, k: int) -> Column:
+    """The k largest log-probabilities, the largest first; minus infinity and NaN are dropped."""
+    there = F.filter(values, lambda x: ~F.isnan(x) & (x > float("-inf")))
+    return F.slice(F.sort_array(there, False), 1, k)
+
+
+def mean_choice(values: Column) -> Column:
+    """Mean of the parsed scores of several choices; 0 where none could be parsed."""
+    there = F.filter(values, lambda v: v.isNotNull())
+    return F.coalesce(F.try_divide(F.aggregate(there, F.lit(0.0), lambda s, x: s + x), F.size(there)), F.lit(0.0))
+
+
+def judged(judge: Column, verified: Column) -> Column:
+    """The better of a judge's verdict and a verified score; a missing one counts as 0."""
+    return F.greatest(F.coalesce(judge, F.lit(0.0)), F.coalesce(verified, F.lit(0.0)))

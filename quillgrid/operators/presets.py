@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .messages import split_at
 from .packs import running_sum
 
 #: Fixed values.
@@ -150,3 +151,32 @@ def listed(value: Column) -> Column:
 
 def tail_after(text: Column, marker: str) -> Column:
     return F.when(text.contains(marker), F.substring_index(text, marker, -1)).otherwise(text)
+
+
+def law_text(kind: Column, title: Column, chapters: list[Column], response: Column) -> Column:
+    """Kind and title on lines of their own, then the chapters there are and the response."""
+    return F.concat(kind, F.lit("\n"), title, F.lit("\n"), F.concat_ws("", *chapters), response)
+
+
+def split_problem(text: Column, explanation: Column) -> Column:
+    """(query, response): the problem before the first Python fence without its '# ', and the code with the explanation."""
+    at = F.locate("```python", text)
+    problem = F.when(at > 0, F.left(text, at - 1)).otherwise(F.left(text, F.length(text) - 1))  # without a fence the last character is taken for it, as written
+    code = F.when(at > 0, F.substring(text, at, F.length(text))).otherwise(F.right(text, F.lit(1)))
+    trimmed = F.regexp_replace(code, r"^\s+|\s+$", "")
+    return F.struct(F.when(problem.startswith("# "), F.substring(problem, 3, F.length(problem))).otherwise(problem).alias("query"), F.concat(trimmed, F.lit("\n\n"), explanation).alias("response"))
+
+
+#: What begins a turn, as written in the data.
+TURN_MARKS = ["User:", "User：", "Assistant：", "Assistant:", "Asssistent:", "Assistent:", "Assistenz:"]
+
+
+def marked_history(instruction: Column, question: Column, output: Column) -> Column:
+    """Turns of a marked text, the question and the output as messages; null where turns don't alternate or one is empty."""
+    parts = split_at(instruction, "|".join(TURN_MARKS))
+    roles = F.transform(parts, lambda p, i: F.lower(p["key"]).contains(F.when(i % 2 == 0, "user").otherwise("ass")))
+    sound = F.forall(roles, lambda r: r) & (F.size(parts) % 2 == 0) & F.forall(parts, lambda p: p["content"] != "")
+    turns = F.transform(parts, lambda p, i: F.struct(F.when(i % 2 == 0, "user").otherwise("assistant").alias("role"), p["content"].alias("content")))
+    asked = F.when(question.startswith("User:"), F.regexp_replace(F.substring(question, 6, F.length(question)), r"^\s+|\s+$", "")).otherwise(question)
+    last = F.array(F.struct(F.lit("user").alias("role"), asked.alias("content")), F.struct(F.lit("assistant").alias("role"), output.alias("content")))
+    return F.when(F.coalesce(instruction, F.lit("")) == "", last).when(sound, F.concat(turns, last))

@@ -159,3 +159,14 @@ def checked(df: DataFrame, rules: dict[str, Column], strict: bool = False) -> Da
 def class_label(label: Column) -> Column:
     """A label as a whole number; null where it isn't one."""
     return label.try_cast("int")
+
+
+def media_one(path: Column) -> Column:
+    """A single path as a list of one (bytes, path); null stays null."""
+    return F.when(path.isNotNull(), F.array(F.struct(F.lit(None).cast("binary").alias("bytes"), path.alias("path"))))
+
+
+def encoded(df: DataFrame, text: str, split: str = r"\s+") -> DataFrame:
+    """`df` with `tokens` and `length`: the text cut at white space, which stands in for a tokenizer's encoding; none for a null."""
+    words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), split), lambda w: w != "")
+    return df.withColumn("tokens", words).withColumn("length", F.size("tokens").cast("bigint"))

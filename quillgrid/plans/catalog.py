@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import further, messages, packs, rows, rules, scores, tables
+from . import extras, further, messages, packs, rows, rules, scores, tables
 
-MODULES = [tables, rows, rules, further, messages, scores, packs]
+MODULES = [tables, rows, rules, further, messages, scores, packs, extras]
 flagship = tables.flagship
 
 

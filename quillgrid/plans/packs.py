@@ -59,7 +59,7 @@ def s07_shard(spark: SparkSession, d: str) -> DataFrame:
 
 @BOOK.query()
 def s08_chunked_packs(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.least(F.coalesce("n_chars", F.lit(0)), F.lit(8000)).cast("int").alias("length"))
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("n_chars", F.lit(0)).cast("int").alias("length"))
     return packs.chunked_packs(docs, "doc_id", "length", 8000)
 
 

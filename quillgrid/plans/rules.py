@@ -215,12 +215,6 @@ def l07_probability_rejected(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", groups.probability_rejected(logs, 10, 0.01).alias("rejected"))
 
 
-@BOOK.query("SELECT vec_id, round(list_sort(embedding, 'DESC')[1]::DOUBLE, 5) AS first, round(list_sort(embedding, 'DESC')[5]::DOUBLE, 5) AS fifth FROM embeddings")
-def l15_top_k(spark: SparkSession, d: str) -> DataFrame:
-    top = F.slice(F.sort_array("embedding", False), 1, 5)
-    return table(spark, d, "embeddings").select("vec_id", F.round(F.get(top, F.lit(0)).cast("double"), 5).alias("first"), F.round(F.get(top, F.lit(4)).cast("double"), 5).alias("fifth"))
-
-
 @BOOK.query("""
 WITH p AS (SELECT a.vec_id AS id, a.embedding::DOUBLE[] AS q, b.embedding::DOUBLE[] AS x, c.embedding::DOUBLE[] AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 JOIN embeddings c ON c.vec_id = a.vec_id + 2),
 s AS (SELECT id, list_cosine_similarity(q, x) / 0.1 AS p, list_cosine_similarity(q, y) / 0.1 AS n FROM p)
@@ -256,25 +250,6 @@ def a36_tool_prompt(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@BOOK.query("SELECT c_custkey, round(avg(l_quantity), 6)::DOUBLE AS m FROM (SELECT o_custkey AS c_custkey, l_quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey) GROUP BY 1")
-def j02_key_join(spark: SparkSession, d: str) -> DataFrame:
-    o, li = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey")), table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_quantity")
-    return o.join(li, "o_orderkey").groupBy("c_custkey").agg(F.round(F.avg("l_quantity"), 6).alias("m"))
-
-
-@BOOK.query("SELECT l_orderkey, median(l_quantity)::DOUBLE AS median FROM lineitem GROUP BY 1")
-def x08_own_metric(spark: SparkSession, d: str) -> DataFrame:
-    """A metric with its own state, over the few lines of an order."""
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.expr("median(l_quantity)").alias("median"))
-
-
-@BOOK.query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM (SELECT l_returnflag, l_linestatus FROM lineitem INTERSECT ALL SELECT o_orderstatus, o_orderstatus FROM orders) GROUP BY 1, 2")
-def u04_multiset_intersection(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus")
-    b = table(spark, d, "orders").select(F.col("o_orderstatus").alias("l_returnflag"), F.col("o_orderstatus").alias("l_linestatus"))
-    return a.intersectAll(b).groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
-
-
 @BOOK.query("SELECT n_nationkey, '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\",\"raw\":\"<<<bytes>>>\"}' AS json FROM nation")
 def k08_safe_json(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation").select("n_nationkey", "n_name", F.encode("n_name", "UTF-8").alias("raw"), F.col("n_name").alias("api_token"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import markup, tables
+from ..operators.datasets import with_predictions
 from ..session import scan, table
 from .base import Book, once
 
@@ -91,18 +92,17 @@ def t06_flagship(spark: SparkSession, d: str) -> DataFrame:
 @BOOK.query()
 def t07_examples_html(spark: SparkSession, d: str) -> DataFrame:
     """Every value as HTML, and whether that is the record's own HTML in normal form."""
-    e = scan(spark, d, "examples_output", ["record_id", "otsl", "html"])
+    e = scan(spark, d, "examples_output", ["record_id", "otsl", "html"]).dropDuplicates(["record_id"])
     made = tables.otsl_to_html("otsl")
-    out = e.select("record_id", made.alias("html"), markup.normal_table_udf("otsl").eqNullSafe(markup.normal_table_udf("html")).alias("same"))
-    return out.dropDuplicates(["record_id"])
+    return e.select("record_id", made.alias("html"), markup.normal_table_udf("otsl").eqNullSafe(markup.normal_table_udf("html")).alias("same"))
 
 
 @BOOK.query()
 def t08_teds(spark: SparkSession, d: str) -> DataFrame:
     """Similarity of each value's table with the record's own HTML, with and without content."""
-    e = scan(spark, d, "examples_output", ["record_id", "otsl", "html"]).select("record_id", markup.normal_table_udf("otsl").alias("p"), markup.normal_table_udf("html").alias("t"))
-    out = e.select("record_id", F.round(markup.teds_udf()("p", "t"), 9).alias("teds"), F.round(markup.teds_udf(True)("p", "t"), 9).alias("teds_structure"))
-    return out.dropDuplicates(["record_id"])
+    e = scan(spark, d, "examples_output", ["record_id", "otsl", "html"]).dropDuplicates(["record_id"]).select("record_id", markup.normal_table_udf("otsl").alias("p"), markup.normal_table_udf("html").alias("t"))
+    s = e.select("record_id", markup.teds_both_udf("p", "t").alias("s"))
+    return s.select("record_id", F.round("s.teds", 9).alias("teds"), F.round("s.teds_structure", 9).alias("teds_structure"))
 
 
 @BOOK.query("SELECT r_regionkey AS region_id, 1.0::DOUBLE AS teds FROM region")
@@ -125,8 +125,8 @@ SELECT t.record_id, coalesce(p.otsl, '') AS prediction, length(t.html) AS n_trut
 def t11_batch_join(spark: SparkSession, d: str) -> DataFrame:
     """Truth with predictions by record, a missing one as ''."""
     e = once(spark, d, "examples_output", "record_id", ["otsl", "html"])
-    truth, pred = e.where("html is not null").select("record_id", "html"), e.where("otsl <> ''").select("record_id", "otsl")
-    return truth.join(pred, "record_id", "left").select("record_id", F.coalesce("otsl", F.lit("")).alias("prediction"), F.char_length("html").cast("bigint").alias("n_truth"))
+    truth, pred = e.where("html is not null").select("record_id", "html"), e.where("otsl <> ''").select("record_id", F.col("otsl").alias("prediction"))
+    return with_predictions(truth, pred, "record_id", "prediction").select("record_id", "prediction", F.char_length("html").cast("bigint").alias("n_truth"))
 
 
 @BOOK.query(f"SELECT record_id, CASE WHEN otsl IS NOT NULL AND NOT regexp_matches(otsl, '<nl>\\s*$') THEN 'ERROR' ELSE left(otsl, 300) END AS gated FROM {EXAMPLES}")
@@ -148,8 +148,8 @@ def t14_completion_gate_whole(spark: SparkSession, d: str) -> DataFrame:
 
 @BOOK.query()
 def t13_normal_html(spark: SparkSession, d: str) -> DataFrame:
-    e = scan(spark, d, "examples_output", ["record_id", "html"])
-    return e.select("record_id", markup.normalize_html_udf("html").alias("html"), F.size(markup.cell_tokens("html")).alias("n_cell_tokens")).dropDuplicates(["record_id"])
+    e = scan(spark, d, "examples_output", ["record_id", "html"]).dropDuplicates(["record_id"])
+    return e.select("record_id", markup.normalize_html_udf("html").alias("html"), F.size(markup.cell_tokens("html")).alias("n_cell_tokens"))
 
 
 QUERIES, ORACLE = BOOK.queries, BOOK.oracle

@@ -29,30 +29,34 @@ def session(app: str = "quillgrid", master: str | None = None, **conf: str) -> S
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or, only where that is
-    unset (tests on one machine), a temporary folder."""
+    unset on one machine (tests), a temporary folder. A cluster must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(named)
         return named
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillgrid-"))
     return spark.sparkContext.getCheckpointDir()
 
 
 def stored(df: DataFrame) -> DataFrame:
     """`df` written as a Parquet table in the shared folder and read again: the lineage ends
-    there, and a lost executor costs no recomputation of what came before."""
+    there, and a lost executor costs no recomputation of what came before. `drop_stored`
+    deletes an application's tables."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillgrid/{uuid.uuid4().hex}"
+    ship(spark)
+    path = f"{shared_dir(spark)}/quillgrid/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_stored(spark: SparkSession) -> None:
-    """Delete every table that `stored` wrote into the shared folder."""
+    """Delete the tables that `stored` wrote for this application, once their results are written elsewhere."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quillgrid")
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quillgrid/{spark.sparkContext.applicationId}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -11,14 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.datasets import sample_rows
+from ..operators.packs import row_numbers
 from ..operators.rows import renamed
 
 FORMATS = {"jsonl": "json", "txt": "text"}
 
 
 def read_path(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """A file or folder by its ending: jsonl, json (one array), csv, txt, parquet, orc. Empty
-    CSV cells stay '' instead of null."""
+    """A file or folder by its ending: jsonl, json (one array), csv, txt, parquet, orc, arrow (a stream
+    or a file of record batches). Empty CSV cells stay '' instead of null."""
     kind = os.path.splitext(path.rstrip("/"))[1].lstrip(".").lower()
     kind = FORMATS.get(kind, kind)
     reader = spark.read.schema(schema) if schema else spark.read
@@ -29,9 +31,35 @@ def read_path(spark: SparkSession, path: str, schema: T.StructType | None = None
         return reader.json(path, multiLine=not path.endswith("jsonl"))
     if kind in ("text", "parquet", "orc"):
         return getattr(reader, kind)(path)
+    if kind == "arrow":
+        return read_arrow(spark, path)
     raise ValueError(f"no reader for {path}")
 
 
+def _arrow_reader(data: bytes):
+    import pyarrow as pa
+
+    return pa.ipc.open_file(data) if data[:6] == b"ARROW1" else pa.ipc.open_stream(data)
+
+
+def read_arrow(spark: SparkSession, path: str) -> DataFrame:
+    """Arrow files, each read by one task; all have the first one's schema."""
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    found = spark.read.format("binaryFile").load(path).select("content")
+    first = found.limit(1).collect()
+    if not first:
+        raise ValueError(f"no Arrow files in {path}")
+
+    def run(batches):
+        for b in batches:
+            for data in b.column("content").to_pylist():
+                reader = _arrow_reader(data)
+                yield from (reader.get_batch(k) for k in range(reader.num_record_batches)) if hasattr(reader, "num_record_batches") else reader
+
+    return found.mapInArrow(run, from_arrow_schema(_arrow_reader(bytes(first[0]["content"])).schema))
+
+
 def read_json_values(spark: SparkSession, path: str) -> DataFrame:
     """(value variant) of JSON lines that may hold any value; lines that aren't JSON are null."""
     return spark.read.text(path).where("trim(value) <> ''").select(F.try_parse_json("value").alias("value"))
@@ -140,16 +168,42 @@ class Registry:
         raise ValueError("name a subset: " + ", ".join(entry.subsets))
 
     def load(self, spark: SparkSession, text: str) -> DataFrame:
-        """The rows of a dataset name, renamed and stepped as registered."""
+        """The rows of a dataset name, renamed, drawn to the number it asks for, and stepped as registered."""
         name = DatasetName.parse(text)
         entry = self.find(name.path) or Entry(name.path)
         df = entry.load(spark, name) if entry.load else read_path(spark, entry.path)
         if name.subsets and "subset" in df.columns:
             df = df.where(F.col("subset").isin(self.subsets(entry, name.subsets)))
         df = renamed(df, entry.columns)
+        if name.sample is not None:
+            df = drawn_rows(df, name.sample)
         return df.transform(entry.step) if entry.step else df
 
 
+def drawn_rows(df: DataFrame, n: int) -> DataFrame:
+    """n rows of a table without a key, drawn by the hash of the whole row; more than there are begin again."""
+    keyed = df.withColumn("__key", F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+    return sample_rows(keyed, "__key", n).drop("__key", "copy")
+
+
+def write_split(df: DataFrame, path: str, is_val: str = "is_val", kind: str = "parquet") -> None:
+    """Both parts of a split, in the folders train and val; the held-out part as JSON lines if so asked."""
+    for name, rows in (("train", df.where(~F.col(is_val))), ("val", df.where(is_val))):
+        rows.drop(is_val).write.mode("overwrite").format(kind).save(f"{path}/{name}")
+
+
+def json_array(df: DataFrame, order: list[str]) -> DataFrame:
+    """(part, json) of a table as one JSON array in order: its parts one after another are the array.
+
+    Only a table that is meant to be one file is written so; a part is a range partition.
+    """
+    rows = row_numbers(df, order)
+    total = F.broadcast(rows.agg(F.max("rn").alias("__last")))  # one row
+    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    line = F.concat(F.when(F.col("rn") == 1, "[").otherwise(""), text, F.when(F.col("rn") == F.col("__last"), "]").otherwise(","))
+    return rows.join(total).select(F.col("rn").alias("part"), line.alias("json"))
+
+
 def write_json_lines(df: DataFrame, path: str, append: bool = True) -> None:
     df.write.mode("append" if append else "overwrite").json(path)
 
