@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.datasets import hash_sample
+
 #: Labelled rows that a profile is fitted on, those of the smallest hashes of their keys.
 SAMPLE_ROWS = 3000
 #: Rows that a language needs among them.
@@ -140,7 +142,7 @@ def fit_languages(df: DataFrame, key: str, text: str, lang: str, sample_rows: in
     sample isn't known. An empty table gives a profile that knows only scripts.
     """
     rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.trim(lang) != ""))
-    sample = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key).alias("h")).orderBy("h").limit(sample_rows)
+    sample = hash_sample(rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key).alias("h")), "h", sample_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labelled = [x for b in batches for x in zip(b.column("lang").to_pylist(), b.column("text").to_pylist())]

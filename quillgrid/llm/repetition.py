@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..operators.datasets import hash_sample
 
 #: The tags set aside as spaces.
 TAGS = re.compile(r"<(?:nl|fcel|ecel|lcel|ucel|xcel)>")
@@ -202,7 +202,8 @@ def repetition(df: DataFrame, key: str = "record_id", value: str = "otsl", only_
     ignored. only_found: only the broken ones.
     """
     rows = df.select(F.col(key).alias("id"), F.col(value).alias("value"))
-    sample = rows.where("value is not null").select("value", F.xxhash64("id").alias("h")).dropDuplicates(["h"]).orderBy("h").limit(sample_rows)
+    # Rows of a key that comes again may be in the sample twice; only the fit sees them.
+    sample = hash_sample(rows.where("value is not null").select("value", F.xxhash64("id").alias("h")), "h", sample_rows)
     fitted = sample.coalesce(1).select("value").mapInArrow(_train, "weights array<double>, scale double, shift double").first()
     model = {"weights": np.zeros(CELLS + 1), "scale": 1.0, "shift": 0.0} if fitted is None else {"weights": np.array(fitted["weights"]), "scale": fitted["scale"], "shift": fitted["shift"]}
     schema = f"id {dict(rows.dtypes)['id']}, n_words bigint, share double, probability double, likely boolean, broken boolean"
