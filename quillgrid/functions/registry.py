@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import agents, metrics, rewards
+from ..operators import agents, metrics, presets, rewards, rows
 
 
 class Named:
@@ -43,6 +43,8 @@ for _n, _f in {
 }.items():
     REWARDS.register(_n, _f)
 PROCESS_REWARDS.register("stated", rewards.stated_reward)
+STEPS.register("standard_only", rows.standard_only)
+STEPS.register("two_answers", presets.two_answers)
 METRICS.register("mean", metrics.mean_metric)
 METRICS.register("exact_match", metrics.exact_match)
 METRICS.register("mean_of_squares", lambda df, column, group=None: metrics.Metric(lambda total, n: F.try_divide(total, n)).add_state("total", lambda x: F.sum(x * x)).add_state("n", F.count).over(df, [column], group))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import stored
-from .packs import running_sum
+from .packs import group_row_numbers, running_sum
 
 
 def mean_metric(df: DataFrame, value: str, nan_value: float = 0.0) -> DataFrame:
@@ -75,9 +75,14 @@ def reranker_groups(df: DataFrame, order: str, label: str, shard: list[str]) ->
 
 
 def mrr_ndcg(df: DataFrame, group: list[str], score: str, label: str, order: str) -> DataFrame:
-    """One row (mrr, ndcg, n_groups) over groups of two or more rows with a positive."""
-    w = Window.partitionBy(*group)
-    r = df.withColumn("k", F.row_number().over(w.orderBy(F.desc(score), order))).withColumn("ideal", F.row_number().over(w.orderBy(F.desc(label), order)))
+    """One row (mrr, ndcg, n_groups) over groups of two or more rows with a positive.
+
+    Ranks by score and by label come from range partitions, so that no task sorts a hot group.
+    """
+    kept = df.select(*group, score, label, order)
+    last_first = lambda c: {"__null": F.col(c).isNull(), "__down": -F.col(c).cast("double")}
+    ranked = lambda t, c, name: group_row_numbers(t.withColumns(last_first(c)), group, ["__null", "__down", order]).drop("__null", "__down").withColumnRenamed("rn", name)
+    r = ranked(ranked(kept, score, "k"), label, "ideal")
     gain = lambda at: (F.pow(F.lit(2.0), F.col(label)) - 1) / F.log2(F.col(at) + 1.0)
     g = r.groupBy(*group).agg(F.count("*").alias("n"), F.max(F.when(F.col(label) > 0, 1.0 / F.col("k"))).alias("rr"), F.sum(gain("k")).alias("dcg"), F.sum(gain("ideal")).alias("idcg"))
     return g.where("n > 1 and idcg > 0").agg(F.avg("rr").alias("mrr"), F.avg(F.col("dcg") / F.col("idcg")).alias("ndcg"), F.count("*").alias("n_groups"))

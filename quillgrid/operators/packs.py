@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from functools import reduce
+from heapq import heappop, heappush
 from operator import and_
 
 import pandas as pd
@@ -13,16 +15,28 @@ from ..session import stored
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[int]:
-    """Bin of each length, longest first into the fullest bin that takes it; longer ones lie alone."""
-    bins: list[int] = []
+    """Bin of each length, longest first into the fullest bin that takes it, the first of several; longer ones lie alone."""
+    made = 0
+    spaces: list[int] = []  # distinct free spaces in order
+    bins: dict[int, list[int]] = {}  # the bins of each, the first on top
     out = [0] * len(lengths)
     for k in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
-        fits = [(capacity - b, j) for j, b in enumerate(bins) if b + lengths[k] <= capacity]
-        j = min(fits)[1] if fits else len(bins)
-        if j == len(bins):
-            bins.append(0)
-        bins[j] += lengths[k]
+        n = lengths[k]
+        at = bisect_left(spaces, n)
+        if n <= capacity and at < len(spaces):
+            space = spaces[at]
+            j = heappop(bins[space])
+            if not bins[space]:
+                del bins[space], spaces[at]
+        else:
+            j, space, made = made, capacity, made + 1
         out[k] = j
+        left = space - n
+        if left >= 0:
+            if left not in bins:
+                insort(spaces, left)
+                bins[left] = []
+            heappush(bins[left], j)
     return out
 
 

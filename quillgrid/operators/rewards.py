@@ -239,3 +239,13 @@ def math_reward(text: pd.Series, truth: pd.Series) -> pd.Series:
         return float(a == b or (x is not None and y is not None and abs(x - y) <= 1e-9 * max(1.0, abs(y))))
 
     return pd.Series([one(*x) for x in zip(text, truth)], dtype="float64")
+
+
+def process_prompt(template: str, question: Column, answer: Column) -> Column:
+    """A template with {query} and {ground_truth} filled in."""
+    return F.replace(F.replace(F.lit(template), F.lit("{query}"), F.coalesce(question, F.lit(""))), F.lit("{ground_truth}"), F.coalesce(answer, F.lit("")))
+
+
+def process_reward(text: Column) -> Column:
+    """The number in [0, 1] after 'Reward:', marks of emphasis aside; null if none."""
+    return stated_reward(F.replace(text, F.lit("*"), F.lit("")))

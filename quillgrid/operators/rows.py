@@ -170,3 +170,60 @@ def encoded(df: DataFrame, text: str, split: str = r"\s+") -> DataFrame:
     """`df` with `tokens` and `length`: the text cut at white space, which stands in for a tokenizer's encoding; none for a null."""
     words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), split), lambda w: w != "")
     return df.withColumn("tokens", words).withColumn("length", F.size("tokens").cast("bigint"))
+
+
+def prepared(df: DataFrame) -> DataFrame:
+    """`df` with `messages`, by the rules its column names ask for: messages as they are, instruction and input joined, or query and response."""
+    df = renamed(df, ALIASES) if family_of(df.columns) == "response" else df
+    there = lambda c, kind="string": F.col(c) if c in df.columns else F.lit(None).cast(kind)
+    kind = family_of(df.columns)
+    if kind == "messages":
+        name = next(c for c in df.columns if c.lower() in ("messages", "conversations", "conversation"))
+        return df if name == "messages" else df.withColumnRenamed(name, "messages")
+    history = there("history", "array<array<string>>")
+    query, response = (joined_prompt(F.col("instruction"), F.col("input")), there("output")) if kind == "alpaca" else (there("query"), there("response"))
+    return df.withColumn("messages", response_messages(there("system"), history, query, response))
+
+
+def system_and_turns(messages: Column) -> tuple[Column, Column]:
+    """(system, messages without it): a first system message is taken off, tool_response becomes tool."""
+    first = F.try_element_at(messages, F.lit(1))
+    there = F.coalesce(first["role"] == "system", F.lit(False))
+    rest = F.when(there, F.slice(messages, 2, F.greatest(F.size(messages) - 1, F.lit(0)))).otherwise(messages)
+    return F.when(there, first["content"]), F.transform(rest, lambda m: _message_of(F.when(m["role"] == "tool_response", "tool").otherwise(m["role"]), m["content"]))
+
+
+def _message_of(role: Column, content: Column) -> Column:
+    return F.struct(role.alias("role"), content.alias("content"))
+
+
+def drawn_number(row: Column, seed: int, below: int) -> Column:
+    """A number from 0 for each row id, drawn by md5, so that other engines draw the same."""
+    return F.pmod(F.conv(F.substring(F.md5(F.concat(row.cast("string"), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("bigint"), F.lit(below))
+
+
+def language_pick(first: list[str], second: list[str], row: Column, seed: int = 0, share: float = 0.8) -> Column:
+    """A prompt drawn from the first list in the given share of rows, else from the second, evenly within each."""
+    one = lambda xs, s: F.get(F.array(*map(F.lit, xs)), drawn_number(row, s, len(xs)).cast("int"))
+    return F.when(drawn_number(row, seed, 1000) < int(share * 1000), one(first, seed + 1)).otherwise(one(second, seed + 2))
+
+
+def one_of(values: Column, row: Column, seed: int = 0) -> Column:
+    """One element of an array, drawn by md5 of the row's id; null for an empty one."""
+    return F.get(values, F.when(F.size(values) > 0, F.pmod(F.conv(F.substring(F.md5(F.concat(row.cast("string"), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("bigint"), F.size(values)).cast("int")))
+
+
+def query_and_response(df: DataFrame, query: str, response: str, keep: list[str] | None = None) -> DataFrame:
+    """Two columns as query and response, beside those to keep."""
+    return df.select(*(keep or []), F.col(query).alias("query"), F.col(response).alias("response"))
+
+
+def kept_kinds(df: DataFrame, column: str, kinds: list[str]) -> DataFrame:
+    """Rows of the named kinds; a null kind is none of them."""
+    return df.where(F.col(column).isin(kinds))
+
+
+def captioned(df: DataFrame, prompt: str, caption: Column, key: list[str]) -> DataFrame:
+    """(key ..., messages) of a fixed question and each row's caption; rows without one are left out."""
+    rows = df.withColumn("__c", caption).where(F.coalesce("__c", F.lit("")) != "")
+    return rows.select(*key, F.array(_message("user", F.lit(prompt)), _message("assistant", F.col("__c"))).alias("messages"))

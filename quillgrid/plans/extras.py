@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import registry
-from ..operators import agents, datasets, groups, markup, messages, metrics, presets, rows, tables
+from ..operators import agents, datasets, groups, markup, messages, metrics, presets, rewards, rows, tables
 from ..session import shared_dir, table
 from ..sources import files
 from .base import Book, once
@@ -299,4 +299,66 @@ def a29_last_round(spark: SparkSession, d: str) -> DataFrame:
     return m.select("row_id", F.array_join(F.transform(total, lambda w: w.cast("int").cast("string")), ",").alias("weights"))
 
 
+@BOOK.query("""
+SELECT row_id, (coalesce(system, '') <> '')::INT + coalesce(list_sum(list_transform(coalesce(history, []), lambda h: (h[1] IS NOT NULL)::INT + (h[2] IS NOT NULL)::INT)), 0)::INT + 1 + (output IS NOT NULL)::INT AS n,
+       concat_ws(chr(10), nullif(instruction, ''), nullif(input, '')) AS asked
+FROM (SELECT DISTINCT row_id, instruction, input, output, system, history FROM alpaca)""")
+def row17_prepared(spark: SparkSession, d: str) -> DataFrame:
+    """Rows prepared by the rules that their columns ask for."""
+    a = rows.prepared(once(spark, d, "alpaca", "row_id", ["instruction", "input", "output", "system", "history"]))
+    last = F.try_element_at(F.filter("messages", lambda m: m["role"] == "user"), F.lit(-1))["content"]
+    return a.select("row_id", F.size("messages").alias("n"), last.alias("asked"))
+
+
+@BOOK.query("""
+WITH c AS (SELECT DISTINCT row_id, messages FROM chatml WHERE len(messages) > 0)
+SELECT row_id, CASE WHEN messages[1].role = 'system' THEN messages[1].content END AS system, len(messages) - CASE WHEN messages[1].role = 'system' THEN 1 ELSE 0 END AS n, len(list_filter(messages, lambda m: m.role IN ('tool', 'tool_response'))) AS n_tool FROM c""")
+def row26_system_and_turns(spark: SparkSession, d: str) -> DataFrame:
+    system, turns = rows.system_and_turns(F.col("messages"))
+    m = once(spark, d, "chatml", "row_id", ["messages"]).where("size(messages) > 0").select("row_id", system.alias("system"), turns.alias("t"))
+    return _long(m.select("row_id", "system", F.size("t").alias("n"), F.size(F.filter("t", lambda x: x["role"] == "tool")).alias("n_tool")), "n", "n_tool")
+
+
+@BOOK.query("""
+WITH h AS (SELECT event_id, ('0x' || substr(md5(event_id || ':5'), 1, 8))::BIGINT AS a, ('0x' || substr(md5(event_id || ':6'), 1, 8))::BIGINT AS b, ('0x' || substr(md5(event_id || ':7'), 1, 8))::BIGINT AS c FROM events)
+SELECT event_id, CASE WHEN a % 1000 < 800 THEN (['Where is it?', 'Find it.', 'Mark it.'])[b % 3 + 1] ELSE (['在哪里？', '找到它。'])[c % 2 + 1] END AS prompt FROM h""")
+def row20_language_pick(spark: SparkSession, d: str) -> DataFrame:
+    """Four of five prompts from one list, the others from another."""
+    return table(spark, d, "events").select("event_id", rows.language_pick(["Where is it?", "Find it.", "Mark it."], ["在哪里？", "找到它。"], F.col("event_id"), 5).alias("prompt"))
+
+
+@BOOK.query("""
+WITH e AS (SELECT DISTINCT row_id, response, images FROM multi_modal_2), h AS (SELECT row_id, images, ('0x' || substr(md5(row_id || ':2'), 1, 8))::BIGINT AS a FROM e WHERE len(images) > 0)
+SELECT row_id, images[a % len(images) + 1] AS image FROM h""")
+def d16_one_of(spark: SparkSession, d: str) -> DataFrame:
+    """One of each row's images, drawn."""
+    m = once(spark, d, "multi_modal_2", "row_id", ["images"]).where("size(images) > 0")
+    return m.select("row_id", rows.one_of(F.col("images"), F.col("row_id"), 2).alias("image"))
+
+
+@BOOK.query("SELECT row_id, instruction AS query, output AS response FROM (SELECT DISTINCT row_id, instruction, output, source FROM alpaca WHERE source IN ('qa', 'manual') OR source LIKE '%a%')")
+def d07_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Two columns of the rows of some kinds."""
+    a = once(spark, d, "alpaca", "row_id", ["instruction", "output", "source"])
+    kinds = [r[0] for r in a.select("source").distinct().where("source in ('qa', 'manual') or contains(source, 'a')").collect()]  # as many as sources
+    return rows.query_and_response(rows.kept_kinds(a, "source", kinds), "instruction", "output", ["row_id"])
+
+
+@BOOK.query("SELECT row_id, 'Describe the table.' AS asked, string_split(response, '。')[1] AS told FROM (SELECT DISTINCT row_id, response FROM multi_modal_2) WHERE coalesce(string_split(response, '。')[1], '') <> ''")
+def d23_captions(spark: SparkSession, d: str) -> DataFrame:
+    """A fixed question with the first part of each response."""
+    m = rows.captioned(once(spark, d, "multi_modal_2", "row_id", ["response"]), "Describe the table.", presets.first_of(F.col("response"), "。"), ["row_id"])
+    return m.select("row_id", F.get("messages", F.lit(0))["content"].alias("asked"), F.get("messages", F.lit(1))["content"].alias("told"))
+
+
+@BOOK.query("""
+SELECT request_id, 'Q: ' || coalesce(solution, '') || ' A: ' || coalesce(completion, '') AS prompt, CASE WHEN r_qa IS NULL THEN NULL WHEN idx % 2 = 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS reward
+FROM (SELECT DISTINCT request_id, completion, solution, r_qa, idx FROM rewards)""")
+def a39_process_rewards(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts of a process reward, and its number read from a reply with emphasis."""
+    r = once(spark, d, "rewards", "request_id", ["completion", "solution", "r_qa", "idx"])
+    reply = F.when(F.col("r_qa").isNotNull(), F.concat(F.lit("It is so.\n**Reward:** "), F.when(F.col("idx") % 2 == 0, "0.5").otherwise("1")))
+    return r.select("request_id", rewards.process_prompt("Q: {query} A: {ground_truth}", F.col("solution"), F.col("completion")).alias("prompt"), rewards.process_reward(reply).alias("reward"))
+
+
 QUERIES, ORACLE = BOOK.queries, BOOK.oracle

@@ -7,7 +7,8 @@ import os
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,9 +66,21 @@ def read_json_values(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where("trim(value) <> ''").select(F.try_parse_json("value").alias("value"))
 
 
+def path_kind(spark: SparkSession, path: str) -> str | None:
+    """'file', 'folder' or None, by the file system that the path names; None also for what is no path."""
+    try:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    except Py4JJavaError:
+        return None
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return None
+    return "file" if fs.getFileStatus(at).isFile() else "folder"
+
+
 def image_paths(spark: SparkSession, path: str) -> DataFrame:
     """(path) of the lines of a list file, or of the jpg and png files of a folder; contents aren't read."""
-    if os.path.isfile(path):
+    if path_kind(spark, path) == "file":
         return spark.read.text(path).select(F.trim("value").alias("path")).where("path <> ''")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{jpg,png}").load(path)
     return files.select("path")
@@ -94,16 +107,16 @@ class DatasetName:
     sample: int | None = None
 
     @classmethod
-    def parse(cls, text: str) -> DatasetName:
+    def parse(cls, text: str, exists=os.path.exists) -> DatasetName:
         rest, hub, sample, subsets = text, None, None, []
-        if not os.path.exists(rest) and "::" in rest:
+        if not exists(rest) and "::" in rest:
             head, tail = rest.split("::", 1)
             if head.lower() in ("hf", "ms"):
                 hub, rest = head.lower(), tail
-        if not os.path.exists(rest) and "#" in rest:
+        if not exists(rest) and "#" in rest:
             rest, n = rest.rsplit("#", 1)
             sample = int(n)
-        if not os.path.exists(rest) and ":" in rest:
+        if not exists(rest) and ":" in rest:
             rest, s = rest.rsplit(":", 1)
             subsets = [x for x in s.split("/") if x]
         return cls(rest, hub, subsets, sample)
@@ -169,7 +182,7 @@ class Registry:
 
     def load(self, spark: SparkSession, text: str) -> DataFrame:
         """The rows of a dataset name, renamed, drawn to the number it asks for, and stepped as registered."""
-        name = DatasetName.parse(text)
+        name = DatasetName.parse(text, lambda p: path_kind(spark, p) is not None)
         entry = self.find(name.path) or Entry(name.path)
         df = entry.load(spark, name) if entry.load else read_path(spark, entry.path)
         if name.subsets and "subset" in df.columns:
@@ -209,30 +222,36 @@ def write_json_lines(df: DataFrame, path: str, append: bool = True) -> None:
 
 
 def append_missing(df: DataFrame, path: str, key: str) -> int:
-    """Append the rows whose key isn't in the table yet, so that a broken run resumes; the number of rows added."""
+    """Append the rows whose key isn't in the table yet, so that a broken run resumes; the number of rows added.
+
+    The sink is read once, its keys only; what is written is counted as it is written.
+    """
     spark = df.sparkSession
-    try:
-        done = spark.read.parquet(path).select(key)
-        todo = df.join(done, key, "left_anti")
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        todo = df
-    before = spark.read.parquet(path).count() if todo is not df else 0
-    todo.write.mode("append").parquet(path)
-    return spark.read.parquet(path).count() - before
+    if path_kind(spark, path):
+        df = df.join(spark.read.schema(df.schema).parquet(path).select(key), key, "left_anti")
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return seen.get["n"]
+
+
+def _safe(col: Column, kind: T.DataType, name: str) -> Column:
+    if isinstance(kind, T.BinaryType):
+        return F.when(col.isNotNull(), F.lit("<<<bytes>>>"))
+    if isinstance(kind, T.StringType) and re.search("_token", name, re.I):
+        return F.lit(None).cast("string")
+    if isinstance(kind, T.StructType):
+        return F.when(col.isNotNull(), F.struct(*[_safe(col[f.name], f.dataType, f.name).alias(f.name) for f in kind.fields]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(col, lambda x: _safe(x, kind.elementType, name))
+    if isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
+        hidden = (lambda k, v: F.when(~F.lower(k).contains("_token"), v)) if isinstance(kind.valueType, T.StringType) else (lambda k, v: _safe(v, kind.valueType, name))
+        return F.transform_values(col, hidden)
+    return col
 
 
 def safe_json(df: DataFrame) -> DataFrame:
-    """(json) of each row: bytes as '<<<bytes>>>', string values whose name holds '_token' as null."""
-    out = []
-    for c, t in df.dtypes:
-        col = F.col(f"`{c}`")
-        if t == "binary":
-            col = F.when(col.isNotNull(), F.lit("<<<bytes>>>"))
-        elif t == "string" and re.search("_token", c, re.I):
-            col = F.lit(None).cast("string")
-        out.append(col.alias(c))
+    """(json) of each row: bytes as '<<<bytes>>>', string values whose name holds '_token' as null, at any depth."""
+    out = [_safe(F.col(f"`{f.name}`"), f.dataType, f.name).alias(f.name) for f in df.schema.fields]
     return df.select(F.to_json(F.struct(*out)).alias("json"))
 
 

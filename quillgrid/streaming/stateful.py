@@ -17,28 +17,31 @@ def file_stream(spark: SparkSession, path: str, schema, kind: str = "parquet", f
 
 
 def packed_stream(rows: DataFrame, shard: str, key: str, length: str, capacity: int) -> DataFrame:
-    """(shard, key, length, bin, closed) of a stream: within a shard each micro-batch is packed
-    with the bin left open by the one before. Rows longer than the capacity lie alone. State of
-    a shard: the number of bins and the fill of its open bin, so it never grows."""
+    """(shard, key, length, bin) of a stream: within a shard every batch that arrives is packed with
+    the bin left open by the one before. Rows longer than the capacity lie alone. State of a
+    shard: the number of bins and the fill of its open bin, so it never grows; a batch is the
+    most that is held at a time."""
 
     def step(group: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         made, fill = state.get if state.exists else (0, 0)
-        got = pd.concat(list(pdfs), ignore_index=True).sort_values(key, kind="stable")
-        lengths = got[length].astype(int).tolist()
-        # The open bin takes part as a first item that is already placed.
-        at = best_fit([fill, *lengths], capacity) if fill else [None, *best_fit(lengths, capacity)]
-        names: dict[int, int] = {at[0]: made - 1} if fill else {}
-        totals = {made - 1: fill} if fill else {}
-        out = []
-        for b, n in zip(at[1:], lengths):
-            if b not in names:
-                names[b] = made
-                made += 1
-            out.append(names[b])
-            totals[names[b]] = totals.get(names[b], 0) + n
-        last = made - 1
-        state.update((made, totals.get(last, 0) if totals.get(last, 0) < capacity else 0))
-        yield pd.DataFrame({shard: group[0], key: got[key].to_numpy(), length: got[length].to_numpy(), "bin": out})
+        for got in pdfs:
+            got = got.sort_values(key, kind="stable")
+            lengths = got[length].astype(int).tolist()
+            # The open bin takes part as a first item that is already placed.
+            at = best_fit([fill, *lengths], capacity) if fill else [None, *best_fit(lengths, capacity)]
+            names: dict[int, int] = {at[0]: made - 1} if fill else {}
+            totals = {made - 1: fill} if fill else {}
+            out = []
+            for b, n in zip(at[1:], lengths):
+                if b not in names:
+                    names[b] = made
+                    made += 1
+                out.append(names[b])
+                totals[names[b]] = totals.get(names[b], 0) + n
+            fill = totals.get(made - 1, 0)
+            fill = fill if fill < capacity else 0
+            yield pd.DataFrame({shard: group[0], key: got[key].to_numpy(), length: got[length].to_numpy(), "bin": out})
+        state.update((made, fill))
 
     kinds = dict(rows.dtypes)
     return rows.groupBy(shard).applyInPandasWithState(

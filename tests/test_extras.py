@@ -159,3 +159,32 @@ def test_rules_of_presets(spark):
     assert loss == pytest.approx(0.693147, abs=1e-5) and n == 1
     with pytest.raises(Exception, match="too long"):
         messages.length_policy(spark.createDataFrame([([1, 2, 3],)], "ids array<int>"), "ids", 2, "raise").collect()
+
+
+def test_safe_json_at_any_depth(spark):
+    df = spark.sql("select named_struct('api_token', 'x', 'raw', cast('b' as binary), 'in', array(named_struct('my_token', 'y', 'n', 1))) as s, map('a_token', 'z', 'b', 'c') as m, cast(null as struct<raw: binary>) as e")
+    assert files.safe_json(df).first()[0] == '{"s":{"raw":"<<<bytes>>>","in":[{"n":1}]},"m":{"a_token":null,"b":"c"}}'
+
+
+def test_appending_what_is_missing(spark, tmp_path):
+    path = str(tmp_path / "sink")
+    df = spark.range(10).withColumnRenamed("id", "k")
+    assert [files.append_missing(df.where("k < 6"), path, "k"), files.append_missing(df, path, "k"), files.append_missing(df, path, "k")] == [6, 4, 0]
+    assert spark.read.parquet(path).count() == 10 and files.path_kind(spark, path) == "folder" and files.path_kind(spark, f"{path}/x") is None
+
+
+def test_best_fit_bins():
+    from quillgrid.operators.packs import best_fit
+
+    rng = random.Random(2)
+    for _ in range(50):
+        lengths, capacity = [rng.randint(0, 12) for _ in range(rng.randint(0, 40))], 10
+        bins, want = [], [0] * len(lengths)
+        for k in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+            fits = [(capacity - b, j) for j, b in enumerate(bins) if b + lengths[k] <= capacity]
+            j = min(fits)[1] if fits else len(bins)
+            if j == len(bins):
+                bins.append(0)
+            bins[j] += lengths[k]
+            want[k] = j
+        assert best_fit(lengths, capacity) == want
