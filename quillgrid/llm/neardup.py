@@ -19,6 +19,7 @@ import re
 from collections.abc import Iterator
 from fractions import Fraction
 from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ from .components import components
 #: A word is a maximal run of letters or digits.
 WORD = r"[\p{L}\p{N}]+"
 _WORD = re.compile(r"[^\W_]+")
+_ASCII = bytes(ord(chr(b).lower()) if chr(b).isalnum() and b < 128 else 32 for b in range(256))
 #: Words whose hashes a worker keeps; results don't depend on it.
 KEPT_WORDS = 500_000
 #: Longest chain of words that makes a column.
@@ -55,6 +57,17 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
+def words_in(texts: list[str]) -> list[list]:
+    """The words of some texts in lower case, one after another: all as bytes if all texts are ASCII, else all as strings."""
+    if all(map(str.isascii, texts)):
+        return [t.encode("ascii").translate(_ASCII).split() for t in texts]
+    return [_WORD.findall(t.lower()) for t in texts]
+
+
+def code_of(word: bytes | str) -> int:
+    return int.from_bytes(blake2b(word if isinstance(word, bytes) else word.encode("utf-8", "surrogatepass"), digest_size=8).digest())
+
+
 def word_rows(df: DataFrame, key: str, texts: list[str], counted: str | None, min_words: int, words: bool = True) -> DataFrame:
     """(id, fp, words): the hashed distinct words of the texts taken together, sorted, and a hash of that set; without `words` (id, fp)."""
     kind = dict(df.select(F.col(key).alias("id")).dtypes)["id"]
@@ -62,7 +75,7 @@ def word_rows(df: DataFrame, key: str, texts: list[str], counted: str | None, mi
     least = texts.index(counted) if counted else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: dict[str, int] = {}
+        codes: dict[bytes | str, int] = {}
         for batch in batches:
             if len(codes) > KEPT_WORDS:
                 codes.clear()
@@ -70,7 +83,7 @@ def word_rows(df: DataFrame, key: str, texts: list[str], counted: str | None, mi
             for k, row in enumerate(zip(*[batch.column(f"t{k}").to_pylist() for k in range(len(texts))])):
                 if len((row[least] if least is not None else "".join(filter(None, row))) or "") < 2 * min_words - 1:
                     continue  # too few characters to hold so many words
-                found = [_WORD.findall(t.lower()) if t else [] for t in row]
+                found = words_in([t or "" for t in row])
                 if (len(found[least]) if least is not None else sum(map(len, found))) < min_words:
                     continue
                 one = set().union(*found)
@@ -79,9 +92,9 @@ def word_rows(df: DataFrame, key: str, texts: list[str], counted: str | None, mi
                     sets.append(one)
                     sizes.append(len(one))
             for w in set().union(*sets) - codes.keys():
-                codes[w] = int.from_bytes(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest())
+                codes[w] = code_of(w)
             size = np.array(sizes, np.int64)
-            row, code = np.repeat(np.arange(len(size)), size), np.fromiter((codes[w] for one in sets for w in one), np.uint64, int(size.sum()))
+            row, code = np.repeat(np.arange(len(size)), size), np.fromiter(map(codes.__getitem__, chain.from_iterable(sets)), np.uint64, int(size.sum()))
             start = np.cumsum(size) - size
             fp = mix(np.add.reduceat(mix(code), start) + size.astype(np.uint64)) if len(size) else np.zeros(0, np.uint64)
             columns = [batch.column("id").take(pa.array(at, pa.int32())), pa.array(fp.view(np.int64))]

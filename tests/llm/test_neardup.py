@@ -1,4 +1,5 @@
 import random
+import re
 from fractions import Fraction
 from itertools import combinations
 
@@ -84,6 +85,14 @@ def test_any_order_and_scattered_words(spark, monkeypatch, hot, block, t):
     assert got == want and len(want) > 75
 
 
+def test_words():
+    texts = ["", "Ab_c 1,2 D", "naïve Ünter_2 漢字x", "a\u00a0b\x1fc", "ﬁ İ ² ½", "ends in é"]
+    for some in (texts, texts[:2]):
+        for text, words in zip(some, neardup.words_in(some)):
+            assert [w.decode() if isinstance(w, bytes) else w for w in words] == re.findall(r"[^\W_]+", text.lower())
+    assert neardup.code_of(b"table") == neardup.code_of("table")
+
+
 def test_empty(spark):
     members, pairs = near_duplicates(spark.createDataFrame([], "id bigint, t string"), "id", ["t"])
     assert members.count() == pairs.count() == version_pairs(members, pairs).count() == 0
