@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import base64
 import os
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -292,38 +291,43 @@ def best_cuts(tasks: list[Task]) -> list[list[tuple[int, int]] | None]:
 
 class Text(NamedTuple):
     """An encoded text: its bytes, the byte offset of each token, penalties of the places, the next and
-    the last safe place of each (the text's end and begin, if none), its nearest whole character, and
-    the characters before each byte."""
+    the last safe place of each (the text's end and begin, if none), whether a piece may safely begin or
+    end there, its nearest whole character, and the characters before each byte."""
 
     data: bytes
     at: np.ndarray
     grade: np.ndarray
     next_safe: np.ndarray
     last_safe: np.ndarray
+    begins: np.ndarray
+    ends: np.ndarray
     before: np.ndarray
     char: np.ndarray
 
 
-#: A single space within words: a pre-token begins there in the text and in every piece of it.
-_SAFE = re.compile(r"(?<=\S) (?=\S)")
-
-
-def safe_places(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Whether a token begins with a single space between visible ASCII characters; the text's ends are no such places."""
-    pad = np.concatenate([raw, np.zeros(2, np.uint8)])
+def safe_places(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token: whether it begins with a single space between visible ASCII characters, so that a
+    pre-token begins and another ends there in the text and in every piece of it; whether a piece may
+    so begin there, or end there. A line's end before a visible character serves for a begin, a single
+    one after a visible character for an end as well. The text's own ends serve for both."""
+    pad = np.concatenate([np.zeros(2, np.uint8), raw, np.zeros(2, np.uint8)])
     seen = (pad > 32) & (pad < 127)
-    return (pad[at] == 32) & seen[at - 1] & seen[at + 1] & (at > 0)
+    here = at + 2
+    space = (pad[here] == 32) & seen[here - 1] & seen[here + 1]
+    line = (pad[here - 1] == 10) & seen[here]
+    begin, end = space | line, space | (line & seen[here - 2])
+    begin[0] = end[-1] = True
+    return space, begin, end
 
 
 def own_counts(encode, text: Text, cuts: list[tuple[int, int]]) -> list[int]:
     """Tokens of the text's tokens a to b on their own, for each of the cuts: only what precedes the first
-    and follows the last single space within words can differ, and is encoded again."""
+    and follows the last single space within words can differ, and is encoded again; nothing does where
+    the piece begins or ends safely itself."""
     at, data, n = text.at, text.data, len(text.at) - 1
     begin, end = np.array(cuts).T
-    first, last = text.next_safe[begin], text.last_safe[end]
-    last[end == n] = n
+    first, last = np.where(text.begins[begin], begin, text.next_safe[begin]), np.where(text.ends[end], end, text.last_safe[end])
     out = end - begin
-    first[begin == 0] = 0
     for k in np.flatnonzero((first > begin) | (last < end)):
         a, b, f, t = int(begin[k]), int(end[k]), int(first[k]), int(last[k])
         if f > t or f == n:
@@ -344,10 +348,11 @@ def encoded(text: str, encode, sizes: np.ndarray, least: int) -> Text | None:
     raw = np.frombuffer(data, np.uint8)
     at = np.concatenate([[0], np.cumsum(sizes[ids])])
     grade = grades(raw, at)
-    safe, place = safe_places(raw, at), np.arange(len(at))
+    safe, begins, ends = safe_places(raw, at)
+    place = np.arange(len(at))
     next_safe = np.minimum.accumulate(np.where(safe, place, len(ids))[::-1])[::-1]
     last_safe = np.maximum.accumulate(np.where(safe, place, 0))
-    return Text(data, at, grade, next_safe, last_safe, before_of(grade), np.arange(len(data) + 1, dtype=np.int32) if len(data) == len(text) else np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80, dtype=np.int32)]))
+    return Text(data, at, grade, next_safe, last_safe, begins, ends, before_of(grade), np.arange(len(data) + 1, dtype=np.int32) if len(data) == len(text) else np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80, dtype=np.int32)]))
 
 
 def split_texts(texts: list[str], limits: list[tuple[str, int, int]], tokenizer: str, folder: str) -> Iterator[tuple]:
