@@ -86,7 +86,7 @@ class Profile:
         ids = [k if (k := get(w)) is not None else self._add(w) for w in words]
         return self.rows[ids].sum(axis=0)
 
-    def of(self, text: str, lead: float = 6.0, least: int = 1) -> str | None:
+    def of(self, text: str, lead: float = 3.0, least: int = 1) -> str | None:
         """The language of a text, or the name of a script other than Latin; None where fewer than `least`
         words, or no language by the lead, tell."""
         if not text.isascii():
@@ -94,7 +94,9 @@ class Profile:
             other = [c for c in letters if not _LATIN.match(c)]
             if len(other) >= 4 and 2 * len(other) > len(letters) - len(other):
                 return script_of(Counter(other).most_common(1)[0][0])
-        words = {w.lower().replace("’", "'") for w in _WORD.findall(text)}
+        found = _WORD.findall(text)
+        # A capital within a sentence begins a name more often than not, and names tell no language.
+        words = {w.lower().replace("’", "'") for k, w in enumerate(found) if k == 0 or not w[0].isupper()}
         if len(words) < max(1, least) or not self.names:
             return None
         s = self.score(words)

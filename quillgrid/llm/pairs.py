@@ -38,7 +38,7 @@ COURTESY = re.compile(r"^\W*(?:thank you|thanks|sure|of course|certainly|i have
 #: Shingle containment from which a response may be a copy; share of the longer text that the common subsequence covers.
 COPY_CONTAINMENT, COPY_LCS = 0.5, 0.88
 #: Support by which one language must lead: of a prompt, of a sentence of the response.
-PROMPT_LEAD, SENTENCE_LEAD = 4.0, 6.0
+PROMPT_LEAD, SENTENCE_LEAD = 3.0, 3.0
 #: Words below which a sentence of the response doesn't tell its language.
 SENTENCE_WORDS = 4
 #: Share of a column's prose that must end with a mark for a missing one to tell; responses that are prose have so many words.
@@ -172,7 +172,7 @@ def is_bare(s: str, profile: Profile) -> bool:
         return False
     name = [not p[0].isalpha() or p[0].isupper() and w not in profile.common for p, w in zip(parts, low)]
     if all(n or w in JOINS for n, w in zip(name, low)):
-        return len(parts) <= 4 or any(w in JOINS or p.endswith(",") for p, w in zip(parts, low))
+        return len(parts) <= 4 or not re.search(r"\d", s) and any(w in JOINS or p.endswith(",") for p, w in zip(parts, low))
     if parts[0][0].isdigit() and not any(p[0].isdigit() for p in parts[1:]):
         return len(parts) <= 6  # an amount and what it is of
     if len(parts) > 4:
@@ -195,14 +195,15 @@ def other_language(prompt: str | None, response: str, profile: Profile) -> bool:
     asked = profile.of(prompt.replace("<image>", " "), PROMPT_LEAD)
     if asked is None:
         return False
-    plain, told = _QUOTED.sub(" ", s), False
-    for x in _SENTENCE.split(plain):
-        if x.strip() and not COURTESY.search(x):
-            found = profile.of(x, SENTENCE_LEAD, SENTENCE_WORDS)
-            if found == asked:
-                return False
-            told |= found is not None
-    return told or profile.of(plain, SENTENCE_LEAD, SENTENCE_WORDS) not in (None, asked)
+    told = False
+    sentences = [x for x in _SENTENCE.split(_QUOTED.sub(" ", s)) if x.strip() and not COURTESY.search(x)]
+    for x in sentences:
+        found = profile.of(x, SENTENCE_LEAD, SENTENCE_WORDS)
+        if found == asked:
+            return False
+        told |= found is not None
+    # Sentences that don't tell on their own may do so together.
+    return told or profile.of(" ".join(sentences), SENTENCE_LEAD, SENTENCE_WORDS) not in (None, asked)
 
 
 def defect(prompt: str | None, response: str | None, profile: Profile, marked: bool = True) -> str | None:
