@@ -52,6 +52,8 @@ for _n in agents.DIALECTS:
     CALLS.register(_n, lambda text, dialect=_n: agents.calls_of(text, dialect))
 for _n in agents.TOOL_PROMPTS:
     TOOL_PROMPTS.register(_n, lambda tools, system, kind=_n: agents.listed_tools(tools, system, kind))
+for _n in agents.DESCRIBED:
+    TOOL_PROMPTS.register(_n, lambda tools, system, kind=_n: agents.described_tools(agents.tool_parts(tools), system, kind))
 for _n in agents.SCALES:
     SCALES.register(_n, lambda text, scale=_n: agents.keyword_scales(text, scale))
 SCHEDULERS.register("until_answer", lambda text, turn, most=8: (turn < most) & ~F.contains(text, F.lit("</answer>")))

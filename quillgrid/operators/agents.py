@@ -96,7 +96,7 @@ def calls_of(text: Column, dialect: str) -> Column:
 
 
 #: Readers of calls by dialect.
-DIALECTS = {"react": react_calls, "hermes": hermes_calls, "hunyuan": fenced_calls, "glm": glm_calls, "llama": parameter_calls, "deepseek": delimited_calls}
+DIALECTS = {"react": react_calls, "hermes": hermes_calls, "fenced": fenced_calls, "glm": glm_calls, "parameters": parameter_calls, "delimited": delimited_calls}
 #: Heads and tails of prompts that list tools, one definition in JSON a line.
 TOOL_PROMPTS = {
     "hermes": (
@@ -104,7 +104,7 @@ TOOL_PROMPTS = {
         "\n</tools>\n\nFor each function call, return a json object with function name and arguments within <tool_call></tool_call> XML tags:\n"
         '<tool_call>\n{"name": <function-name>, "arguments": <args-json-object>}\n</tool_call>',
     ),
-    "hunyuan": (
+    "fenced": (
         "# Tools\n\nYou may call one or more functions to assist with the user query.\n\nYou are provided with function signatures within <tools></tools> XML tags:\n<tools>\n",
         "\n</tools>\n\nFor function call returns, you should first print <tool_calls>For each function call, you should return object like:\n"
         "<tool_call>function_name\n```json\nfunction_arguments_in_json_format\n```</tool_call>At the end of function call returns, you should print </tool_calls>",
@@ -112,6 +112,70 @@ TOOL_PROMPTS = {
 }
 
 
+#: A tool's description, head and tail of prompts that describe tools; %s in a tail are the names.
+_TOOL_EN = "### {human}\n\n{name}: {description} Parameters: {parameters} Format the arguments as a JSON object."
+_TOOL_ZH = "### {human}\n\n{name}: {description} 输入参数：{parameters} 此工具的输入应为JSON对象。"
+_HEAD_EN, _HEAD_ZH = "\n\n# Tools\n\n## You have access to the following tools:\n\n", "\n\n# 工具\n\n## 你拥有如下工具：\n\n"
+DESCRIBED = {
+    "marked_en": (
+        _TOOL_EN, _HEAD_EN,
+        "\n\n## When you need to call a tool, please insert the following command in your reply, which can be called zero or multiple times according to your needs:\n\n"
+        "✿FUNCTION✿: The tool to use, should be one of [%s]\n✿ARGS✿: The input of the tool\n✿RESULT✿: Tool results\n✿RETURN✿: Reply based on tool results. Images need to be rendered as ![](url)",
+    ),
+    "marked_zh": (
+        _TOOL_ZH, _HEAD_ZH,
+        "\n\n## 你可以在回复中插入零次、一次或多次以下命令以调用工具：\n\n✿FUNCTION✿: 工具名称，必须是[%s]之一。\n✿ARGS✿: 工具输入\n✿RESULT✿: 工具结果\n✿RETURN✿: 根据工具结果进行回复，需将图片用![](url)渲染出来",
+    ),
+    "parallel_en": (
+        _TOOL_EN, _HEAD_EN,
+        "\n\n## Insert the following command in your reply when you need to call N tools in parallel:\n\n✿FUNCTION✿: The name of tool 1, should be one of [%s]\n✿ARGS✿: The input of tool 1\n✿FUNCTION✿: The name of tool 2\n✿ARGS✿: The input of tool 2\n...\n"
+        "✿FUNCTION✿: The name of tool N\n✿ARGS✿: The input of tool N\n✿RESULT✿: The result of tool 1\n✿RESULT✿: The result of tool 2\n...\n✿RESULT✿: he result of tool N\n✿RETURN✿: Reply based on tool results. Images need to be rendered as ![](url)",
+    ),
+    "parallel_zh": (
+        _TOOL_ZH, _HEAD_ZH,
+        "\n\n## 你可以在回复中插入以下命令以并行调用N个工具：\n\n✿FUNCTION✿: 工具1的名称，必须是[%s]之一\n✿ARGS✿: 工具1的输入\n✿FUNCTION✿: 工具2的名称\n✿ARGS✿: 工具2的输入\n...\n✿FUNCTION✿: 工具N的名称\n✿ARGS✿: 工具N的输入\n"
+        "✿RESULT✿: 工具1的结果\n✿RESULT✿: 工具2的结果\n...\n✿RESULT✿: 工具N的结果\n✿RETURN✿: 根据工具结果进行回复，需将图片用![](url)渲染出来",
+    ),
+    "react_en": (
+        "{name}: Call this tool to interact with the {human} API. What is the {human} API useful for? {description} Parameters: {parameters} Format the arguments as a JSON object.",
+        "Answer the following questions as best you can. You have access to the following tools:\n\n",
+        "\n\nUse the following format:\n\nQuestion: the input question you must answer\nThought: you should always think about what to do\nAction: the action to take, should be one of [%s]\nAction Input: the input to the action\n"
+        "Observation: the result of the action\n... (this Thought/Action/Action Input/Observation can be repeated zero or more times)\nThought: I now know the final answer\nFinal Answer: the final answer to the original input question\n\nBegin!\n",
+    ),
+}
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("name", "human", "description", "parameters")])))
+def tool_parts(tools: pd.Series) -> pd.Series:
+    """Names, description and parameters of the JSON definitions of a list; a definition without a name or description is null."""
+
+    def one(text):
+        tool = json.loads(text)
+        tool = tool["function"] if "type" in tool and "function" in tool else tool
+        name, description = tool.get("name_for_model") or tool.get("name"), tool.get("description", tool.get("description_for_model"))
+        if name is None or description is None:
+            return None
+        parameters = tool.get("parameters") or {}
+        return {"name": name, "human": tool.get("name_for_human") or name, "description": description, "parameters": parameters if isinstance(parameters, str) else json.dumps(parameters, ensure_ascii=False)}
+
+    return tools.map(lambda ts: [one(t) for t in ts], na_action="ignore")
+
+
+def described_tools(parts: Column, system: Column, kind: str) -> Column:
+    """A prompt that describes tools, from the result of `tool_parts`, in a named form; the system text stands first, but in the Action form."""
+    item, head, tail = DESCRIBED[kind]
+
+    def text(p: Column) -> Column:
+        out = F.lit(item)
+        for n in ("name", "human", "description", "parameters"):
+            out = F.replace(out, F.lit("{%s}" % n), p[n])
+        return out
+
+    names = F.array_join(F.transform(parts, lambda p: p["name"]), ",")
+    before = F.lit("") if kind == "react_en" else F.coalesce(system, F.lit(""))
+    return F.concat(before, F.lit(head), F.array_join(F.transform(parts, text), "\n\n"), F.replace(F.lit(tail), F.lit("%s"), names))
+
+
 def listed_tools(tools: Column, system: Column, kind: str) -> Column:
     """A system prompt followed by the tools of an array of JSON definitions, in a named form."""
     head, tail = TOOL_PROMPTS[kind]

@@ -193,10 +193,10 @@ def a33_dialects(spark: SparkSession, d: str) -> DataFrame:
     """Calls of the events in three dialects, and one that falls back on the Action form."""
     f = lambda *parts: F.concat(*[F.col(p[1:]) if p.startswith("$") else F.lit(p) for p in parts])
     call = lambda text, dialect: F.get(registry.CALLS.get(dialect)(text), F.lit(0))
-    fenced = call(f("<tool_call>", "$event_type", "\n```json\n", "$props", "\n```</tool_call>"), "hunyuan")
-    bare = call(f('so {"name": "', "$event_type", '", "parameters": ', "$props", "}<|eom_id|>"), "llama")
-    marked = call(f("<｜tool▁calls▁begin｜><｜tool▁call▁begin｜>", "$event_type", "<｜tool▁sep｜>", "$props", "<｜tool▁call▁end｜>"), "deepseek")
-    other = call(f("Action: no\nAction Input: ", "$props"), "hunyuan")
+    fenced = call(f("<tool_call>", "$event_type", "\n```json\n", "$props", "\n```</tool_call>"), "fenced")
+    bare = call(f('so {"name": "', "$event_type", '", "parameters": ', "$props", "}<|eom_id|>"), "parameters")
+    marked = call(f("<｜tool▁calls▁begin｜><｜tool▁call▁begin｜>", "$event_type", "<｜tool▁sep｜>", "$props", "<｜tool▁call▁end｜>"), "delimited")
+    other = call(f("Action: no\nAction Input: ", "$props"), "fenced")
     return table(spark, d, "events").select(
         "event_id", fenced["name"].alias("fenced"), fenced["arguments"].alias("arguments"), bare["name"].alias("bare"), F.get_json_object(bare["arguments"], "$.k").alias("k"), marked["name"].alias("delimited"), other["name"].alias("other")
     )
@@ -361,4 +361,15 @@ def a39_process_rewards(spark: SparkSession, d: str) -> DataFrame:
     return r.select("request_id", rewards.process_prompt("Q: {query} A: {ground_truth}", F.col("solution"), F.col("completion")).alias("prompt"), rewards.process_reward(reply).alias("reward"))
 
 
+@BOOK.query("""
+SELECT n_nationkey, n_regionkey || chr(10) || chr(10) || '# Tools' || chr(10) || chr(10) || '## You have access to the following tools:' || chr(10) || chr(10) || '### ' || n_name || chr(10) || chr(10) || n_name || ': of ' || n_regionkey
+       || ' Parameters: {"a": [1, 2]} Format the arguments as a JSON object.' || chr(10) || chr(10)
+       || '## When you need to call a tool, please insert the following command in your reply, which can be called zero or multiple times according to your needs:' || chr(10) || chr(10)
+       || '✿FUNCTION✿: The tool to use, should be one of [' || n_name || ']' || chr(10) || '✿ARGS✿: The input of the tool' || chr(10) || '✿RESULT✿: Tool results' || chr(10)
+       || '✿RETURN✿: Reply based on tool results. Images need to be rendered as ![](url)' AS prompt FROM nation""")
+def a36_described_tools(spark: SparkSession, d: str) -> DataFrame:
+    tool = F.concat(F.lit('{"type": "function", "function": {"name": "'), "n_name", F.lit('", "description": "of '), F.col("n_regionkey").cast("string"), F.lit('", "parameters": {"a":[1,2]}}}'))
+    return table(spark, d, "nation").select("n_nationkey", registry.TOOL_PROMPTS.get("marked_en")(F.array(tool), F.col("n_regionkey").cast("string")).alias("prompt"))
+
+
 QUERIES, ORACLE = BOOK.queries, BOOK.oracle

@@ -154,7 +154,7 @@ def test_rules_of_presets(spark):
     turns, bad, plain = one(*[presets.marked_history(F.lit(t), F.lit("User: and?"), F.lit("yes")) for t in ("User:aAssistent:b", "User:aUser:b", "")])
     assert [tuple(t) for t in turns] == [("user", "a"), ("assistant", "b"), ("user", "and?"), ("assistant", "yes")] and bad is None and len(plain) == 2
     assert one(messages.start_image(F.array(F.struct(F.lit("user").alias("role"), F.lit("draw<start-image>").alias("content")))))[0]["generate"]
-    assert registry.CALLS.get("llama")(F.lit("x")) is not None and set(agents.TOOL_PROMPTS) == {"hermes", "hunyuan"}
+    assert registry.CALLS.get("parameters")(F.lit("x")) is not None and set(agents.TOOL_PROMPTS) == {"hermes", "fenced"}
     loss, n = metrics.listwise_loss(spark.createDataFrame([(1, 0.0, 1), (1, 0.0, 0), (2, 9.0, 1), (3, 1.0, 0), (3, 2.0, 0)], "g int, z double, y int"), ["g"], "z", "y").first()
     assert loss == pytest.approx(0.693147, abs=1e-5) and n == 1
     with pytest.raises(Exception, match="too long"):
