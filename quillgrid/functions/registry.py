@@ -39,7 +39,7 @@ CALLS, TOOL_PROMPTS, SCALES, REWARD_MODELS, SCHEDULERS = Named(), Named(), Named
 
 for _n, _f in {
     "format": rewards.format_reward, "react_format": rewards.react_reward, "repetition": rewards.repetition_penalty, "soft_overlong": rewards.soft_overlong,
-    "cosine": rewards.cosine_reward, "char_f1": rewards.char_f1, "answer": rewards.answer_match, "code_format": rewards.code_format, "math": rewards.math_reward, "countdown": rewards.countdown_reward,
+    "cosine": rewards.cosine_reward, "char_f1": rewards.char_f1, "answer": rewards.answer_match, "code_format": rewards.code_format, "math": rewards.math_reward, "countdown": rewards.countdown_reward, "verified": rewards.verified_reward,
 }.items():
     REWARDS.register(_n, _f)
 PROCESS_REWARDS.register("stated", rewards.stated_reward)

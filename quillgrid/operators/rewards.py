@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .algebra import same_answer
+
 
 def _flag(c: Column) -> Column:
     return F.coalesce(c, F.lit(False)).cast("double")
@@ -224,7 +226,7 @@ def _fraction(text: str) -> float | None:
 
 @F.pandas_udf(T.DoubleType())
 def math_reward(text: pd.Series, truth: pd.Series) -> pd.Series:
-    """1.0 if the last \\boxed{...} (or number) of a text and of the truth are equal as strings or numbers; no truth gives 0."""
+    """1.0 if the last \\boxed{...} (or number) of a text and of the truth are equal as strings, numbers or expressions; no truth gives 0."""
 
     def answer(t: str | None) -> str:
         t = (t or "").split("# Answer")[-1]
@@ -236,7 +238,7 @@ def math_reward(text: pd.Series, truth: pd.Series) -> pd.Series:
         if not b:
             return 0.0
         x, y = _fraction(a), _fraction(b)
-        return float(a == b or (x is not None and y is not None and abs(x - y) <= 1e-9 * max(1.0, abs(y))))
+        return float(a == b or (x is not None and y is not None and abs(x - y) <= 1e-9 * max(1.0, abs(y))) or same_answer(a, b))
 
     return pd.Series([one(*x) for x in zip(text, truth)], dtype="float64")
 
@@ -249,3 +251,10 @@ def process_prompt(template: str, question: Column, answer: Column) -> Column:
 def process_reward(text: Column) -> Column:
     """The number in [0, 1] after 'Reward:', marks of emphasis aside; null if none."""
     return stated_reward(F.replace(text, F.lit("*"), F.lit("")))
+
+
+def verified_reward(text: Column, truth: Column) -> Column:
+    """1.0 if the answers are equal as mathematics, or the content of <answer> is that of the truth's; else 0."""
+    inner = lambda c: F.when(c.rlike("<answer>.*?</answer>"), F.regexp_extract(c, "<answer>(.*?)</answer>", 1)).otherwise(c)
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.greatest(math_reward(text, truth), F.coalesce(_flag(strip(inner(text)) == strip(inner(truth))), F.lit(0.0)))

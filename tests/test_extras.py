@@ -188,3 +188,20 @@ def test_best_fit_bins():
             bins[j] += lengths[k]
             want[k] = j
         assert best_fit(lengths, capacity) == want
+
+
+def test_answers():
+    from quillgrid.operators.algebra import same_answer
+
+    equal = [("x^2+2x+1", "(x+1)^2"), (r"\frac{1}{2}", "0.5"), (r"\sqrt{8}", r"2\sqrt{2}"), ("x=3", "3"), (r"\frac{x^2-1}{x-1}", "x+1"), ("(1, 2)", "(1.0,2)"), (r"\sin^2", r"\sin^2"), (r"2\pi r", r"\pi r \cdot 2"), ("1,234", "1234"), (r"\sin{x}", r"\cos{(\pi/2-x)}"), (r"2^{-1}", "1/2"), (r"\dfrac{a+b}{2}", "a/2+b/2"), ("-(-3)", "3")]
+    other = [("x^2", "2x"), ("1/2", "1/3"), ("(1,2)", "(2,1)"), ("x+1", "x"), ("", "1"), (None, None), ("1/0", "1"), ("((", "1"), ("yes", "no"), (r"\sqrt{2}", "1.414"), ("a", "b")]
+    assert [p for p in equal if not same_answer(*p)] == [] and [p for p in other if same_answer(*p)] == []
+    assert not same_answer("(" * 3000 + "1", "1")
+
+
+def test_verified_reward(spark):
+    from quillgrid.operators import rewards
+
+    rows = [(r"so \boxed{x(x+1)}", r"\boxed{x^2+x}", 1.0), ("<answer>north</answer>", "<answer> north</answer>", 1.0), (r"\boxed{2}", r"\boxed{3}", 0.0), ("north", None, 0.0), (None, "1", 0.0)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, t string, g string, want double")
+    assert all(r["got"] == r["want"] for r in df.withColumn("got", rewards.verified_reward(F.col("t"), F.col("g"))).collect())
