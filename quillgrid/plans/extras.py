@@ -247,7 +247,7 @@ def d20_marked_history(spark: SparkSession, d: str) -> DataFrame:
     return a.select("row_id", F.when(m.isNotNull(), F.size(m)).otherwise(0).alias("n"), F.try_element_at(m, F.lit(-1))["content"].alias("last"))
 
 
-@BOOK.query("""SELECT r_regionkey + 1 AS part, CASE WHEN r_regionkey = 0 THEN '[' ELSE '' END || '{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}' || CASE WHEN r_regionkey = 4 THEN ']' ELSE ',' END AS json FROM region""")
+@BOOK.query("""SELECT (r_regionkey + 1)::BIGINT AS part, CASE WHEN r_regionkey = 0 THEN '[' ELSE '' END || '{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}' || CASE WHEN r_regionkey = 4 THEN ']' ELSE ',' END AS json FROM region""")
 def k03_json_array(spark: SparkSession, d: str) -> DataFrame:
     return _long(files.json_array(table(spark, d, "region").select("r_regionkey", "r_name"), ["r_regionkey"]), "part")
 
