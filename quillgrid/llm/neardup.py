@@ -125,7 +125,8 @@ def lists_of(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
 def cell_counts(df: DataFrame, keys_of) -> np.ndarray:
     """Counts by cell of the keys that `keys_of` gives for each batch; CELLS numbers, however many keys.
 
-    They are summed by cell and come to the driver as 2^CHUNK_BITS cells a row.
+    They are summed by cell and come to the driver as 2^CHUNK_BITS cells a row, empty ones
+    included, so that what is sent is the same for any data.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,13 +137,22 @@ def cell_counts(df: DataFrame, keys_of) -> np.ndarray:
         cell = np.flatnonzero(total)
         yield pa.record_batch([pa.array(cell.astype(np.int32)), pa.array(total[cell])], names=["cell", "n"])
 
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for cells, n in zip(b.column("cell").to_pylist(), b.column("n").to_pylist()):
+                part = np.zeros(1 << CHUNK_BITS, np.float32)
+                part[np.array(cells) & ((1 << CHUNK_BITS) - 1)] = n
+                out.append(part.tobytes())
+            yield pa.record_batch([b.column("chunk"), pa.array(out, pa.binary())], names=["chunk", "n"])
+
     sums = df.mapInArrow(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
     rows = sums.groupBy(F.shiftright("cell", CHUNK_BITS).alias("chunk")).agg(F.collect_list("cell").alias("cell"), F.collect_list("n").alias("n"))
-    got = rows.select("cell", "n").toArrow()
-    counts = np.zeros(CELLS, np.float32)
-    for cells, n in zip(got.column("cell").chunks, got.column("n").chunks):
-        counts[cells.flatten().to_numpy()] = n.flatten().to_numpy()
-    return counts
+    counts = np.zeros((CELLS >> CHUNK_BITS, 1 << CHUNK_BITS), np.float32)
+    got = rows.mapInArrow(dense, "chunk int, n binary").toArrow()
+    for chunk, n in zip(got.column("chunk").to_pylist(), got.column("n").to_pylist()):
+        counts[chunk] = np.frombuffer(n, np.float32)
+    return counts.ravel()
 
 
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
