@@ -33,6 +33,10 @@ STRIDES = 4
 LONGEST_STRIDE = 32
 #: Cells of a stride's table, about.
 TABLE = 1 << 17
+#: Bytes of parts of texts up to which their counts are kept, as many come again.
+SHORT = 64
+#: Tokens of the texts whose places are graded together, about.
+TOGETHER = 1 << 16
 #: Characters of the texts that are encoded and cut together.
 CHUNK_CHARS = 1 << 22
 #: Blocks of a piece's room in the program that bounds the cost of a place.
@@ -45,7 +49,7 @@ BOUNDED = 20
 
 @lru_cache(maxsize=4)
 def encoding(name: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR):
-    """(encode, byte length of each id) of a byte-level vocabulary."""
+    """(encode, tokens of a part of a text in UTF-8, byte length of each id) of a byte-level vocabulary."""
     import tiktoken
 
     with open(os.path.join(folder, f"{name}.tiktoken"), "rb") as f:
@@ -53,7 +57,10 @@ def encoding(name: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR):
     size = np.zeros(max(ranks.values()) + 1, np.int64)
     for raw, k in ranks.items():
         size[k] = len(raw)
-    return tiktoken.Encoding(name, pat_str=PRETOKEN_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, size
+    encode = tiktoken.Encoding(name, pat_str=PRETOKEN_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    count = lambda part: len(encode(part.decode("utf-8")))
+    short = lru_cache(maxsize=1 << 16)(count)
+    return encode, lambda part: short(part) if len(part) <= SHORT else count(part), size
 
 
 def _among(chars: bytes) -> np.ndarray:
@@ -62,30 +69,39 @@ def _among(chars: bytes) -> np.ndarray:
     return table
 
 
-_SPACE, _BLANK, _CLAUSE, _STOP = _among(b" \t\r\n\x00"), _among(b" \t"), _among(b",;:)"), _among(b".!?")
-
-
-def grades(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Penalty of a cut at each byte offset; inf within a character."""
-    pad = np.concatenate([np.zeros(3, np.uint8), raw, np.zeros(1, np.uint8)])
-    p1, p2, p3, n1 = pad[at + 2], pad[at + 1], pad[at], pad[at + 3]
-    space = _SPACE[n1]
-    out = np.full(len(at), INSIDE)
-    wide = p3 >= 0xE3  # scripts written without spaces pause anywhere between characters
-    some = wide.any()
-    if some:
-        out[wide & (n1 >= 0xE3)] = WORD + 1
-    out[space | _BLANK[p1]] = WORD
-    out[space & _CLAUSE[p1]] = CLAUSE
-    out[space & _STOP[p1]] = SENTENCE
-    if some:
-        three = (p3.astype(np.int32) << 16) | (p2.astype(np.int32) << 8) | p1
-        out[(three == 0xEFBC8C) | (three == 0xEFBC9B) | (three == 0xEFBC9A) | (three == 0xE38081)] = CLAUSE
-        out[(three == 0xE38082) | (three == 0xEFBC81) | (three == 0xEFBC9F)] = SENTENCE
-    line = (p1 == 10) & (n1 != 10) & (n1 != 13)
-    out[line] = LINE
-    out[line & ((p2 == 10) | ((p2 == 13) & (p3 == 10)))] = PARAGRAPH
-    out[(n1 & 0xC0) == 0x80] = np.inf
+def _pairs() -> np.ndarray:
+    """Penalty of a cut between any two bytes, as far as these tell; inf within a character."""
+    before, after = np.arange(256)[:, None], np.arange(256)[None]
+    space = _among(b" \t\r\n\x00")[after]
+    out = np.full((256, 256), INSIDE)
+    out[space | _among(b" \t")[before]] = WORD
+    out[space & _among(b",;:)")[before]] = CLAUSE
+    out[space & _among(b".!?")[before]] = SENTENCE
+    out[(before == 10) & (after != 10) & (after != 13)] = LINE
+    out[np.broadcast_to((after & 0xC0) == 0x80, out.shape)] = np.inf
+    return out.ravel()
+
+
+_PAIRS = _pairs()
+
+
+def grades(pad: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Penalty of a cut before each of the places `at` of the bytes, three bytes in at least; inf within a character."""
+    p1, n1 = pad[at - 1], pad[at]
+    out = _PAIRS[p1.astype(np.int64) << 8 | n1]
+    line = np.flatnonzero(p1 == 10)
+    line = line[out[line] == LINE]
+    p2 = pad[at[line] - 2]
+    out[line[(p2 == 10) | ((p2 == 13) & (pad[at[line] - 3] == 10))]] = PARAGRAPH
+    wide = np.flatnonzero(pad[at - 3] >= 0xE3)  # scripts written without spaces pause anywhere between characters
+    if len(wide):
+        g = out[wide]
+        g[(g == INSIDE) & (n1[wide] >= 0xE3)] = WORD + 1
+        three = (pad[at[wide] - 3].astype(np.int32) << 16) | (pad[at[wide] - 2].astype(np.int32) << 8) | p1[wide]
+        whole = np.isfinite(g)
+        g[whole & ((three == 0xEFBC8C) | (three == 0xEFBC9B) | (three == 0xEFBC9A) | (three == 0xE38081))] = CLAUSE
+        g[whole & ((three == 0xE38082) | (three == 0xEFBC81) | (three == 0xEFBC9F))] = SENTENCE
+        out[wide] = g
     return out
 
 
@@ -181,6 +197,29 @@ def bounds(tasks: list[Task], block: int) -> list[np.ndarray]:
     return [np.repeat(both[: n[t] // block + 1, t], block)[: n[t] + 1] + x.grade for t, x in enumerate(tasks)]
 
 
+def outdone(task: Task) -> np.ndarray:
+    """A mask of places that are in no best cutting, as two cuts at better places beside each do better, however the pieces lie.
+
+    Of a place within a word let a be the last better place before it and b the next after it. Cuts
+    at a and b in its stead only shorten the pieces on both sides, which so keep the room; a token
+    less costs a piece 2 * scale * ideal at most. The piece from a to b is one more. Where a piece
+    beside the place doesn't reach beyond a or b, one of the two cuts or none will do instead: what
+    grows then lies within the piece from a to b, which has no more tokens than it should.
+    """
+    n = len(task.grade) - 1
+    hard = task.grade >= INSIDE
+    hard[0] = hard[n] = False
+    k, soft = np.flatnonzero(hard), np.flatnonzero(~hard)
+    at = np.searchsorted(soft, k)
+    a, b = soft[at - 1], soft[at]
+    begin_a, begin_k, begin_b = (task.before[np.maximum(x - task.overlap, 0)] for x in (a, k, b))
+    ideal, scale = size_of(task)
+    instead = task.grade[a] + task.grade[b] + PIECE + scale * (b - begin_a - ideal) ** 2 + 2 * scale * ideal * (k - a + begin_b - begin_k)
+    out = np.zeros(n + 1, bool)
+    out[k[(b - begin_a <= ideal) & (instead < task.grade[k] - 1e-9)]] = True
+    return out
+
+
 def best_of_each(grade: np.ndarray, block: int) -> np.ndarray:
     """A mask of the last of the best places of each block."""
     rows = -(-len(grade) // block)
@@ -207,11 +246,13 @@ def cheapest(many: list[Steps], pieces: bool = True) -> list[tuple[float, list[t
         n = len(x.end)
         end[t, :n], begin[t, :n], fee[t, :n], low[t, :n] = x.end, x.begin, x.fee, np.minimum(x.low, np.arange(n))
     ideal, scale = np.array([[x.ideal] for x in many]), np.array([[x.scale] for x in many])
-    lowest, highest = low.min(axis=0).tolist(), np.where(low < rows, low, 0).max(axis=0).tolist()
-    slope, own, lift = 2 * scale * (end - ideal), scale * (end - ideal) ** 2 + fee, scale * begin**2
+    lowest = low.min(axis=0).tolist()
+    for t, x in enumerate(many):  # a text that ends within a stride keeps its reach up to the stride's end
+        low[t, len(x.end) :] = low[t, len(x.end) - 1]
+    highest = low.max(axis=0).tolist()
+    slope, own, known = 2 * scale * (end - ideal), scale * (end - ideal) ** 2 + fee, scale * begin**2  # cost(j) + scale * begin(j)^2
     cost = np.full((lanes, rows), np.inf)
     cost[:, 0] = 0.0
-    known = lift.copy()  # cost(j) + scale * begin(j)^2
     there = np.searchsorted(-np.array([len(x.end) for x in many]), -np.arange(rows), "left").tolist()
     # Strides by the places in a piece of the texts that still go on; a stride's table should stay in the cache.
     most = np.minimum.accumulate([x.ideal * len(x.end) / (STRIDES * max(int(x.end[-1]), 1)) for x in many])
@@ -230,14 +271,16 @@ def cheapest(many: list[Steps], pieces: bool = True) -> list[tuple[float, list[t
             np.subtract(known[:m, None, j:k], w, out=w)
             top = min(highest[last - 1], k)
             if top > j:
-                np.copyto(w[:, :, : top - j], np.inf, where=np.arange(j, top) < low[:m, k:last, None])
+                np.copyto(w[:, :, : top - j], np.inf, where=np.arange(j, top, dtype=np.int32) < low[:m, k:last, None])
             np.minimum.reduce(w, axis=2, out=c)
             c += own[:m, k:last]
-        if last - k > 1 and (np.minimum.accumulate(c[:, :-1], axis=1) + fee[:m, k + 1 : last] < c[:, 1:]).any():
-            for i in range(k + 1, last):
-                d = cost[:m, k:i] + scale[:m] * (end[:m, i, None] - begin[:m, k:i] - ideal[:m]) ** 2
-                d[np.arange(k, i) < low[:m, i, None]] = np.inf
-                np.minimum(cost[:m, i], d.min(axis=1) + fee[:m, i], out=cost[:m, i])
+        if last - k > 1:
+            short = np.maximum(ideal[:m] - end[:m, k:last].max(axis=1, keepdims=True) + begin[:m, k, None], 0)  # by so much at least, from a place within the stride
+            some = np.flatnonzero((np.minimum.accumulate(c[:, :-1], axis=1) + scale[:m] * short**2 + fee[:m, k + 1 : last] < c[:, 1:]).any(axis=1))
+            for i in range(k + 1, last) if len(some) else ():
+                d = cost[some, k:i] + scale[some] * (end[some, i, None] - begin[some, k:i] - ideal[some]) ** 2
+                d[np.arange(k, i) < low[some, i, None]] = np.inf
+                cost[some, i] = np.minimum(cost[some, i], d.min(axis=1) + fee[some, i])
         known[:m, k:last] += c
     out = []
     for t, x in enumerate(many):
@@ -267,12 +310,15 @@ def best_cuts(tasks: list[Task]) -> list[list[tuple[int, int]] | None]:
 
     The best place of every few tokens first gives a cost that can be had. A place whose
     bound lies above it is in no best cutting; the program then goes over all the others. With
-    many pieces the bounds are too loose to tell, and the program goes over all places at once.
+    many pieces the bounds are too loose to tell; the program goes over all places that better
+    ones beside them don't outdo.
     """
     out: list[list[tuple[int, int]] | None] = [None] * len(tasks)
     block = [max(2, (t.room - t.overlap) // BLOCKS) for t in tasks]
     left = [np.isfinite(t.grade) for t in tasks]
     few = [i for i, t in enumerate(tasks) if least_pieces(t) <= BOUNDED]
+    for i in set(range(len(tasks))).difference(few):
+        left[i] &= ~outdone(tasks[i])
     kinds = [block[i] for i in few]
     rough = [steps_of(tasks[i], best_of_each(tasks[i].grade, max(2, block[i] // ROUGH))) for i in few]
     had = [np.inf] * len(few)
@@ -290,76 +336,87 @@ def best_cuts(tasks: list[Task]) -> list[list[tuple[int, int]] | None]:
 
 
 class Text(NamedTuple):
-    """An encoded text: its bytes, the byte offset of each token, penalties of the places, the next and
-    the last safe place of each (the text's end and begin, if none), whether a piece may safely begin or
-    end there, its nearest whole character, and the characters before each byte."""
+    """An encoded text: its bytes, the byte offset of each token, penalties of the places, the safe places
+    between its begin and its end, whether a piece may safely begin or end at each place, its nearest whole
+    character, and the characters before each byte."""
 
     data: bytes
     at: np.ndarray
     grade: np.ndarray
-    next_safe: np.ndarray
-    last_safe: np.ndarray
+    safe: np.ndarray
     begins: np.ndarray
     ends: np.ndarray
     before: np.ndarray
     char: np.ndarray
 
 
-def safe_places(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each token: whether it begins with a single space between visible ASCII characters, so that a
-    pre-token begins and another ends there in the text and in every piece of it; whether a piece may
-    so begin there, or end there. A line's end before a visible character serves for a begin, a single
-    one after a visible character for an end as well. The text's own ends serve for both."""
-    pad = np.concatenate([np.zeros(2, np.uint8), raw, np.zeros(2, np.uint8)])
+def safe_places(pad: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each of the places `at` of the bytes: whether a token begins there with a single space between visible ASCII
+    characters, so that a pre-token begins and another ends there in the text and in every piece of it; whether a piece
+    may so begin there, or end there. A line's end before a visible character serves for a begin, a single one after a
+    visible character for an end as well."""
     seen = (pad > 32) & (pad < 127)
-    here = at + 2
-    space = (pad[here] == 32) & seen[here - 1] & seen[here + 1]
-    line = (pad[here - 1] == 10) & seen[here]
-    begin, end = space | line, space | (line & seen[here - 2])
-    begin[0] = end[-1] = True
-    return space, begin, end
+    kind = np.zeros(len(pad), np.uint8)  # 1: such a space; 2: the begin of such a line, 4: after a visible character
+    kind[1:-1] = (pad[1:-1] == 32) & seen[:-2] & seen[2:]
+    line = np.flatnonzero((pad[1:-1] == 10) & seen[2:]) + 2
+    kind[line] |= 2
+    kind[line[seen[line - 2]]] |= 4
+    here = kind[at]
+    return (here & 1).view(bool), here > 0, (here & 5) > 0
 
 
-def own_counts(encode, text: Text, cuts: list[tuple[int, int]]) -> list[int]:
+def own_counts(count, text: Text, cuts: list[tuple[int, int]]) -> list[int]:
     """Tokens of the text's tokens a to b on their own, for each of the cuts: only what precedes the first
     and follows the last single space within words can differ, and is encoded again; nothing does where
     the piece begins or ends safely itself."""
-    at, data, n = text.at, text.data, len(text.at) - 1
+    at, data, n, safe = text.at, text.data, len(text.at) - 1, text.safe
     begin, end = np.array(cuts).T
-    first, last = np.where(text.begins[begin], begin, text.next_safe[begin]), np.where(text.ends[end], end, text.last_safe[end])
+    first = np.where(text.begins[begin], begin, safe[1:][np.searchsorted(safe[1:], begin)])
+    last = np.where(text.ends[end], end, safe[np.searchsorted(safe[:-1], end, "right") - 1])
     out = end - begin
     for k in np.flatnonzero((first > begin) | (last < end)):
         a, b, f, t = int(begin[k]), int(end[k]), int(first[k]), int(last[k])
         if f > t or f == n:
-            out[k] = len(encode(data[at[a] : at[b]].decode("utf-8")))
+            out[k] = count(data[at[a] : at[b]])
         else:
-            out[k] = t - f + (len(encode(data[at[a] : at[f]].decode("utf-8"))) if f > a else 0) + (len(encode(data[at[t] : at[b]].decode("utf-8"))) if t < b else 0)
+            out[k] = t - f + (count(data[at[a] : at[f]]) if f > a else 0) + (count(data[at[t] : at[b]]) if t < b else 0)
     return out.tolist()
 
 
-def encoded(text: str, encode, sizes: np.ndarray, least: int) -> Text | None:
-    """The text with its places; None if it has no more than `least` tokens."""
-    data = text.encode("utf-8")
-    if len(data) <= least:  # a token has at least one byte
-        return None
-    ids = np.array(encode(text), np.int64)
-    if len(ids) <= least:
-        return None
-    raw = np.frombuffer(data, np.uint8)
-    at = np.concatenate([[0], np.cumsum(sizes[ids])])
-    grade = grades(raw, at)
-    safe, begins, ends = safe_places(raw, at)
-    place = np.arange(len(at))
-    next_safe = np.minimum.accumulate(np.where(safe, place, len(ids))[::-1])[::-1]
-    last_safe = np.maximum.accumulate(np.where(safe, place, 0))
-    return Text(data, at, grade, next_safe, last_safe, begins, ends, before_of(grade), np.arange(len(data) + 1, dtype=np.int32) if len(data) == len(text) else np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80, dtype=np.int32)]))
+def encoded(texts: list[str | None], encode, sizes: np.ndarray, least: int) -> list[Text | None]:
+    """The texts with their places; None for those that have no more than `least` tokens."""
+    out: list[Text | None] = [None] * len(texts)
+    sizes, gap = np.append(sizes, 3), [len(sizes)]  # the bytes between two texts stand for a token
+    some, datas, ids, size = [], [], [], 0
+    for i, text in enumerate(texts):
+        data = text.encode("utf-8") if text else b""
+        if len(data) > least:  # a token has at least one byte
+            mine = encode(text)
+            if len(mine) > least:
+                some.append((i, size, len(mine)))
+                datas.append(data)
+                ids.append(np.array(gap + mine, np.int64))
+                size += 1 + len(mine)
+        if some and (size >= TOGETHER or i + 1 == len(texts)):
+            pad = np.frombuffer(b"\0\0\0".join([b"", *datas, b""]), np.uint8)
+            places = np.cumsum(sizes[np.concatenate(ids)])
+            grade = grades(pad, places)
+            safe, begins, ends = safe_places(pad, places)
+            for (j, f, n), data in zip(some, datas):
+                own = slice(f, f + n + 1)
+                at, g = places[own] - places[f], grade[own]
+                begins[f] = ends[f + n] = True
+                char = np.arange(len(data) + 1, dtype=np.int32) if len(data) == len(texts[j]) else np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80, dtype=np.int32)])
+                out[j] = Text(data, at, g, np.concatenate([[0], np.flatnonzero(safe[own]), [n]]), begins[own], ends[own], before_of(g), char)
+            some, datas, ids, size = [], [], [], 0
+    return out
 
 
 def split_texts(texts: list[str], limits: list[tuple[str, int, int]], tokenizer: str, folder: str) -> Iterator[tuple]:
     """(index, limit_name, piece_no, n_pieces, start_char, end_char, overlap_chars, n_tokens, piece, reason) for every limit a text exceeds."""
-    encode, sizes = encoding(tokenizer, folder)
+    encode, count, sizes = encoding(tokenizer, folder)
     least = min(m for _, m, _ in limits)
-    known = [encoded(t, encode, sizes, least) if t else None for t in texts]
+    known = encoded(texts, encode, sizes, least)
     todo = [(i, name, limit, Task(t.grade, t.before, limit, overlap)) for i, t in enumerate(known) if t for name, limit, overlap in limits if len(t.grade) - 1 > limit]
     while todo:
         again = []
@@ -369,8 +426,7 @@ def split_texts(texts: list[str], limits: list[tuple[str, int, int]], tokenizer:
             if cuts is None:
                 yield i, name, None, 0, 0, int(char[-1]), 0, len(at) - 1, None, "no cuts keep the limit"
                 continue
-            pieces = [data[at[a] : at[b]].decode("utf-8") for a, b in cuts]
-            counts = own_counts(encode, text, cuts)
+            counts = own_counts(count, text, cuts)
             if max(counts) > limit:
                 room = task.room - (max(counts) - limit)
                 if room <= task.overlap:
@@ -378,10 +434,10 @@ def split_texts(texts: list[str], limits: list[tuple[str, int, int]], tokenizer:
                 else:
                     again.append((i, name, limit, task._replace(room=room)))
                 continue
+            spans = at[np.array(cuts)]
             end = 0
-            for k, ((a, b), p, c) in enumerate(zip(cuts, pieces, counts)):
-                s, e = int(char[at[a]]), int(char[at[b]])
-                yield i, name, k, len(cuts), s, e, max(0, end - s), c, p, None
+            for k, ((a, b), (s, e), c) in enumerate(zip(spans.tolist(), char[spans].tolist(), counts)):
+                yield i, name, k, len(cuts), s, e, max(0, end - s), c, data[a:b].decode("utf-8"), None
                 end = e
         todo = again
 

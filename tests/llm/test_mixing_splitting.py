@@ -92,6 +92,12 @@ def test_split_round_trip():
                 check(t, mine, limit, overlap)
 
 
+def test_texts_are_graded_together_as_alone(monkeypatch):
+    monkeypatch.setattr(splitting, "TOGETHER", 1000)
+    alone = [(i, *r[1:]) for i, t in enumerate(texts()) for r in split_texts([t], LIMITS, "byte_bpe_50k", "/opt/tokenizers")]
+    assert sorted(split_texts(texts(), LIMITS, "byte_bpe_50k", "/opt/tokenizers")) == sorted(alone)
+
+
 def test_cuts_where_the_text_pauses():
     text = "\n\n".join("One sentence of a paragraph that goes on for a while. And a second one." for _ in range(30))
     got = [r[1:] for r in split_texts([text], [("n", 60, 0)], "byte_bpe_50k", "/opt/tokenizers")]
@@ -143,6 +149,49 @@ def test_no_cheaper_cuts(monkeypatch):
     assert len(costs) > 100
 
 
+def plain(task):
+    """The least cost of a cutting over all places."""
+    x = steps_of(task, np.isfinite(task.grade))
+    least = [0.0]
+    for k in range(1, len(x.end)):
+        least.append(x.fee[k] + min((least[j] + x.scale * (x.end[k] - x.begin[j] - x.ideal) ** 2 for j in range(k) if x.end[k] - x.begin[j] <= task.room), default=math.inf))
+    return least[-1]
+
+
+def random_task(rng, n, room, overlap, weights):
+    grade = rng.choice([0, 0.15, 0.4, 1, 2, 3, 12, np.inf], n + 1, p=weights)
+    grade[0] = grade[n] = 2.0
+    return Task(grade, before_of(grade), room, overlap)
+
+
+def test_texts_that_end_within_a_stride_of_longer_ones():
+    """A text with few places in a piece keeps the room where the program goes on with longer texts."""
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        tasks = [random_task(rng, 206, 60, 7, [0, 0, 0, 0, 0.5, 0, 0.5, 0])]
+        tasks += [random_task(rng, n, 60, 7, [0, 0, 0, 0, 0.3, 0, 0.2, 0.5]) for n in (380, 370, 360)]
+        steps = sorted((steps_of(t, np.isfinite(t.grade)) for t in tasks), key=lambda x: -len(x.end))
+        got = splitting.cheapest(steps, pieces=False)
+        assert sorted(c for c, _ in got) == pytest.approx(sorted(plain(t) for t in tasks))
+
+
+def test_outdone_places_are_left_out_and_cost_nothing(monkeypatch):
+    """A text of many pieces is cut as cheaply over a part of its places as over all."""
+    rng = np.random.default_rng(3)
+    tasks = [random_task(rng, int(rng.integers(500, 1500)), room, overlap, [0.01, 0.03, 0.03, 0.05, 0.28, 0.05, 0.5, 0.05]) for room, overlap in ((40, 5), (25, 0), (64, 20), (12, 3)) for _ in range(4)]
+    assert all(splitting.least_pieces(t) > splitting.BOUNDED for t in tasks if t.room < 25)
+    monkeypatch.setattr(splitting, "BOUNDED", 0)
+    seen, program = [], splitting.cheapest
+    monkeypatch.setattr(splitting, "cheapest", lambda many, **how: seen.extend(len(x.end) for x in many) or program(many, **how))
+    cut = best_cuts(tasks)
+    assert sum(seen) < 0.7 * sum(int(np.isfinite(t.grade).sum()) for t in tasks)
+    for task, pieces in zip(tasks, cut):
+        ideal, scale = splitting.size_of(task)
+        assert all(e - b <= task.room for b, e in pieces)
+        cost = sum(splitting.PIECE + scale * (e - b - ideal) ** 2 for b, e in pieces) + sum(task.grade[e] for _, e in pieces[:-1])
+        assert cost == pytest.approx(plain(task))
+
+
 def test_a_text_that_cannot_be_cut(spark):
     df = spark.createDataFrame([(1, "👍🏽" * 40), (2, "a b c d e f g")], "doc_id bigint, text string")
     got = split_oversized(df, "doc_id", "text", [("tiny", 2, 1)]).collect()
